@@ -6,6 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnmark.llm.byte_bpe import digests
+from cairnmark.llm.decontaminate import contamination
+from cairnmark.llm.html_text import main_text
+from cairnmark.llm.language_model import score_texts
+from cairnmark.llm.license_scan import licenses
+from cairnmark.llm.quality import quality
+from cairnmark.llm.simhash import near_duplicates
+from cairnmark.llm.suffix_dedup import removed
+from cairnmark.llm.token_counts import token_counts
+from cairnmark.llm.token_store import round_trip
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,26 +28,72 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairnmark.llm.token_counts import token_counts
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("uid")
+
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from cairnmark.llm.byte_bpe import digests
-
     return digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_token_counts": op3_token_counts,
-        "op6_byte_bpe": op6_byte_bpe,
-    }
+    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model)
+    return {f.__name__: f for f in found}
+
+
+#: Words of a text as the decontamination contract takes them.
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, list_slice(w, p, p + least(13, len(w)) - 1) AS win
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT uid, size, p, list_slice(w, p, p + size - 1) AS win
+       FROM (SELECT uid, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT uid, item_id, p, size FROM dw JOIN iw USING (size, win)),
+marked AS (SELECT uid, count(DISTINCT pos) AS n_hit FROM (SELECT uid, unnest(range(p, p + size)) AS pos FROM (SELECT DISTINCT uid, p, size FROM hits)) GROUP BY uid),
+items AS (SELECT uid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT uid, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN marked USING (uid) LEFT JOIN items USING (uid)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}

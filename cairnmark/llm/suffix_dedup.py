@@ -219,7 +219,7 @@ def _by_key(rows: DataFrame, work) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(uid, text, spans) of every row of ``docs`` (uid, text): ``spans`` lists (start, n) of the strings that start earlier too. ``uid`` orders the texts."""
+    """``docs`` (uid, text and others) with ``spans``: (start, n) of the strings that start earlier too. ``uid`` orders the texts."""
     texts = docs.select("uid", "text")
     judged = cut(_by_key(texts.mapInArrow(_parse(length, gram), _ROWS), _judge))
     check = judged.where(F.col("kind") == _CHECK).select("uid", "start", "n")
@@ -227,7 +227,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     ordered = _by_key(slices.mapInArrow(_strings(length), _ROWS), _order)
     later = judged.where(F.col("kind") == _LATER).unionByName(ordered)
     spans = later.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return texts.join(spans.hint("shuffle_hash"), "uid", "left")
+    return docs.join(spans.hint("shuffle_hash"), "uid", "left")
 
 
 def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -251,11 +251,11 @@ def numbered(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     clash = ids.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
     whole = docs.schema[id_column].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if whole and not clash:
-        return docs.select(F.col(id_column).cast("long").alias("uid"), "*") if "uid" not in docs.columns else docs.withColumn("uid", F.col(id_column).cast("long"))
+        return docs.withColumn("uid", F.col(id_column).cast("long"))
     return cut(docs.orderBy(F.col(id_column).asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("uid", F.monotonically_increasing_id()))
 
 
-def _apply(length: int, whole_characters: bool):
+def _apply(length: int, whole_characters: bool, passed: list[str]):
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")}
@@ -275,7 +275,8 @@ def _apply(length: int, whole_characters: bool):
                 out["n_spans"].append(len(runs))
                 out["kept"].append(kept)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary()), pa.array(out["kept_sha256"], pa.string())], names=["uid", *out])
+            kinds = dict.fromkeys(out, pa.int64()) | {"kept": pa.binary(), "kept_sha256": pa.string()}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *(pa.array(v, kinds[c]) for c, v in out.items())], names=[*passed, *out])
 
     return run
 
@@ -293,18 +294,16 @@ def _back(text: bytes, i: int) -> int:
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False) -> DataFrame:
-    """(uid, n_bytes, n_removed, n_spans, kept, kept_sha256) of ``docs`` (uid, text).
+    """``docs`` (uid, text and others) without text, with n_bytes, n_removed, n_spans, kept and kept_sha256.
 
     ``whole_characters`` leaves the bytes of characters that are removed in
     part, so that what is kept is text.
     """
-    return repeats(docs, length, gram).mapInArrow(_apply(length, whole_characters), "uid long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    passed = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*passed, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit(b"").alias("kept"), F.lit("").alias("kept_sha256")).schema
+    return repeats(docs, length, gram).mapInArrow(_apply(length, whole_characters, passed), schema)
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
-    rows = numbered(docs.select("doc_id", "text"))
-    found = deduplicate(rows, length, gram).drop("kept")
-    if rows.schema["doc_id"].dataType.simpleString() == "bigint" and rows.columns[0] == "uid":
-        return found.withColumnRenamed("uid", "doc_id")
-    return found.join(rows.select("uid", "doc_id"), "uid").drop("uid")
+    return deduplicate(numbered(docs.select("doc_id", "text")), length, gram).drop("uid", "kept")

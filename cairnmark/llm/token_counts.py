@@ -97,7 +97,9 @@ class PieceCounter:
         return [sum(map(get, x)) for x in split]
 
 
-counter = lru_cache(maxsize=2)(PieceCounter)
+@lru_cache(maxsize=2)
+def counter(path: str) -> PieceCounter:
+    return PieceCounter(path)
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
