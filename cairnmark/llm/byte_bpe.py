@@ -39,7 +39,7 @@ from cairnmark.llm import ragged
 from cairnmark.llm.merges import ByteMerges, byte_ranks
 
 #: Bytes of text in a block: its codes and words are in memory at once.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: The characters that \s stands for in the pattern.
 WHITE = "\t\n\v\f\r \x85\xa0                　"
 _LATIN, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"

@@ -19,14 +19,17 @@ are shuffled by trigger and sorted:
 * A phrase that has come before makes all its strings repeats.
 * Where a trigger has one phrase only, its first place stays.
 * Where phrases that differ share a trigger, or its gram stands twice in a
-  phrase (periodic text), their strings (dictionary
-  suffixes cut at ``length`` bytes) are ordered by hash in a second shuffle
-  and all but the first place of each are repeats.
+  phrase (periodic text), the phrases' bytes are brought together by trigger,
+  their strings (dictionary suffixes cut at ``length`` bytes) are ordered by
+  hash and all but the first place of each are repeats. Where a trigger has
+  more than ``HOT`` such phrases (the edges of a very common passage), the
+  strings are dealt out by their own hashes instead of meeting in one task.
 
 Equal strings meet either within a phrase or in that order, so together they
 are the corpus order of all suffixes to ``length`` bytes, without sorting the
-bytes of text that occurs once. Both shuffles first drop repeats within a
-block, so a passage in a third of all texts has one row for each block.
+bytes of text that occurs once. The shuffles by phrase and by string first
+drop repeats within a block, so a passage in a third of all texts has one row
+for each block.
 
 Strings are compared by a 64-bit hash within a trigger of 64 bits. Null texts
 are empty. Of rows with one id, the order of the texts decides, and a row that
@@ -44,15 +47,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnmark.llm import ragged
-from cairnmark.llm.shared import cut
+from cairnmark.llm.shared import cut, written
 
 LENGTH = 100
 #: Bytes of the grams whose hashes are triggers.
-GRAM = 40
+GRAM = 32
 #: Bytes of text in which repeats are dropped before the shuffle.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Phrases of one trigger whose strings are ordered in one task.
+HOT = 2000
 _LATER, _CHECK, _MANY, _ONE = 0, 1, 2, 3
-_ROWS = "kind int, key long, phrase long, uid long, start int, n int"
+#: ``place`` packs the start in the text, the number of strings and the kind, in 34, 28 and 2 bits.
+_ROWS = "key long, phrase long, uid long, place long"
 
 
 def _sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
@@ -105,7 +111,23 @@ def _firsts(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def _batch(kind, key, phrase, uid, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(uid), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["kind", "key", "phrase", "uid", "start", "n"])
+    place = (start.astype(np.int64) << 30) | (n.astype(np.int64) << 2) | kind
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(uid), pa.array(place)], names=["key", "phrase", "uid", "place"])
+
+
+def _later(uid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Repeated strings as rows of kind ``_LATER``, one for each run of successive starts."""
+    order = np.lexsort([start, uid])
+    uid, start = uid[order], start[order]
+    new = np.ones(len(uid), bool)
+    new[1:] = (uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(new)
+    return _batch(np.int64(_LATER), uid[at], uid[at], uid[at], start[at], np.diff(np.append(at, len(uid))))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    place = F.col("place")
+    return rows.select("phrase", "uid", F.shiftright(place, 30).alias("start"), F.shiftright(place, 2).bitwiseAND((1 << 28) - 1).alias("n"), place.bitwiseAND(3).alias("kind"))
 
 
 def _parse(length: int, gram: int):
@@ -120,7 +142,7 @@ def _parse(length: int, gram: int):
         row, start, n, trigger, phrase, periodic = (x[place] for x in (row, start, n, trigger, phrase, periodic))
         same = _firsts([trigger, phrase])
         first = same == np.arange(len(same))
-        kind = np.where(first, _ONE, _LATER).astype(np.int32)
+        kind = np.where(first, _ONE, _LATER)
         order = np.flatnonzero(first)
         order = order[np.argsort(trigger[order], kind="stable")]
         shared = periodic[order].copy()
@@ -131,22 +153,23 @@ def _parse(length: int, gram: int):
         head = order[shared][np.concatenate([[True], trigger[order[shared]][1:] != trigger[order[shared]][:-1]])] if shared.any() else order[:0]
         uid = uids[row]
         key = np.where(kind == _ONE, trigger, uid.view(np.uint64))
+        phrase = np.where(kind == _CHECK, trigger, phrase)
         take = np.concatenate([np.arange(len(kind)), head])
-        kind = np.concatenate([kind, np.full(len(head), _MANY, np.int32)])
+        kind = np.concatenate([kind, np.full(len(head), _MANY)])
         key = np.concatenate([key, trigger[head]])
         return _batch(kind, key, phrase[take], uid[take], start[take], n[take])
 
     return ragged.mapper(work, target=BLOCK)
 
 
-def _groups(batches, columns):
-    """Batches of whole groups of ``key`` from batches sorted by it; kinds below ``_MANY`` are passed on alone."""
+def _groups(batches):
+    """(kind, key, phrase, uid, start, n) of whole groups of ``key`` from batches sorted by it."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in columns]
         if not batch.num_rows:
             continue
-        key = cols[1]
+        key, phrase, uid, place = (batch.column(c).to_numpy() for c in ("key", "phrase", "uid", "place"))
+        cols = [place & 3, key, phrase, uid, place >> 30, place >> 2 & (1 << 28) - 1]
         cut_at = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
         if cut_at or (held and held[-1][1][-1] != key[0]):
             whole = [np.concatenate([*(h[i] for h in held), c[:cut_at]]) for i, c in enumerate(cols)]
@@ -155,12 +178,12 @@ def _groups(batches, columns):
                 yield whole
         held.append([c[cut_at:] for c in cols])
     if held:
-        yield [np.concatenate([h[i] for h in held]) for i in range(len(columns))]
+        yield [np.concatenate([h[i] for h in held]) for i in range(6)]
 
 
 def _judge(batches):
     """Phrases by trigger: what is a repeat, and whose strings must be looked at."""
-    for kind, key, phrase, uid, start, n in _groups(batches, ["kind", "key", "phrase", "uid", "start", "n"]):
+    for kind, key, phrase, uid, start, n in _groups(batches):
         known = kind < _MANY
         if known.any():
             yield _batch(kind[known], key[known], phrase[known], uid[known], start[known], n[known])
@@ -181,37 +204,74 @@ def _judge(batches):
         verdict = np.where(earlier, _LATER, _CHECK)
         keep = one & (earlier | several[group])
         if keep.any():
-            yield _batch(verdict[keep], uid[keep], phrase[keep], uid[keep], start[keep], n[keep])
+            yield _batch(verdict[keep], uid[keep], key[keep], uid[keep], start[keep], n[keep])
+
+
+def _string_places(rows, data, offs, length: int):
+    """(hash, uid, start) of the strings of phrases (uid, start, n, text), by place."""
+    uids, starts, counts = (rows.column(c).to_numpy() for c in ("uid", "start", "n"))
+    hashes = ragged.window_hash(ragged.prefix(data), length)
+    at = np.repeat(offs[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    uid, start = np.repeat(uids, counts), np.repeat(starts - offs[:-1], counts) + at
+    place = np.lexsort([start, uid])
+    return hashes[at][place], uid[place], start[place]
 
 
 def _strings(length: int):
-    """The strings of the phrases to be looked at, by hash; repeats within a block of them are decided here."""
+    """Strings of the phrases by hash; repeats within a block of them are decided here."""
 
     def work(rows, data, offs):
-        uids, starts, counts = (rows.column(c).to_numpy() for c in ("uid", "start", "n"))
-        hashes = ragged.window_hash(ragged.prefix(data), length)
-        at = np.repeat(offs[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        uid = np.repeat(uids, counts)
-        start = np.repeat(starts - offs[:-1], counts) + at
-        key = hashes[at]
-        place = np.lexsort([start, uid])
-        uid, start, key = uid[place], start[place], key[place]
+        key, uid, start = _string_places(rows, data, offs, length)
         first = _firsts([key]) == np.arange(len(key))
-        kind = np.where(first, _ONE, _LATER).astype(np.int32)
-        return _batch(kind, np.where(first, key, uid.view(np.uint64)), key, uid, start, np.ones(len(uid), np.int32))
+        kind = np.where(first, _ONE, _LATER)
+        return _batch(kind, np.where(first, key, uid.view(np.uint64)), key, uid, start, np.ones(len(uid), np.int64))
 
     return ragged.mapper(work, target=BLOCK)
 
 
+def _together(length: int):
+    """Phrases sorted by trigger: all places of a string but the first are repeats."""
+
+    def judge(batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        data, offs = ragged.text_bytes(rows.column("text"))
+        key, uid, start = _string_places(rows, data, offs, length)
+        later = _firsts([key]) != np.arange(len(key))
+        if later.any():
+            return _later(uid[later], start[later])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for rows, data, _ in ragged.blocks(batch, "text", BLOCK // 4):
+                key = rows.column("phrase").to_numpy()
+                cut_at = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+                done = bool(held) and held[-1].column("phrase")[0].as_py() != key[0]
+                if (cut_at or done) and size + len(data) >= BLOCK // 4:
+                    whole = [*held, rows.slice(0, cut_at)] if cut_at else held
+                    out = judge([x for x in whole if x.num_rows])
+                    if out is not None:
+                        yield out
+                    held, size = [rows.slice(cut_at)], 0
+                else:
+                    held += [rows.slice(0, cut_at), rows.slice(cut_at)] if cut_at else [rows]
+                    size += len(data)
+        if held and (out := judge([x for x in held if x.num_rows])) is not None:
+            yield out
+
+    return run
+
+
 def _order(batches):
     """All places of a string but the first are repeats."""
-    for kind, key, _, uid, start, n in _groups(batches, ["kind", "key", "phrase", "uid", "start", "n"]):
+    for kind, key, _, uid, start, n in _groups(batches):
         order = np.lexsort([start, uid, kind, key])
         kind, key, uid, start, n = (x[order] for x in (kind, key, uid, start, n))
         later = kind == _LATER
         later[1:] |= (kind[1:] == _ONE) & (kind[:-1] == _ONE) & (key[1:] == key[:-1])
         if later.any():
-            yield _batch(np.zeros(int(later.sum()), np.int32), uid[later], uid[later], uid[later], start[later], n[later])
+            yield _later(np.repeat(uid[later], n[later]), np.repeat(start[later], n[later]))
 
 
 def _by_key(rows: DataFrame, work) -> DataFrame:
@@ -222,10 +282,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """``docs`` (uid, text and others) with ``spans``: (start, n) of the strings that start earlier too. ``uid`` orders the texts."""
     texts = docs.select("uid", "text")
     judged = cut(_by_key(texts.mapInArrow(_parse(length, gram), _ROWS), _judge))
-    check = judged.where(F.col("kind") == _CHECK).select("uid", "start", "n")
-    slices = texts.withColumnRenamed("text", "whole").join(check.hint("shuffle_hash"), "uid").select("uid", "start", "n", F.substring(F.col("whole").cast("binary"), F.col("start") + 1, F.col("n") + length - 1).alias("text"))
-    ordered = _by_key(slices.mapInArrow(_strings(length), _ROWS), _order)
-    later = judged.where(F.col("kind") == _LATER).unionByName(ordered)
+    found = _unpacked(judged)
+    check = found.where(F.col("kind") == _CHECK).drop("kind")
+    hot = check.groupBy("phrase").count().where(F.col("count") > HOT).select("phrase", F.lit(True).alias("hot"))
+    check = cut(check.join(hot, "phrase", "left"))
+    piece = F.substring(F.col("whole").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("n") + length - 1).cast("int"))
+    slices = texts.withColumnRenamed("text", "whole").join(check.hint("shuffle_hash"), "uid").select("phrase", "hot", "uid", "start", "n", piece.alias("text"))
+    slices = written(slices, "phrases")
+    together = slices.where("hot is null").select("phrase", "uid", "start", "n", "text").repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_together(length), _ROWS)
+    ordered = _by_key(slices.where("hot").mapInArrow(_strings(length), _ROWS), _order)
+    later = found.where(F.col("kind") == _LATER).select("uid", "start", "n").unionByName(_unpacked(together.unionByName(ordered)).select("uid", "start", "n"))
     spans = later.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), "uid", "left")
 
