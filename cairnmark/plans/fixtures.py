@@ -6,6 +6,8 @@ and ``$day`` stand for the few functions that they spell differently.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SOURCES = ("documents", "embeddings", "labels", "nation", "region", "events")
@@ -23,7 +25,7 @@ TABLES = {
         FROM documents""",
     "phashes": "SELECT doc_id AS file_id, 'phash' AS algorithm, substr($sha(lower(substr(text, 1, 200))), 1, 16) AS value FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 29 <> 3",
     "frame_hashes": """
-        SELECT d.doc_id AS file_id, d.doc_id % 7 + 10 AS duration, k.k * 3 AS offset_sec, substr($sha(substr(d.text, 1 + k.k * 20, 20)), 1, 16) AS value
+        SELECT d.doc_id AS file_id, d.doc_id % 7 + 10 AS duration, k.k * 3 AS offset_sec, substr($sha(d.lang || CAST(d.n_chars % 5 + k.k AS $text)), 1, 16) AS value
         FROM documents d JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k ON d.doc_id % 5 = 4 AND NOT (d.doc_id % 3 = 1 AND k.k = 2)""",
     "manual_labels": """
         SELECT doc_id AS file_id, CASE WHEN doc_id % 6 = 0 AND quality = 1 THEN 'faces' WHEN doc_id % 6 = 0 THEN 'no_faces' END AS faces_label,
@@ -64,7 +66,7 @@ def with_tables(query: str) -> str:
 
     def add(text: str) -> None:
         for name in TABLES:
-            if name not in need and any(f" {word} {name}{end}" in f" {text} ".replace("\n", " ") for word in ("FROM", "JOIN", ",") for end in (" ", ")", ",", ";")):
+            if name not in need and re.search(rf"(\bFROM|\bJOIN|,)\s+{name}(\s|[),;]|$)", text):
                 add(TABLES[name])
                 if name not in need:
                     need.append(name)
@@ -74,7 +76,10 @@ def with_tables(query: str) -> str:
     body = query.strip()
     if not need:
         return body
-    return f"WITH {tables}, {body[5:]}" if body.startswith("WITH ") else f"WITH {tables} {body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{tables}, {body.removeprefix(head)}"
+    return f"WITH {tables} {body}"
 
 
 class Catalogue:
@@ -89,7 +94,7 @@ class Catalogue:
             return self._made[name]
         if name in TABLES:
             text = _filled(name, _SPARK)
-            text = text.replace("sha2(text)", "sha2(text, 256)").replace("sha2(lower(substr(text, 1, 200)))", "sha2(lower(substr(text, 1, 200)), 256)").replace("sha2(substr(d.text, 1 + k.k * 20, 20))", "sha2(substr(d.text, 1 + k.k * 20, 20), 256)")
+            text = text.replace("sha2(text)", "sha2(text, 256)").replace("sha2(lower(substr(text, 1, 200)))", "sha2(lower(substr(text, 1, 200)), 256)").replace("sha2(d.lang || CAST(d.n_chars % 5 + k.k AS STRING))", "sha2(d.lang || CAST(d.n_chars % 5 + k.k AS STRING), 256)")
             used = {t: getattr(self, t) for t in [*TABLES, *SOURCES] if t != name and any(f" {w} {t}" in " " + text.replace("\n", " ") for w in ("FROM", "JOIN"))}
             for t, frame in used.items():
                 text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")

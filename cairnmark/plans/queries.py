@@ -33,7 +33,7 @@ _V1 = f"CASE WHEN pnf THEN 'people_no_face' WHEN faces_label IS NOT NULL THEN fa
 _V2 = f"CASE WHEN pnf OR coalesce(faces_label, '') = 'faces' OR bound THEN 'faces' WHEN coalesce(faces_label, '') = 'no_faces' OR quar THEN 'no_faces' WHEN animal THEN 'animals' WHEN autoqx THEN 'no_faces' ELSE {_COUNT} END"
 _V3P = f"CASE WHEN pnf THEN 'people_no_face' WHEN faces_label IS NOT NULL THEN faces_label WHEN quar AND faces_count > 0 THEN 'quarantine' WHEN animal THEN 'animals' WHEN autoq THEN 'quarantine' ELSE {_COUNT} END"
 _V3 = f"CASE WHEN bound AND {_V3P} IN ('no_faces', 'people_no_face', 'quarantine') THEN 'faces' ELSE {_V3P} END"
-_UNIT = "(SELECT *, list_transform(embedding, x -> x / sqrt(list_dot_product(embedding, embedding))) AS u FROM rects WHERE ignore_flag = 0)"
+_UNIT = "(SELECT *, [x / sqrt(list_dot_product(embedding, embedding)) for x in embedding] AS u FROM rects WHERE ignore_flag = 0)"
 _DIST = "1 - list_dot_product(a.u, b.u)"
 
 
@@ -369,7 +369,7 @@ def people_folder_split(c):
 
 _SINGLE = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n_in FROM (SELECT u.*, c.person_id FROM " + _UNIT + " u JOIN clusters c ON c.id = u.cluster_id)) WHERE n_in = 1 AND person_id IS NULL)"
 _OWNED = "(SELECT u.*, c.person_id FROM " + _UNIT + " u JOIN clusters c ON c.id = u.cluster_id WHERE c.person_id IS NOT NULL)"
-_CENTRE = "(SELECT cluster_id, list_transform(m, x -> x / sqrt(list_dot_product(m, m))) AS u FROM (SELECT cluster_id, list(x ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(u[i]) AS x FROM (SELECT cluster_id, u, unnest(range(1, len(u) + 1)) AS i FROM " + _OWNED + ") GROUP BY cluster_id, i) GROUP BY cluster_id))"
+_CENTRE = "(SELECT cluster_id, [x / sqrt(list_dot_product(m, m)) for x in m] AS u FROM (SELECT cluster_id, list(x ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(u[i]) AS x FROM (SELECT cluster_id, u, unnest(range(1, len(u) + 1)) AS i FROM " + _OWNED + ") GROUP BY cluster_id, i) GROUP BY cluster_id))"
 
 
 def _owned(c: Catalogue) -> DataFrame:
@@ -459,12 +459,12 @@ def _labels(c: Catalogue) -> DataFrame:
     return V.dbscan(_faces(c), EPS, 3, _keep(c))
 
 
-@query(f"WITH {_DBSCAN} SELECT id, CASE WHEN root IS NULL THEN -1 ELSE k END AS label FROM labels_of")
+@query(f"WITH RECURSIVE {_DBSCAN} SELECT id, CASE WHEN root IS NULL THEN -1 ELSE k END AS label FROM labels_of")
 def dbscan_labels(c):
     return _labels(c)
 
 
-@query(f"WITH {_DBSCAN}, m AS (SELECT e.label AS truth, CASE WHEN l.root IS NULL THEN -1 ELSE l.k END AS label FROM labels_of l JOIN embeddings e ON e.vec_id = l.id), cells AS (SELECT truth, label, count(*) AS n FROM m GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cells) AS x, (SELECT sum(n) FROM cells) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY truth)) AS t, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY label)) AS l) SELECT round((x - t * l / (a * (a - 1) / 2)) / ((t + l) / 2 - t * l / (a * (a - 1) / 2)), 6) AS ari FROM s")
+@query(f"WITH RECURSIVE {_DBSCAN}, m AS (SELECT e.label AS truth, CASE WHEN l.root IS NULL THEN -1 ELSE l.k END AS label FROM labels_of l JOIN embeddings e ON e.vec_id = l.id), cells AS (SELECT truth, label, count(*) AS n FROM m GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cells) AS x, (SELECT sum(n) FROM cells) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY truth)) AS t, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY label)) AS l) SELECT round((x - t * l / (a * (a - 1) / 2)) / ((t + l) / 2 - t * l / (a * (a - 1) / 2)), 6) AS ari FROM s")
 def dbscan_ari(c):
     return V.adjusted_rand(_labels(c).join(c.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("truth")), "id"))
 
