@@ -61,8 +61,8 @@ def token_store(docs, name="word_bpe_49k.json", end=2):
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     start, out = 0, []
-    for d, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, end]
+    coded = [(d, [*t.encode(text or "", add_special_tokens=False).ids, end]) for d, text in docs]
+    for d, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
