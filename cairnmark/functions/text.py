@@ -78,3 +78,28 @@ def unrotated(x: Column, y: Column, w: Column, h: Column, turn: Column, width: C
     """A box found in an image turned clockwise by ``turn`` degrees, in the original image of the given size."""
     box = lambda *v: F.struct(*[e.cast("long").alias(k) for e, k in zip(v, "xywh", strict=True)])
     return F.when(turn == 90, box(y, height - x - w, h, w)).when(turn == 180, box(width - x - w, height - y - h, w, h)).when(turn == 270, box(width - y - h, x, h, w)).otherwise(box(x, y, w, h))
+
+
+def rotated(x: Column, y: Column, w: Column, h: Column, turn: Column, width: Column, height: Column) -> Column:
+    """A box of an image of the given size after the image is turned clockwise by ``turn`` degrees."""
+    box = lambda *v: F.struct(*[e.cast("long").alias(k) for e, k in zip(v, "xywh", strict=True)])
+    return F.when(turn == 90, box(height - y - h, x, h, w)).when(turn == 180, box(width - x - w, height - y - h, w, h)).when(turn == 270, box(y, width - x - w, h, w)).otherwise(box(x, y, w, h))
+
+
+def last_counter(log: Column, name: str) -> Column:
+    """The number of the last ``name=number`` in a log; null without one."""
+    return F.try_element_at(F.regexp_extract_all(log, F.lit(f"{name}=([0-9]+)"), 1), F.lit(-1)).cast("long")
+
+
+def tail(log: Column, most: int) -> Column:
+    return F.right(log, F.lit(most))
+
+
+def bucket(path: Column, depth: int = 3) -> Column:
+    """The first ``depth`` segments of a path."""
+    return F.substring_index(path, "/", depth)
+
+
+def in_hidden_folder(path: Column) -> Column:
+    """The folder that holds the file begins with an underscore."""
+    return F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)).startswith("_"), F.lit(False))
