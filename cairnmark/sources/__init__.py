@@ -1 +1 @@
-"""Readers, writers and keyed merges."""
+"""Readers and writers of inventories, gold lists, markup lines and trip tables."""
