@@ -24,9 +24,10 @@ def normal_prefix(path: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%.1f GB", n / F.lit(1024.0**3))
-    out = F.when(n < 1024**3, F.format_string("%.1f MB", n / F.lit(1024.0**2))).otherwise(out)
-    out = F.when(n < 1024**2, F.format_string("%.1f KB", n / F.lit(1024.0))).otherwise(out)
+    """Units of 1024 with one decimal, ties to even; a dash for null."""
+    out = F.format_string("%.1f GB", F.bround(n / F.lit(1024.0**3), 1))
+    out = F.when(n < 1024**3, F.format_string("%.1f MB", F.bround(n / F.lit(1024.0**2), 1))).otherwise(out)
+    out = F.when(n < 1024**2, F.format_string("%.1f KB", F.bround(n / F.lit(1024.0), 1))).otherwise(out)
     return F.when(n.isNull(), "-").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
