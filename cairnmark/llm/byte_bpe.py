@@ -153,30 +153,47 @@ def _encode_words(ranks: str):
     return run
 
 
-def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    codes = words.column("code").to_numpy()
-    size = int(codes.max()) + 1 if len(codes) else 0
-    data, offs = ragged.text_bytes(words.column("ids").combine_chunks())
-    flat, row = data.view(np.uint32) if len(data) else np.zeros(0, np.uint32), offs // 4
-    place = np.full(size, -1)
-    place[codes] = np.arange(len(codes))
-    out = []
-    for raw in texts.column("codes").to_pylist():
-        at = unpack(raw)
-        if len(at) and (at.max() >= size or place[at].min() < 0):
-            raise RuntimeError("a block came without its words; is the input the same each time it is read?")
-        out.append(ragged.gather(flat, row, place[at])[0].tobytes() if len(at) else b"")
-    return pa.table({"id": texts.column("id"), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
-
-
-def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): the ids of every text as little-endian unsigned 32-bit integers."""
+def _bytes_of(ranks: str, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """The bytes that each row's ids stand for, from the token-byte table."""
+    table = merges_of(ranks)
+    flat, counts = ragged.gather(table.token_bytes, table.token_offs, ids.astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(counts)])[offs]
+    return ragged.lists(flat, np.diff(ends))
+
+
+def _reassemble(ranks: str, decoded: bool):
+    """The ids of a block's texts from their words' ids; with ``decoded``, also the bytes that these ids stand for."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        codes = words.column("code").to_numpy()
+        size = int(codes.max()) + 1 if len(codes) else 0
+        data, offs = ragged.text_bytes(words.column("ids").combine_chunks())
+        flat, row = data.view(np.uint32) if len(data) else np.zeros(0, np.uint32), offs // 4
+        place = np.full(size, -1)
+        place[codes] = np.arange(len(codes))
+        out = []
+        for raw in texts.column("codes").to_pylist():
+            at = unpack(raw)
+            if len(at) and (at.max() >= size or place[at].min() < 0):
+                raise RuntimeError("a block came without its words; is the input the same each time it is read?")
+            out.append(ragged.gather(flat, row, place[at])[0] if len(at) else flat[:0])
+        found = {"id": texts.column("id"), "n_tokens": pa.array([len(x) for x in out], pa.int64()), "ids": pa.array([x.tobytes() for x in out], pa.binary())}
+        if decoded:
+            ids = np.concatenate([*out, flat[:0]])
+            found["decoded"] = _bytes_of(ranks, ids, np.cumsum([0, *map(len, out)]))
+        return pa.table(found)
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, ids): the ids of every text as little-endian unsigned 32-bit integers; with ``decoded``, also as in ``decode``, in the same task."""
     picked = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     words = picked.select("text").mapInArrow(_coded(pattern, "words"), "block long, code int, word binary")
     words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block long, code int, ids binary")
     texts = picked.mapInArrow(_coded(pattern, "texts"), f"block long, id {kind}, n int, codes binary")
-    whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble, f"id {kind}, n_tokens long, ids binary")
+    whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble(ranks, decoded), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
     return whole.withColumnRenamed("id", id_column)
 
 
@@ -187,18 +204,14 @@ def decode(encoded: DataFrame, ranks: str, ids_column: str = "ids") -> DataFrame
     schema = picked.withColumn("decoded", F.lit(None).cast("binary")).schema
 
     def run(batches):
-        table = merges_of(ranks)
         for batch in batches:
             data, offs = ragged.text_bytes(batch.column(ids_column))
-            ids = data.view(np.uint32).astype(np.int64)
-            flat, counts = ragged.gather(table.token_bytes, table.token_offs, ids)
-            ends = np.concatenate([[0], np.cumsum(counts)])[offs // 4]
-            yield pa.RecordBatch.from_arrays([*batch.columns, ragged.lists(flat, np.diff(ends))], names=[*others, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(ranks, data.view(np.uint32), offs // 4)], names=[*others, "decoded"])
 
     return picked.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
-    both = decode(encode(docs, ranks, pattern), ranks)
+    both = encode(docs, ranks, pattern, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
