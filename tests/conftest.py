@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
