@@ -149,6 +149,7 @@ def _encode_words(ranks: str):
             last, last_ids = distinct[-1], ids[offs[-2] :]
             flat, counts = ragged.gather(ids.astype(np.uint32), offs, np.asarray(coded.indices, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), ragged.lists(flat, counts)], names=["block", "code", "ids"])
+        ragged.release()
 
     return run
 

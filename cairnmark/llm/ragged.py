@@ -8,6 +8,8 @@ of its own, so a task needs memory in proportion to its longest text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +57,16 @@ def blocks(batch: pa.RecordBatch, column: str = "text", target: int = TARGET):
         lo = hi
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers stay for later stages, and what each keeps adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mapper(work, column: str = "text", target: int = TARGET):
     """A mapInArrow function that applies ``work(rows, data, offs)`` to each block."""
 
@@ -64,6 +76,7 @@ def mapper(work, column: str = "text", target: int = TARGET):
                 out = work(rows, data, offs)
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return run
 
