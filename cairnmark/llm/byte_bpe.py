@@ -8,8 +8,9 @@
 2. The (block, code, pre-token) rows are shuffled by pre-token, so equal words
    of all blocks meet and each distinct word is encoded once. A word has at
    most one row per block, so no word is hot.
-3. The ids go back to (block, code), and the rows of each block are
-   reassembled by position.
+3. The ids go back to their blocks, those of one task and block packed in rows
+   of up to ``HELD`` words, and the texts of each block are reassembled by
+   position.
 
 A block is named by a hash of its bytes, so the two scans that feed the steps
 need not see the same batches in the same order; equal blocks share a name and
@@ -40,6 +41,8 @@ from cairnmark.llm.merges import ByteMerges, byte_ranks
 
 #: Bytes of text in a block: its codes and words are in memory at once.
 BLOCK = 6 << 20
+#: Encoded words that a task holds before it packs them by block.
+HELD = 1 << 18
 #: The characters that \s stands for in the pattern.
 WHITE = "\t\n\v\f\r \x85\xa0                　"
 _LATIN, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
@@ -131,11 +134,27 @@ def _coded(pattern: str, want: str):
     return ragged.mapper(work, target=BLOCK)
 
 
+def _by_block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """One row (block, codes, ns, ids) for each block of the held words: steps of their codes, numbers of ids, and ids."""
+    block, code, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+    ids, offs = np.concatenate([h[3] for h in held]), np.concatenate([[0], np.cumsum(n)])
+    order = np.lexsort([code, block])
+    block, code = block[order], code[order].astype(np.int64)
+    ids, n = ragged.gather(ids, offs, order)
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    bounds = np.append(first, len(block))
+    steps = np.diff(code, prepend=0)
+    steps[first] = code[first]
+    words = np.diff(bounds)
+    return pa.RecordBatch.from_arrays([pa.array(block[first]), pack(steps, words), pack(n, words), pack(ids.astype(np.int64), ragged.row_sums(n, bounds))], names=["block", "codes", "ns", "ids"])
+
+
 def _encode_words(ranks: str):
-    """(block, code, word), sorted by word, to (block, code, ids): each distinct word once."""
+    """(block, code, word), sorted by word, to packed (block, codes, ns, ids): each distinct word is encoded once."""
 
     def run(batches):
         last, last_ids = None, None
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -148,7 +167,13 @@ def _encode_words(ranks: str):
             offs = np.concatenate([[0], np.cumsum(n)])
             last, last_ids = distinct[-1], ids[offs[-2] :]
             flat, counts = ragged.gather(ids.astype(np.uint32), offs, np.asarray(coded.indices, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), ragged.lists(flat, counts)], names=["block", "code", "ids"])
+            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy(), counts, flat))
+            size += batch.num_rows
+            if size >= HELD:
+                yield _by_block(held)
+                held, size = [], 0
+        if held:
+            yield _by_block(held)
         ragged.release()
 
     return run
@@ -166,10 +191,11 @@ def _reassemble(ranks: str, decoded: bool):
     """The ids of a block's texts from their words' ids; with ``decoded``, also the bytes that these ids stand for."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        codes = words.column("code").to_numpy()
+        none = np.zeros(0, np.int64)
+        codes = np.concatenate([none, *(np.cumsum(unpack(x)) for x in words.column("codes").to_pylist())])
+        row = np.concatenate([[0], np.cumsum(np.concatenate([none, *map(unpack, words.column("ns").to_pylist())]))])
+        flat = np.concatenate([none, *map(unpack, words.column("ids").to_pylist())]).astype(np.uint32)
         size = int(codes.max()) + 1 if len(codes) else 0
-        data, offs = ragged.text_bytes(words.column("ids").combine_chunks())
-        flat, row = data.view(np.uint32) if len(data) else np.zeros(0, np.uint32), offs // 4
         place = np.full(size, -1)
         place[codes] = np.arange(len(codes))
         out = []
@@ -192,7 +218,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id",
     picked = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     words = picked.select("text").mapInArrow(_coded(pattern, "words"), "block long, code int, word binary")
-    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block long, code int, ids binary")
+    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block long, codes binary, ns binary, ids binary")
     texts = picked.mapInArrow(_coded(pattern, "texts"), f"block long, id {kind}, n int, codes binary")
     whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble(ranks, decoded), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
     return whole.withColumnRenamed("id", id_column)
