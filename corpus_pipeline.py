@@ -1,10 +1,10 @@
 """A corpus prepared in five stages: quality, near-duplicates, repeated passages, contamination, token ids.
 
 Each stage works on all that the one before it kept and takes and returns the
-columns of ``documents``; the last returns the ids' digests. Rows that share an
-id are kept or dropped together by the filters, but of a near-duplicate group
-one row stays. Null ids are an id. Empty tables give empty results. Extra
-columns are dropped.
+columns of ``documents``; the last returns the ids' digests. Every row is
+judged by itself, whatever its id: a filter writes its input with a key of its
+own for each row and joins its decisions on that key. Empty tables give empty
+results. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -22,24 +22,29 @@ from cairnmark.llm.suffix_dedup import deduplicate, numbered
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose id is (left_semi) or is not (left_anti) among ``ids`` (doc_id); null ids match each other."""
-    ids = ids.select(F.col("doc_id").alias("wanted"))
-    return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, unique to each row, written so that it stays the same each time it is read."""
+    return written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def _by_key(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``keyed`` whose key is (left_semi) or is not (left_anti) among ``keys`` (key)."""
+    return keyed.join(keys.select("key"), "key", how).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the model keep."""
-    return _with_ids(docs, quality(docs).where("kept"), "left_semi")
+    keyed = _keyed(docs)
+    found = quality(keyed.select(F.col("key").alias("doc_id"), "lang", "text")).where("kept")
+    return _by_key(keyed, found.withColumnRenamed("doc_id", "key"), "left_semi")
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    found = cut(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
-    kept = _with_ids(docs, found, "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return kept
+    """One document of each near-duplicate group: of those with the smallest id (null ids last) the first in the input."""
+    keyed = _keyed(docs)
+    ranked = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")
+    found = near_duplicates(keyed.select(ranked.alias("doc_id"), "text"))
+    return _by_key(keyed, cut(found.where("doc_id.key = component_id.key").select("doc_id.key")), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +56,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    return _with_ids(docs, found, "left_anti")
+    keyed = _keyed(docs)
+    found = contamination(keyed.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    return _by_key(keyed, found.select(F.col("doc_id").alias("key")), "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,23 @@ def test_empty(spark, sf_dir, stage):
 def test_run(spark, sf_dir):
     got = P.run(spark, sf_dir)
     assert got.columns[0] == "doc_id" and 0 < got.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("one", [7, None])
+def test_rows_of_one_id_are_judged_apart(spark, sf_dir, one):
+    import pyarrow.parquet as pq
+
+    def texts(stage, given):
+        return sorted(r[1] for r in rows(stage(spark, fixtures.frame(spark, [(one, t, "en", "w", 1) for t in given]), sf_dir)))
+
+    good = [fixtures.sentences(i, 200) for i in range(30)]
+    assert texts(P.quality_rules, [*good, "too short"]) == sorted(good)
+    assert texts(P.near_duplicate_groups, [*good, *good]) == sorted(good)
+    item = pq.read_table(f"{sf_dir}/benchmark.parquet").column("text")[0].as_py()
+    assert texts(P.contaminated_documents, [*good, item]) == sorted(good)
+
+
+def test_near_duplicate_stage_takes_one_row_of_a_repeated_id(spark, sf_dir):
+    other = fixtures.sentences(1, 200)
+    given = [(9, fixtures.PASSAGE, "en", "w", 1), (4, fixtures.PASSAGE, "en", "w", 1), (4, fixtures.PASSAGE, "en", "w", 1), (None, fixtures.PASSAGE, "en", "w", 1), (4, other, "en", "w", 1)]
+    assert sorted((r[0], r[1]) for r in rows(P.near_duplicate_groups(spark, fixtures.frame(spark, given), sf_dir))) == sorted([(4, fixtures.PASSAGE), (4, other)])
