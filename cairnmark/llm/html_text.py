@@ -2,15 +2,16 @@
 
 1. Each page's containers are scored by the prose directly in them (half of it
    counts for the parent); the best ones vote for their generalised path of
-   tags and classes, digits left out.
+   tags and classes, digits left out. A path votes once a page.
 2. Votes are summed by host and path in Spark and each host keeps the path with
    most votes. A host with a third of all pages is pre-aggregated like any other.
-3. Every page is parsed again and the container on its host's path is taken; a
-   page without text there uses its own best container.
+3. Every page is parsed again and the container on its host's path is taken; of
+   several, their nearest common ancestor. A page without text there uses its
+   own best container, or the nearest common ancestor of all on the same path.
 
 Winners are broadcast if they are at most ``SMALL`` hosts, else joined.
 
-The text is the container's blocks in page order. Menus, headers, footers,
+The text is the container's blocks in page order, headings between its parts too. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader
 comments are left out, by tag, role or a word of the class or id. Null or empty
 html gives an empty text; a null url is a host of its own. Repeated rows and
@@ -183,16 +184,30 @@ class Page:
         return max(range(len(score)), key=lambda i: (score[i], -i))
 
     def votes(self) -> list[tuple[str, float]]:
-        """Paths of the containers that score at least half of the best, with their share of it."""
+        """Paths of the containers that score at least half of the best, each once with its best share of it."""
         score = self.scores()
         most = max(score)
-        return [(p, s / most) for p, s in zip(self.paths, score, strict=True) if s >= most / 2] if most else []
+        found: dict[str, float] = {}
+        for p, s in zip(self.paths, score, strict=True):
+            if most and s >= most / 2:
+                found[p] = max(found.get(p, 0), s / most)
+        return list(found.items())
+
+    def _common(self, places: list[int]) -> int:
+        """The nearest container that holds all of ``places``; a parent's number is below its children's."""
+        open_ = set(places)
+        while len(open_) > 1:
+            low = max(open_)
+            open_.remove(low)
+            open_.add(self.parents[low])
+        return open_.pop()
 
     def text(self, path: str | None) -> str:
-        """Text of the container on ``path`` that has most of it, or of the page's best one."""
+        """Text of all containers on ``path``, or on the path of the page's best one, and of what stands between them."""
         score = self.scores()
-        on_path = [i for i, p in enumerate(self.paths) if p == path and score[i]]
-        top = max(on_path, key=lambda i: (score[i], -i)) if on_path else self.best()
+        at = lambda path: [i for i, p in enumerate(self.paths) if p == path and score[i]]
+        best = self.best()
+        top = self._common(at(path) or at(self.paths[best]) or [best])
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):
             inside[i] = i == top or parent >= 0 and inside[parent]

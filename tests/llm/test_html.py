@@ -57,3 +57,14 @@ def test_odd_tables(spark):
     found = sorted(main_text(spark.createDataFrame(rows, schema)).collect(), key=lambda r: (r.page_id is not None, r.n_chars))
     assert [(r.page_id, r.n_chars > 0, r.n_chars == len(r.text)) for r in found] == [(None, False, True), (1, False, True), (1, True, True), (1, True, True)]
     assert main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("parts", [2, 3])
+def test_articles_in_equal_parts_stay_whole(spark, parts):
+    paragraphs = [LONG.format(f"{word} and again") for word in ("first", "second", "third")[:parts]]
+    sections = "".join(f"<section class='part{i}'><p>{p}</p></section>" for i, p in enumerate(paragraphs))
+    source = f"<html><body><div class='teaser'><p>Short teaser</p></div><article><h2>The heading of it</h2>{sections}</article></body></html>"
+    assert len(Page(source).votes()) == len(dict(Page(source).votes()))
+    pages = spark.createDataFrame([(i, "http://news.example.org/x", source) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in main_text(pages).collect()} == {"\n".join(["The heading of it", *paragraphs])}
+    assert text(source) == "\n".join(["The heading of it", *paragraphs])
