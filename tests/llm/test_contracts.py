@@ -135,3 +135,21 @@ def test_language_model_beats_uniform_and_is_a_log_probability(spark, sf_dir):
     assert all(r.score < 0 and math.isfinite(r.score) for r in found)
     again = {r.doc_id: r.score for r in Q.op10_language_model(spark, sf_dir).collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 * abs(r.score) + 1e-6 for r in found)
+
+
+def test_quality_rejects_texts_of_mostly_noise(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, fixtures.sentences(i, 200), "en", "web", 1) for i in range(200)]
+    noise = "".join(chr(rng.randrange(33, 127)) if rng.random() < 0.85 else " " for _ in range(2100))
+    rows += [(500, noise + " " + fixtures.sentences(901, 150), "en", "web", 1)]
+    kept = {r.doc_id: r.kept for r in quality(fixtures.frame(spark, rows)).collect()}
+    assert not kept[500] and all(kept[i] for i in range(200))
+
+
+def test_every_language_has_a_model(spark):
+    from cairnmark.llm.quality import fit_models, gram_counts
+
+    rows = [(i, fixtures.sentences(i, 200), "en", "web", 1) for i in range(100)] + [(500, "kivi on kova", "fi", "web", 1), (501, "jiwe ni gumu", "sw", "web", 1)]
+    assert {"en", "fi", "sw"} <= set(fit_models(gram_counts(fixtures.frame(spark, rows))))
