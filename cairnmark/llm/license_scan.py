@@ -19,6 +19,7 @@ not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -61,16 +62,15 @@ class Automaton:
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template to the first end of the state's runs in it
+        self.ends: list[dict[int, set[int]]] = [{}]  # template to the ends of the state's runs in it
         for t, h in enumerate(hashes):
             last = 0
             for i, word in enumerate(np.searchsorted(self.vocabulary, h).tolist()):
                 last = self._add(last, word)
-                self.ends[last].setdefault(t, i + 1)
+                self.ends[last].setdefault(t, set()).add(i + 1)
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for t, end in self.ends[s].items():
-                up = self.ends[self.link[s]]
-                up[t] = min(up.get(t, end), end)
+            for t, ends in self.ends[s].items():
+                self.ends[self.link[s]].setdefault(t, set()).update(ends)
 
     def _state(self, length: int) -> int:
         self.next.append({})
@@ -124,16 +124,15 @@ class Automaton:
         for t, size in enumerate(self.sizes):
             chain: list[tuple[int, int, int]] = []  # end in the document, end in the template, covered
             for end, length, state in runs:
-                at = self.ends[state].get(t)
-                if at is None:
-                    continue
-                most = length
-                for d, e, covered in chain[-64:]:
-                    fresh = min(length, at - e, end - d)
-                    if fresh > 0 and end - length - d <= gap:
-                        most = max(most, covered + fresh)
-                chain.append((end, at, most))
-                best[t] = max(best.get(t, 0), min(most, size))
+                near = chain[bisect_left(chain, end - length - gap, key=lambda c: c[0]) :]
+                for at in sorted(self.ends[state].get(t, ())):
+                    most = length
+                    for d, e, covered in near:
+                        fresh = min(length, at - e, end - d)
+                        if fresh > 0:
+                            most = max(most, covered + fresh)
+                    chain.append((end, at, most))
+                    best[t] = max(best.get(t, 0), min(most, size))
         return best
 
 

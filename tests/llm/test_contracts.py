@@ -153,3 +153,12 @@ def test_every_language_has_a_model(spark):
 
     rows = [(i, fixtures.sentences(i, 200), "en", "web", 1) for i in range(100)] + [(500, "kivi on kova", "fi", "web", 1), (501, "jiwe ni gumu", "sw", "web", 1)]
     assert {"en", "fi", "sw"} <= set(fit_models(gram_counts(fixtures.frame(spark, rows))))
+
+
+def test_a_licence_passage_that_stands_twice_chains_at_both_places(spark):
+    from cairnmark.llm.license_scan import TEMPLATES
+
+    passage = "above copyright notice, this list of conditions and the following disclaimer"
+    head, middle, tail = TEMPLATES["bsd-text"].split(passage)
+    rows = [(1, f"{head}{passage}{middle} edited {passage} edited {tail}", "en", "web", 1)]
+    assert licenses(fixtures.frame(spark, rows)).first().score == 1
