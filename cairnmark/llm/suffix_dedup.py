@@ -12,26 +12,28 @@ equal triggers wherever they stand, and every string belongs to one phrase. (A
 trigger that is a fixed residue leaves strings without any, so the minimum is
 taken.)
 
-Dictionary and parse. A phrase is extended by the bytes its last string needs.
-Rows (trigger, phrase) of all texts, one for each that differs within a block,
-are shuffled by trigger and sorted:
+Dictionary and parse. A phrase is extended by the bytes its last string needs,
+which is as far as the order of the parse (what follows a phrase) matters to
+strings of ``length`` bytes. Rows (trigger, phrase) of all texts, one for each
+that differs within a block, are shuffled by trigger and sorted:
 
 * A phrase that has come before makes all its strings repeats.
 * Where a trigger has one phrase only, its first place stays.
 * Where phrases that differ share a trigger, or its gram stands twice in a
-  phrase (periodic text), the phrases' bytes are brought together by trigger,
-  their strings (dictionary suffixes cut at ``length`` bytes) are ordered by
-  hash and all but the first place of each are repeats. Where a trigger has
-  more than ``HOT`` such phrases (the edges of a very common passage), the
-  strings are dealt out by their own hashes instead of meeting in one task.
+  phrase (periodic text), the phrases' bytes are brought together by trigger
+  and their suffix array, cut at ``length`` bytes, is built by prefix doubling;
+  in each class of equal suffixes all but the first place are repeats. A
+  trigger of over ``PIECE`` strings (the edges of a common passage) is
+  dealt in as many pieces by the strings' hashes, and repeats within a block
+  are dropped before.
 
 Equal strings meet either within a phrase or in that order, so together they
 are the corpus order of all suffixes to ``length`` bytes, without sorting the
-bytes of text that occurs once. The shuffles by phrase and by string first
-drop repeats within a block, so a passage in a third of all texts has one row
-for each block.
+bytes of text that occurs once. A passage in a third of all texts has one row
+for each block, and its edges one row for each block and piece.
 
-Strings are compared by a 64-bit hash within a trigger of 64 bits. Null texts
+Phrases are equal by 128 bits (trigger and phrase hash), strings of phrases
+that differ by their bytes. Null texts
 are empty. Of rows with one id, the order of the texts decides, and a row that
 repeats an earlier row in full counts as later; null ids come first. Extra
 columns are not read.
@@ -43,19 +45,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnmark.llm import ragged
-from cairnmark.llm.shared import cut, written
+from cairnmark.llm.shared import cut
 
 LENGTH = 100
 #: Bytes of the grams whose hashes are triggers.
 GRAM = 32
 #: Bytes of text in which repeats are dropped before the shuffle.
 BLOCK = 2 << 20
-#: Phrases of one trigger whose strings are ordered in one task.
-HOT = 2000
+#: Strings of one trigger in a piece, of which one task orders one after the other.
+PIECE = 1 << 13
+#: Triggers of several pieces that are broadcast; more are joined.
+SMALL = 100_000
 _LATER, _CHECK, _MANY, _ONE = 0, 1, 2, 3
 #: ``place`` packs the start in the text, the number of strings and the kind, in 34, 28 and 2 bits.
 _ROWS = "key long, phrase long, uid long, place long"
@@ -207,73 +212,131 @@ def _judge(batches):
             yield _batch(verdict[keep], uid[keep], key[keep], uid[keep], start[keep], n[keep])
 
 
-def _string_places(rows, data, offs, length: int):
-    """(hash, uid, start) of the strings of phrases (uid, start, n, text), by place."""
-    uids, starts, counts = (rows.column(c).to_numpy() for c in ("uid", "start", "n"))
-    hashes = ragged.window_hash(ragged.prefix(data), length)
-    at = np.repeat(offs[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    uid, start = np.repeat(uids, counts), np.repeat(starts - offs[:-1], counts) + at
-    place = np.lexsort([start, uid])
-    return hashes[at][place], uid[place], start[place]
+def suffix_classes(data: np.ndarray, length: int) -> np.ndarray:
+    """For every byte but the last ``length`` - 1, the rank of the ``length`` bytes from there on among all of them.
+
+    Prefix doubling: eight bytes are a number, the ranks of w bytes at two
+    places give the rank of 2w, and the last pair overlaps to end at
+    ``length``. Ranks are of the bytes themselves, so equal ranks mean equal
+    bytes.
+    """
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    rank, width = np.zeros(len(data) + 1, np.uint64), min(8, length)
+    for k in range(width):
+        rank = rank << np.uint64(8) | wide[k : k + len(rank)]
+    rank = _dense(rank[: len(data) - width + 1])
+    while width < length:
+        step = min(width, length - width)
+        rank = _dense(rank[:-step] << np.uint64(32) | rank[step:])
+        width += step
+    return rank
+
+
+def _dense(values: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    order = np.argsort(values)
+    new = np.zeros(len(values), np.uint64)
+    new[1:] = values[order][1:] != values[order][:-1]
+    out = np.empty(len(values), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _at(offs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where in the block the strings of phrases begin, phrase after phrase."""
+    return np.repeat(offs[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
-def _strings(length: int):
-    """Strings of the phrases by hash; repeats within a block of them are decided here."""
+def _pieces(length: int):
+    """Phrases (phrase, pieces, uid, start, n, text) to rows (key, places, text), one for each piece that the block has.
+
+    A trigger of one piece keeps its phrases whole; of several, every string
+    goes to the piece that its hash names, and those that repeat within the
+    block are decided here: rows without a text, whose places are repeats.
+    """
 
     def work(rows, data, offs):
-        key, uid, start = _string_places(rows, data, offs, length)
-        first = _firsts([key]) == np.arange(len(key))
-        kind = np.where(first, _ONE, _LATER)
-        return _batch(kind, np.where(first, key, uid.view(np.uint64)), key, uid, start, np.ones(len(uid), np.int64))
+        trigger, pieces, uid, start, n = (rows.column(c).to_numpy() for c in ("phrase", "pieces", "uid", "start", "n"))
+        split = pieces > 1
+        key, begin, stop, places, later = [trigger[~split]], [offs[:-1][~split]], [offs[1:][~split]], [np.stack([uid, start, n], axis=1)[~split]], None
+        if split.any():
+            own = np.flatnonzero(split)
+            some, size = ragged.gather(data, offs, own)
+            edge = np.concatenate([[0], np.cumsum(size)])
+            at, owner = _at(edge, n[own]), np.repeat(own, n[own])
+            shift = np.repeat(offs[own] - edge[:-1], n[own])
+            where = start[owner] + at + shift - offs[owner]
+            order = np.lexsort([where, uid[owner]])
+            at, owner, where, shift = at[order], owner[order], where[order], shift[order]
+            first = _firsts([suffix_classes(some, length)[at]]) == np.arange(len(at))
+            later = np.stack([uid[owner], where, np.ones(len(at), np.int64)], axis=1)[~first]
+            h = ragged.window_hash(ragged.prefix(some), length)[at[first]]
+            at, owner, where = (at + shift)[first], owner[first], where[first]
+            salt = h % pieces[owner].astype(np.uint64)
+            key.append(ragged.mix(trigger[owner].view(np.uint64) + salt).view(np.int64))
+            begin.append(at)
+            stop.append(at + length)
+            places.append(np.stack([uid[owner], where, np.ones(len(at), np.int64)], axis=1))
+        key, begin, stop, places = map(np.concatenate, (key, begin, stop, places))
+        order = np.argsort(key, kind="stable")
+        key, begin, stop, places = key[order], begin[order], stop[order], places[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        size = stop - begin
+        flat = data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        bounds = np.append(first, len(key))
+        out = [key[first], np.diff(bounds), ragged.row_sums(size, bounds)]
+        if later is not None and len(later):
+            places = np.concatenate([places, later])
+            out = [np.append(out[0], later[0, 0]), np.append(out[1], len(later)), np.append(out[2], 0)]
+        text = ragged.lists(flat, out[2])
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), ragged.lists(places.ravel(), 3 * out[1]), text], names=["key", "places", "text"])
 
     return ragged.mapper(work, target=BLOCK)
 
 
-def _together(length: int):
-    """Phrases sorted by trigger: all places of a string but the first are repeats."""
+def _order(length: int):
+    """Pieces sorted by key: in the suffix order of their phrases, all places of a string but the first are repeats."""
 
-    def judge(batches: list[pa.RecordBatch]):
-        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        data, offs = ragged.text_bytes(rows.column("text"))
-        key, uid, start = _string_places(rows, data, offs, length)
-        later = _firsts([key]) != np.arange(len(key))
-        if later.any():
-            return _later(uid[later], start[later])
+    def judge(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        uid, start, n = np.frombuffer(b"".join(rows.column("places").to_pylist()), np.int64).reshape(-1, 3).T
+        data, _ = ragged.text_bytes(rows.column("text"))
+        offs = np.concatenate([[0], np.cumsum(n + length - 1)])
+        at = _at(offs, n)
+        owner = np.repeat(np.arange(len(n)), n)
+        uid, where = uid[owner], start[owner] + at - offs[owner]
+        place = np.lexsort([where, uid])
+        later = place[_firsts([suffix_classes(data, length)[at[place]]]) != np.arange(len(place))]
+        if len(later):
+            yield _later(uid[later], where[later])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for rows, data, _ in ragged.blocks(batch, "text", BLOCK // 4):
-                key = rows.column("phrase").to_numpy()
+            known = np.asarray(pc.equal(pc.binary_length(batch.column("text")), 0))
+            if known.any():
+                uid, start, n = np.frombuffer(b"".join(batch.filter(pa.array(known)).column("places").to_pylist()), np.int64).reshape(-1, 3).T
+                yield _later(uid, start)
+            for rows, data, _ in ragged.blocks(batch.filter(pa.array(~known)), "text", BLOCK // 4):
+                key = rows.column("key").to_numpy()
                 cut_at = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-                done = bool(held) and held[-1].column("phrase")[0].as_py() != key[0]
+                done = bool(held) and held[-1].column("key")[0].as_py() != key[0]
                 if (cut_at or done) and size + len(data) >= BLOCK // 4:
-                    whole = [*held, rows.slice(0, cut_at)] if cut_at else held
-                    out = judge([x for x in whole if x.num_rows])
-                    if out is not None:
-                        yield out
+                    whole = [x for x in ([*held, rows.slice(0, cut_at)] if cut_at else held) if x.num_rows]
+                    yield from judge(whole)
                     held, size = [rows.slice(cut_at)], 0
                 else:
-                    held += [rows.slice(0, cut_at), rows.slice(cut_at)] if cut_at else [rows]
+                    held += [x for x in (rows.slice(0, cut_at), rows.slice(cut_at)) if x.num_rows]
                     size += len(data)
-        if held and (out := judge([x for x in held if x.num_rows])) is not None:
-            yield out
+        if held:
+            yield from judge(held)
+        ragged.release()
 
     return run
 
 
-def _order(batches):
-    """All places of a string but the first are repeats."""
-    for kind, key, _, uid, start, n in _groups(batches):
-        order = np.lexsort([start, uid, kind, key])
-        kind, key, uid, start, n = (x[order] for x in (kind, key, uid, start, n))
-        later = kind == _LATER
-        later[1:] |= (kind[1:] == _ONE) & (kind[:-1] == _ONE) & (key[1:] == key[:-1])
-        if later.any():
-            yield _later(np.repeat(uid[later], n[later]), np.repeat(start[later], n[later]))
-
-
 def _by_key(rows: DataFrame, work) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, _ROWS)
 
@@ -284,14 +347,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     judged = cut(_by_key(texts.mapInArrow(_parse(length, gram), _ROWS), _judge))
     found = _unpacked(judged)
     check = found.where(F.col("kind") == _CHECK).drop("kind")
-    hot = check.groupBy("phrase").count().where(F.col("count") > HOT).select("phrase", F.lit(True).alias("hot"))
-    check = cut(check.join(hot, "phrase", "left"))
+    large = check.groupBy("phrase").agg(F.sum("n").alias("strings")).where(F.col("strings") > PIECE)
+    large = cut(large.select("phrase", F.ceil(F.col("strings") / PIECE).alias("pieces")))
+    few = large.limit(SMALL + 1).count() <= SMALL
+    check = check.join(F.broadcast(large) if few else large, "phrase", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
     piece = F.substring(F.col("whole").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("n") + length - 1).cast("int"))
-    slices = texts.withColumnRenamed("text", "whole").join(check.hint("shuffle_hash"), "uid").select("phrase", "hot", "uid", "start", "n", piece.alias("text"))
-    slices = written(slices, "phrases")
-    together = slices.where("hot is null").select("phrase", "uid", "start", "n", "text").repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_together(length), _ROWS)
-    ordered = _by_key(slices.where("hot").mapInArrow(_strings(length), _ROWS), _order)
-    later = found.where(F.col("kind") == _LATER).select("uid", "start", "n").unionByName(_unpacked(together.unionByName(ordered)).select("uid", "start", "n"))
+    slices = texts.withColumnRenamed("text", "whole").join(check.hint("shuffle_hash"), "uid").select("phrase", "pieces", "uid", "start", "n", piece.alias("text"))
+    pieces = slices.mapInArrow(_pieces(length), "key long, places binary, text binary")
+    ordered = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_order(length), _ROWS)
+    later = found.where(F.col("kind") == _LATER).select("uid", "start", "n").unionByName(_unpacked(ordered).select("uid", "start", "n"))
     spans = later.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), "uid", "left")
 

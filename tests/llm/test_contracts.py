@@ -162,3 +162,29 @@ def test_a_licence_passage_that_stands_twice_chains_at_both_places(spark):
     head, middle, tail = TEMPLATES["bsd-text"].split(passage)
     rows = [(1, f"{head}{passage}{middle} edited {passage} edited {tail}", "en", "web", 1)]
     assert licenses(fixtures.frame(spark, rows)).first().score == 1
+
+
+def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
+    from cairnmark.llm import suffix_dedup
+
+    rows = [(i, fixtures.sentences(i, 40) + (f" {fixtures.PASSAGE} " if i % 3 == 0 else "") + fixtures.sentences(900 + i, 40), "en", "web", 1) for i in range(240)]
+    want = plain(brute.removed(pairs(rows)))
+    for piece in (suffix_dedup.PIECE, 7, 100):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        assert plain(removed(fixtures.frame(spark, rows).repartition(6)).collect()) == want
+    monkeypatch.setattr(suffix_dedup, "SMALL", 0)
+    assert plain(removed(fixtures.frame(spark, rows)).collect()) == want
+
+
+def test_suffix_classes_are_the_bytes_order():
+    import numpy as np
+
+    from cairnmark.llm.suffix_dedup import suffix_classes
+
+    data = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint8)
+    raw = data.tobytes()
+    for length in (5, 8, 9, 16, 30, 100):
+        cut = [raw[i : i + length] for i in range(len(raw) - length + 1)]
+        order = {x: r for r, x in enumerate(sorted(set(cut)))}
+        assert suffix_classes(data, length).tolist() == [order[x] for x in cut]
+    assert len(suffix_classes(data[:3], 8)) == 0
