@@ -2,22 +2,20 @@
 
 ``encode``:
 
-1. Each block of rows is split into pre-tokens; every distinct pre-token of the
-   block gets a local code, and each row keeps its codes in order of position
-   (packed by frequency into one to three bytes each).
-2. The (block, code, pre-token) rows are shuffled by pre-token, so equal words
-   of all blocks meet and each distinct word is encoded once. A word has at
-   most one row per block, so no word is hot.
-3. The ids go back to their blocks, those of one task and block packed in rows
-   of up to ``HELD`` words, and the texts of each block are reassembled by
-   position.
-
-A block is named by a hash of its bytes, so the two scans that feed the steps
-need not see the same batches in the same order; equal blocks share a name and
-the same codes. A block missing its words fails the task instead of losing ids.
+1. Each block of rows is split into pre-tokens once; every distinct pre-token
+   of the block gets a local code, and each row keeps its codes in order of
+   position (packed by frequency into one to three bytes each). Codes and
+   words are written as one table in the shared folder.
+2. The words are shuffled by hash, packed by block and bucket, so equal words
+   of all blocks meet and each distinct word is encoded once.
+3. The ids go back to their blocks, packed in the same way, and the texts of
+   each block are reassembled by position.
+
+A block is named by a hash of its bytes; equal blocks share a name and the
+same codes. A block missing its words fails the task instead of losing ids.
 
 ``decode`` joins ids with the token-byte table, whose size the vocabulary
-bounds, and concatenates the bytes.
+bounds: the table is broadcast as arrays and each id looks its bytes up.
 
 Null and empty texts have no ids and decode to no bytes. Repeated rows and
 null or repeated ids are kept as they are; other columns are not read.
@@ -33,16 +31,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmark.llm import ragged
+from cairnmark.llm import exchange, ragged
 from cairnmark.llm.merges import ByteMerges, byte_ranks
+from cairnmark.llm.shared import written
 
 #: Bytes of text in a block: its codes and words are in memory at once.
 BLOCK = 6 << 20
-#: Encoded words that a task holds before it packs them by block.
-HELD = 1 << 18
 #: The characters that \s stands for in the pattern.
 WHITE = "\t\n\v\f\r \x85\xa0                　"
 _LATIN, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
@@ -84,8 +81,8 @@ class _Codes(dict):
         return found
 
 
-def pack(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Little-endian groups of seven bits, the last of each number without the high bit."""
+def packed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian groups of seven bits, the last of each number without the high bit; and the bytes of each number."""
     more = (codes >= 1 << 7).astype(np.int64) + (codes >= 1 << 14) + (codes >= 1 << 21)
     width = more + 1
     begin = np.cumsum(width) - width
@@ -93,6 +90,12 @@ def pack(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
     for k in range(4):
         has = more >= k
         out[begin[has] + k] = ((codes[has] >> (7 * k)) & 0x7F) | ((more[has] > k) << 7)
+    return out, width
+
+
+def pack(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Ragged rows of numbers, packed."""
+    out, width = packed(codes)
     total = np.concatenate([[0], np.cumsum(width)])
     bounds = np.concatenate([[0], np.cumsum(counts)])
     return ragged.lists(out, total[bounds[1:]] - total[bounds[:-1]])
@@ -109,8 +112,8 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
-def _coded(pattern: str, want: str):
-    """Rows (block, id, n, codes) or, if ``want`` is 'words', (block, code, word)."""
+def _coded(pattern: str, buckets: int):
+    """One row (block, bucket -1, of, ids, n, codes) for each block and one (block, bucket, words) for each bucket of its words."""
 
     def work(rows, data, offs):
         raw = data.tobytes()
@@ -125,115 +128,109 @@ def _coded(pattern: str, want: str):
         order = np.argsort(-np.bincount(flat, minlength=len(table.code)), kind="stable")
         code = np.empty(len(order), np.int32)
         code[order] = np.arange(len(order), dtype=np.int32)
-        if want == "words":
-            words = [x.encode() for x in table.code]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(code), pa.array(words, pa.binary())], names=["block", "code", "word"])
+        words = [x.encode() for x in table.code]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters, sizes = ragged.gather(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), order)
+        of, dealt = exchange.deal(letters, np.concatenate([[0], np.cumsum(sizes)]), buckets)
         counts = np.array(counts, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block)), rows.column("id"), pa.array(counts.astype(np.int32)), pack(code[flat], counts)], names=["block", "id", "n", "codes"])
+        n = 1 + len(dealt)
+        once = lambda x, kind: pa.array([x] + [None] * len(dealt), kind)
+        ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("id")).take(pa.array([0] + [None] * len(dealt), pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.array([-1, *(b for b, _ in dealt)], pa.int32()), pa.array([None, *(w for _, w in dealt)], pa.binary()), once(exchange.squeeze(of), pa.binary()), ids, once(exchange.squeeze(counts), pa.binary()), once(exchange.squeeze(packed(code[flat])[0]), pa.binary())],
+            names=["block", "bucket", "words", "of", "id", "n", "codes"],
+        )
 
     return ragged.mapper(work, target=BLOCK)
 
 
-def _by_block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """One row (block, codes, ns, ids) for each block of the held words: steps of their codes, numbers of ids, and ids."""
-    block, code, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-    ids, offs = np.concatenate([h[3] for h in held]), np.concatenate([[0], np.cumsum(n)])
-    order = np.lexsort([code, block])
-    block, code = block[order], code[order].astype(np.int64)
-    ids, n = ragged.gather(ids, offs, order)
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    bounds = np.append(first, len(block))
-    steps = np.diff(code, prepend=0)
-    steps[first] = code[first]
-    words = np.diff(bounds)
-    return pa.RecordBatch.from_arrays([pa.array(block[first]), pack(steps, words), pack(n, words), pack(ids.astype(np.int64), ragged.row_sums(n, bounds))], names=["block", "codes", "ns", "ids"])
+def _encode_words(ranks: str):
+    """Ids of a bucket's words: each distinct word is encoded once."""
 
+    def work(bucket: exchange.Bucket) -> pa.RecordBatch:
+        ids, n = merges_of(ranks).encode(bucket.words.to_pylist())
+        offs, kind = np.concatenate([[0], np.cumsum(n)]), "<u2" if len(merges_of(ranks).token_offs) <= 1 << 16 else "<u4"
+        out = []
+        for a, b in itertools.pairwise(bucket.bounds.tolist()):
+            flat, counts = ragged.gather(ids.astype(kind), offs, bucket.at[a:b])
+            out.append(exchange.squeeze(np.array([b - a], "<u4"), counts.astype("<u4"), flat))
+        return pa.RecordBatch.from_arrays([pa.array(bucket.blocks, pa.int64()), pa.array([bucket.number] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
-def _encode_words(ranks: str):
-    """(block, code, word), sorted by word, to packed (block, codes, ns, ids): each distinct word is encoded once."""
+    return work
 
-    def run(batches):
-        last, last_ids = None, None
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            known = distinct[0] == last
-            ids, n = merges_of(ranks).encode(distinct[known:])
-            if known:
-                ids, n = np.concatenate([last_ids, ids]), np.concatenate([[len(last_ids)], n])
-            offs = np.concatenate([[0], np.cumsum(n)])
-            last, last_ids = distinct[-1], ids[offs[-2] :]
-            flat, counts = ragged.gather(ids.astype(np.uint32), offs, np.asarray(coded.indices, np.int64))
-            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy(), counts, flat))
-            size += batch.num_rows
-            if size >= HELD:
-                yield _by_block(held)
-                held, size = [], 0
-        if held:
-            yield _by_block(held)
-        ragged.release()
 
-    return run
+def ids_of(answers: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of several answers, back to back, and where each word's begin."""
+    counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, kind)]
+    for raw in map(exchange.swell, answers):
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        counts.append(np.frombuffer(raw, "<u4", n, 4))
+        ids.append(np.frombuffer(raw, kind, offset=4 + 4 * n))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
 
 
-def _bytes_of(ranks: str, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
-    """The bytes that each row's ids stand for, from the token-byte table."""
+def token_table(spark: SparkSession, ranks: str):
+    """The token-byte table (bytes of all ids back to back, and where each begins), broadcast."""
     table = merges_of(ranks)
-    flat, counts = ragged.gather(table.token_bytes, table.token_offs, ids.astype(np.int64))
+    return spark.sparkContext.broadcast((table.token_bytes, table.token_offs))
+
+
+def _bytes_of(table, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """The bytes that each row's ids stand for, by the token-byte table."""
+    flat, counts = ragged.gather(*table, ids.astype(np.int64))
     ends = np.concatenate([[0], np.cumsum(counts)])[offs]
     return ragged.lists(flat, np.diff(ends))
 
 
-def _reassemble(ranks: str, decoded: bool):
-    """The ids of a block's texts from their words' ids; with ``decoded``, also the bytes that these ids stand for."""
+def _reassemble(kind: str, table):
+    """The ids of a block's texts from their words' ids; with ``table``, also the bytes that these ids stand for."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        codes = np.concatenate([none, *(np.cumsum(unpack(x)) for x in words.column("codes").to_pylist())])
-        row = np.concatenate([[0], np.cumsum(np.concatenate([none, *map(unpack, words.column("ns").to_pylist())]))])
-        flat = np.concatenate([none, *map(unpack, words.column("ids").to_pylist())]).astype(np.uint32)
-        size = int(codes.max()) + 1 if len(codes) else 0
-        place = np.full(size, -1)
-        place[codes] = np.arange(len(codes))
-        out = []
-        for raw in texts.column("codes").to_pylist():
-            at = unpack(raw)
-            if len(at) and (at.max() >= size or place[at].min() < 0):
-                raise RuntimeError("a block came without its words; is the input the same each time it is read?")
-            out.append(ragged.gather(flat, row, place[at])[0] if len(at) else flat[:0])
-        found = {"id": texts.column("id"), "n_tokens": pa.array([len(x) for x in out], pa.int64()), "ids": pa.array([x.tobytes() for x in out], pa.binary())}
-        if decoded:
-            ids = np.concatenate([*out, flat[:0]])
-            found["decoded"] = _bytes_of(ranks, ids, np.cumsum([0, *map(len, out)]))
-        return pa.table(found)
+        out = {"id": [], "n_tokens": [], "ids": []} | ({"decoded": []} if table else {})
+        for i in range(texts.num_rows):
+            of, counts, codes = (exchange.swell(texts.column(c)[i].as_py()) for c in ("of", "n", "codes"))
+            place, chosen = exchange.in_order(np.frombuffer(of, np.uint32), words.column("bucket").to_pylist())
+            flat, row = ids_of([words.column("ids")[j].as_py() for j in chosen], kind)
+            if len(row) != len(place) + 1:
+                raise RuntimeError("a block came without all of its words")
+            codes, counts = unpack(codes), np.frombuffer(counts, np.int64)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            ids, n = ragged.gather(flat, row, place[codes])
+            total = ragged.row_sums(n, bounds)
+            out["id"].append(texts.column("id").combine_chunks()[i].values)
+            out["n_tokens"].append(pa.array(total))
+            out["ids"].append(ragged.lists(ids.astype("<u4"), total))
+            if table:
+                out["decoded"].append(_bytes_of(table.value, ids, np.concatenate([[0], np.cumsum(total)])))
+        return pa.table({c: pa.chunked_array(x) for c, x in out.items()}) if texts.num_rows else None
 
     return run
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
     """(id, n_tokens, ids): the ids of every text as little-endian unsigned 32-bit integers; with ``decoded``, also as in ``decode``, in the same task."""
+    spark = docs.sparkSession
     picked = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    words = picked.select("text").mapInArrow(_coded(pattern, "words"), "block long, code int, word binary")
-    words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block long, codes binary, ns binary, ids binary")
-    texts = picked.mapInArrow(_coded(pattern, "texts"), f"block long, id {kind}, n int, codes binary")
-    whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble(ranks, decoded), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
+    coded = written(picked.mapInArrow(_coded(pattern, exchange.count(spark)), f"block long, bucket int, words binary, of binary, id array<{kind}>, n binary, codes binary"), "words")
+    words = exchange.by_bucket(coded.where("bucket >= 0"), _encode_words(ranks), "block long, bucket int, ids binary")
+    texts = coded.where("bucket < 0").select("block", "of", "id", "n", "codes")
+    narrow = "<u2" if len(merges_of(ranks).token_offs) <= 1 << 16 else "<u4"
+    whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble(narrow, token_table(spark, ranks) if decoded else None), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
     return whole.withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, ranks: str, ids_column: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the bytes its ids stand for, from the token-byte table."""
     others = [c for c in encoded.columns if c != "decoded"]
+    table = token_table(encoded.sparkSession, ranks)
     picked = encoded.select(*others)
     schema = picked.withColumn("decoded", F.lit(None).cast("binary")).schema
 
     def run(batches):
         for batch in batches:
             data, offs = ragged.text_bytes(batch.column(ids_column))
-            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(ranks, data.view(np.uint32), offs // 4)], names=[*others, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(table.value, data.view(np.uint32), offs // 4)], names=[*others, "decoded"])
 
     return picked.mapInArrow(run, schema)
 
