@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a folder of our own is set."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster
-    own = spark.conf.get("cairnmark.shared.dir", None)
-    if not own:
-        own = "file://" + os.path.join(tempfile.gettempdir(), "cairnmark-shared")
-        spark.conf.set("cairnmark.shared.dir", own)
-    return own
+    """spark.checkpoint.dir, a folder that all executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,3 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cairnmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """As ``written``, in buckets by ``column``: a later join or cogroup on it needs no shuffle of the table."""
+    spark = df.sparkSession
+    table = f"cairnmark_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(spark).rstrip('/')}/{table}").saveAsTable(table)
+    return spark.table(table)

@@ -1,31 +1,35 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-``write_store`` encodes texts, orders them by id and writes two tables:
+``write_store`` deals texts by ranges of ids, encodes each range in order and
+writes two tables:
 
 * ``shards``: payloads of about ``SHARD`` raw little-endian ids (16 bits each
   where the vocabulary allows, else 32), with the keys and lengths of their
-  documents. A document is never split.
+  documents, in buckets by range. A document is never split.
 * ``index``: one row for each bucket of about ``BUCKET`` keys, with the
   displacements of a minimal perfect hash (hash and displace) and, slot by
   slot, a stored 32-bit fingerprint, the shard, the offset in it and the length.
+  Keys whose hashes clash under one seed are hashed anew under the next.
 
 ``lookup`` finds a key by one bucket, one displacement and one slot, whatever
 the size of the store; a fingerprint that differs means that the key is absent.
-``read_documents`` returns the ids of located documents from the shards.
+``read_documents`` returns the ids of located documents: only the locations
+are shuffled, to where the shards lie.
 
 Spark's own writers commit the files, so a lost executor leaves no half shard.
 Texts are encoded by the tokenizer library, each distinct run of characters
 without white space once per cache: the tokenizers supported drop white space
 and never join across it. Null and empty texts have the end id alone. Ids are
-integers or null; null sorts first. Rows that share an id are numbered in the
-order of their ids and found by (id, copy). Other columns are not read.
+integers or null; null sorts first. Rows that share an id are ordered and
+numbered by the XXH64 of their texts, so an id with a third of all rows is
+dealt in several ranges like any others, and are found by (id, copy). Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,24 +37,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnmark.llm import ragged
-from cairnmark.llm.shared import written
+from cairnmark.llm.shared import in_buckets, written
 
 SHARD, BUCKET, CACHE = 1 << 20, 4096, 300_000
-_RUNS = re.compile(r"[^ \n\t\r]+")
-_LATIN, _MARK = "a-zà-öø-ɏ", r"!-&(-/:;=?-@\[-`{-~"
-#: Between Latin letters and ASCII marks (but apostrophes and angle brackets) a pre-token always ends.
-_FINE = re.compile(f"[{_LATIN}]++(?=[{_MARK} \n\t\r]|$)|[{_MARK}]++(?=[{_LATIN} \n\t\r]|$)|[^ \n\t\r]+")
+#: Bytes of text in a range of ids, where the shuffle partitions would make them larger.
+RANGE = 64 << 20
+_WHITE = np.zeros(256, bool)
+_WHITE[list(b" \n\t\r")] = True
+_LETTER, _MARK = 1, 2
 
 
-class _Ids(dict):
+class _Ids:
     """Runs to their ids in ``flat``; new ones are encoded together."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -58,38 +63,50 @@ class _Ids(dict):
         split = (rules["pre_tokenizer"].get("pretokenizers") or [rules["pre_tokenizer"]])[0]
         pattern = split.get("pattern", {}).get("Regex", "")
         joins = r"\s" in pattern.replace(r"[^\s\p{L}\p{N}]", "") or "." in pattern or not split.get("invert")
-        if split["type"] != "Split" or joins or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"]):
+        special = "".join(t["content"] for t in rules["added_tokens"])
+        if split["type"] != "Split" or joins or special.split() != [special] * bool(special) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"]):
             raise ValueError("only tokenizers that drop white space and never join across it are supported")
-        self.lower = "Lowercase" in json.dumps(rules["normalizer"])
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]) or "(?!)")
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.zeros(256, np.int8)
+        if "Lowercase" in json.dumps(rules["normalizer"]):  # between ASCII letters and marks a pre-token always ends, but for apostrophes
+            self.kind[0x21:0x7F] = _MARK
+            self.kind[0x30:0x3A] = 0
+            self.kind[0x41:0x5B] = self.kind[0x61:0x7B] = _LETTER
+            self.kind[[c for c in (special + "'<>").encode() if self.kind[c] == _MARK]] = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
         self.flat, self.offs = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def runs(self, text: str) -> list[str]:
-        if self.special.search(text) or not self.lower:
-            return _RUNS.findall(text)
-        return _FINE.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs without white space; those of ASCII letters and marks alone are cut between these."""
+        starts, ends, _ = ragged.words(data, offs, ~_WHITE)
+        kind = self.kind[data]
+        others = np.concatenate([[0], np.cumsum((kind == 0) & ~_WHITE[data])])
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        run = np.searchsorted(starts, cut, side="right") - 1
+        cut = cut[(others[ends[run]] == others[starts[run]]) & (cut > starts[run])] if len(starts) else cut[:0]
+        return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts back to back, and how many each has."""
-        if len(self) > CACHE:
-            self.clear()
-            self.flat, self.offs = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        split = [self.runs(x) for x in texts]
-        new = list(set().union(*split).difference(self))
+        starts, ends = self.runs(data, offs)
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~_WHITE[data]])]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.place) > CACHE:
+            self._clear()
+        new = [x for x in distinct if x not in self.place]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int64)])
             self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
-        flat, counts = ragged.gather(self.flat, self.offs, at)
-        return flat, ragged.row_sums(counts, np.concatenate([[0], np.cumsum(n)]))
-
-
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        flat, counts = ragged.gather(self.flat, self.offs, place[np.asarray(coded.indices, np.int64)])
+        return flat, ragged.row_sums(counts, np.searchsorted(starts, offs))
 
 
 @lru_cache(maxsize=2)
@@ -108,57 +125,62 @@ class Store:
     dtype: str
 
 
-def _encode(path: str, end_id: int, bounds: np.ndarray, dtype: str):
-    def work(rows, data, offs):
-        raw = data.tobytes()
-        ids, n = _ids(path).encode([raw[a:b].decode() for a, b in itertools.pairwise(offs.tolist())])
-        ends = np.cumsum(n + 1)
-        out = np.full(int(ends[-1]), end_id, dtype)
-        body = np.ones(len(out), bool)
-        body[ends - 1] = False
-        out[body] = ids
-        part = np.searchsorted(bounds, rows.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(part), rows.column("id"), ragged.lists(out, n + 1)], names=["part", "id", "ids"])
-
-    return ragged.mapper(work)
-
-
-def _pack(width: int, shard: int):
-    """Rows sorted by part and id to shards; ``copy`` numbers the rows of one id."""
+def _shards(path: str, end_id: int, dtype: str, shard: int):
+    """Rows of a range in order of id to shards; ``copies`` numbers the rows of one id in the range."""
 
     def run(batches):
-        part, seq, base, size = None, 0, 0, 0
+        part, seq, base, size = TaskContext.get().partitionId(), 0, 0, 0
         keys: list = []
         copies: list[int] = []
+        lengths: list[int] = []
         payload: list[bytes] = []
-        last, copy = None, 0
+        last, copy = object(), 0
 
         def row():
-            lengths = [len(x) // width for x in payload]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([copies], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(payload)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([copies], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(payload)], pa.binary())],
                 names=["part", "seq", "base", "n_ids", "keys", "copies", "lengths", "payload"],
             )
 
         for batch in batches:
-            for p, key, raw in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if payload and (p != part or size + len(raw) // width > shard):
-                    yield row()
-                    seq, base, size, keys, copies, payload = seq + 1, base + size, 0, [], [], []
-                if p != part:
-                    part, seq, base = p, 0, 0
-                copy = copy + 1 if last == (p, key) else 0
-                last = (p, key)
-                keys.append(key)
-                copies.append(copy)
-                payload.append(raw)
-                size += len(raw) // width
+            for rows, data, offs in ragged.blocks(batch):
+                ids, n = _ids(path).encode(data, offs)
+                ends = np.cumsum(n + 1)
+                out = np.full(int(ends[-1]), end_id, dtype)
+                body = np.ones(len(out), bool)
+                body[ends - 1] = False
+                out[body] = ids
+                for key, a, b in zip(rows.column("id").to_pylist(), (ends - n - 1).tolist(), ends.tolist(), strict=True):
+                    if payload and size + b - a > shard:
+                        yield row()
+                        seq, base, size, keys, copies, lengths, payload = seq + 1, base + size, 0, [], [], [], []
+                    copy = copy + 1 if key == last else 0
+                    last = key
+                    keys.append(key)
+                    copies.append(copy)
+                    lengths.append(b - a)
+                    payload.append(out[a:b].tobytes())
+                    size += b - a
         if payload:
             yield row()
+        ragged.release()
 
     return run
 
 
+def _starts(shards: DataFrame) -> DataFrame:
+    """(part, before, lead, copies): ids and copies of the key ``lead``, its first, in the ranges before each."""
+    first, last = F.element_at("keys", 1), F.element_at("keys", -1)
+    ends = shards.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min_by(first, "seq").alias("lead"), F.max_by(last, "seq").alias("last"), F.max_by(F.element_at("copies", -1), "seq").alias("copy"))
+    out, before, last, copies = [], 0, object(), 0
+    for r in sorted(ends.collect(), key=lambda r: r.part):  # one row for each range
+        lead_copies = copies if r.lead == last else 0
+        out.append((r.part, before, r.lead, lead_copies))
+        copies = r.copy + 1 + (lead_copies if r.last == r.lead else 0)
+        before, last = before + r.n, r.last
+    return shards.sparkSession.createDataFrame(out, "part int, before long, lead long, lead_copies long")
+
+
 def _hashes(keys: list, copies: list) -> np.ndarray:
     """Two 64-bit hashes of each (key, copy)."""
     raw = b"".join([xxhash.xxh3_128_digest(f"{k}#{c}") for k, c in zip(keys, copies, strict=True)])
@@ -202,48 +224,62 @@ def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return displaced, slot
 
 
-def _located(shards: DataFrame, buckets: int) -> DataFrame:
+def _seeded(h: np.ndarray, check: np.ndarray, seed: int) -> np.ndarray:
+    """One hash of both, another for each seed."""
+    return ragged.mix(h ^ ragged.mix(check + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _located(shards: DataFrame, starts: DataFrame, buckets: int) -> DataFrame:
     """Where each (key, copy) lies, with its bucket."""
 
     def run(batches):
         for batch in batches:
-            for part, seq, keys, copies, lengths in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "keys", "copies", "lengths")), strict=True):
+            for part, seq, lead, before, keys, copies, lengths in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "lead", "lead_copies", "keys", "copies", "lengths")), strict=True):
+                copies = [c + before if k == lead else c for k, c in zip(keys, copies, strict=True)]
                 h = _hashes(keys, copies)
                 n = np.array(lengths, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((h[:, 0] % np.uint64(buckets)).astype(np.int64)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), seq, np.int32)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(keys, pa.int64()), pa.array(copies, pa.int32())],
+                    [pa.array((h[:, 0] % np.uint64(buckets)).astype(np.int64)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), seq, np.int32)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(keys, pa.int64()), pa.array(copies, pa.int64())],
                     names=["bucket", "h", "check", "part", "seq", "at", "n", "key", "copy"],
                 )
 
-    return shards.select("part", "seq", "keys", "copies", "lengths").mapInArrow(run, "bucket long, h long, check long, part int, seq int, at long, n long, key long, copy int")
+    picked = shards.select("part", "seq", "keys", "copies", "lengths").join(starts, "part")
+    return picked.mapInArrow(run, "bucket long, h long, check long, part int, seq int, at long, n long, key long, copy long")
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    h = ragged.mix(pdf["h"].to_numpy(np.int64).view(np.uint64))
-    displaced, slot = perfect_hash(h)
+    h, check = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "check"))
+    seed = next((s for s in range(64) if len(np.unique(_seeded(h, check, s))) == len(h)), None)
+    if seed is None:
+        raise RuntimeError("two keys have equal hashes of 128 bits")
+    displaced, slot = perfect_hash(_seeded(h, check, seed))
     order = np.argsort(slot)
     column = lambda c, kind: [pdf[c].to_numpy()[order].astype(kind).tobytes()]
-    prints = [(pdf["check"].to_numpy(np.int64)[order].view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes()]
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "n_keys": [len(h)], "displaced": [displaced.astype("<u4").tobytes()], "prints": prints, "parts": column("part", "<i4"), "seqs": column("seq", "<i4"), "ats": column("at", "<i8"), "ns": column("n", "<i4")})
+    prints = [(check[order] >> np.uint64(32)).astype("<u4").tobytes()]
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "n_keys": [len(h)], "seed": [seed], "displaced": [displaced.astype("<u4").tobytes()], "prints": prints, "parts": column("part", "<i4"), "seqs": column("seq", "<i4"), "ats": column("at", "<i8"), "ns": column("n", "<i4")})
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shard: int = SHARD) -> Store:
     """Writes the store of ``docs`` to the shared folder."""
     spark = docs.sparkSession
     picked = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
-    width = 2 if max(_ids(tokenizer).size, end_id + 1) <= 1 << 16 else 4
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(picked.stat.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts), np.float64)
-    encoded = picked.mapInArrow(_encode(tokenizer, end_id, bounds.astype(np.int64), f"<u{width}"), "part int, id long, ids binary")
-    in_order = encoded.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("id"), "ids")
-    shards = written(in_order.mapInArrow(_pack(width, shard), "part int, seq int, base long, n_ids long, keys array<long>, copies array<int>, lengths array<int>, payload binary"), "shards")
+    dtype = "<u2" if max(_ids(tokenizer).size, end_id + 1) <= 1 << 16 else "<u4"
+    size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    order = [F.asc_nulls_first("id"), F.asc("tie")]
+    ranges = picked.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
+    rows = ranges.mapInArrow(_shards(tokenizer, end_id, dtype, shard), "part int, seq int, base long, n_ids long, keys array<long>, copies array<long>, lengths array<int>, payload binary")
+    shards = in_buckets(rows, "shards", min(parts, 100_000), "part")
+    starts = _starts(shards)
     n = shards.agg(F.sum(F.size("keys"))).first()[0] or 0
     buckets = max(1, -(-n // BUCKET))
-    index = written(_located(shards, buckets).groupBy("bucket").applyInPandas(_build, "bucket long, n_keys long, displaced binary, prints binary, parts binary, seqs binary, ats binary, ns binary"), "index")
-    totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one row for each part
-    begin = list(itertools.accumulate((totals[p] for p in sorted(totals)), initial=0))
-    starts = spark.createDataFrame(list(zip(sorted(totals), begin, strict=False)), "part int, before long")
-    return Store(shards, index, starts, buckets, f"<u{width}")
+    index = written(_located(shards, starts, buckets).groupBy("bucket").applyInPandas(_build, "bucket long, n_keys long, seed int, displaced binary, prints binary, parts binary, seqs binary, ats binary, ns binary"), "index")
+    return Store(shards, index, starts, buckets, dtype)
+
+
+def keys_of(store: Store) -> DataFrame:
+    """(key, copy) of every document of the store."""
+    return _located(store.shards, store.starts, store.buckets).select("key", "copy")
 
 
 def lookup(store: Store, keys: DataFrame) -> DataFrame:
@@ -261,7 +297,7 @@ def lookup(store: Store, keys: DataFrame) -> DataFrame:
             return pd.DataFrame({c: [] for c in names})
         row = right.iloc[0]
         n, displaced = int(row["n_keys"]), np.frombuffer(row["displaced"], "<u4").astype(np.int64)
-        h = ragged.mix(left["h"].to_numpy(np.int64).view(np.uint64))
+        h = _seeded(left["h"].to_numpy(np.int64).view(np.uint64), left["check"].to_numpy(np.int64).view(np.uint64), int(row["seed"]))
         slot = _slots(h, displaced[(h % np.uint64(len(displaced))).astype(np.int64)], n)
         here = np.frombuffer(row["prints"], "<u4")[slot] == (left["check"].to_numpy(np.int64).view(np.uint64) >> np.uint64(32))
         found = {"key": left["key"].array, "copy": left["copy"].array}
@@ -269,8 +305,8 @@ def lookup(store: Store, keys: DataFrame) -> DataFrame:
             found[name] = np.frombuffer(row[column], kind)[slot]
         return pd.DataFrame(found)[here]
 
-    wanted = keys.select(F.col("key").cast("long"), F.col("copy").cast("int")).mapInPandas(hashed, "bucket long, h long, check long, key long, copy int")
-    return wanted.groupBy("bucket").cogroup(store.index.groupBy("bucket")).applyInPandas(find, "key long, copy int, part int, seq int, at long, n long")
+    wanted = keys.select(F.col("key").cast("long"), F.col("copy").cast("long")).mapInPandas(hashed, "bucket long, h long, check long, key long, copy long")
+    return wanted.groupBy("bucket").cogroup(store.index.groupBy("bucket")).applyInPandas(find, "key long, copy long, part int, seq int, at long, n long")
 
 
 def read_documents(store: Store, located: DataFrame) -> DataFrame:
@@ -278,20 +314,22 @@ def read_documents(store: Store, located: DataFrame) -> DataFrame:
     dtype = store.dtype
 
     def slices(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "copy": [], "start": [], "ids": []})
-        ids = np.frombuffer(right["payload"].iloc[0], dtype)
-        base = int(right["base"].iloc[0])
-        out = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(left["at"], left["n"], strict=True)]
-        return pd.DataFrame({"key": left["key"].array, "copy": left["copy"].array, "start": base + left["at"].to_numpy(), "ids": out})
+        found: dict[str, list] = {c: [] for c in ("key", "copy", "start", "ids")}
+        for seq, base, payload in zip(right["seq"], right["base"], right["payload"], strict=True):
+            ids, here = np.frombuffer(payload, dtype), left[left["seq"] == seq]
+            found["key"] += here["key"].tolist()
+            found["copy"] += here["copy"].tolist()
+            found["start"] += (base + here["at"] + here["before"]).tolist()
+            found["ids"] += [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(here["at"], here["n"], strict=True)]
+        return pd.DataFrame(found)
 
-    shards = store.shards.join(store.starts, "part").select("part", "seq", (F.col("base") + F.col("before")).alias("base"), "payload")
-    return located.groupBy("part", "seq").cogroup(shards.groupBy("part", "seq")).applyInPandas(slices, "key long, copy int, start long, ids binary")
+    located = located.join(store.starts.select("part", "before"), "part")
+    shards = store.shards.select("part", "seq", "base", "payload")
+    return located.groupBy("part").cogroup(shards.groupBy("part")).applyInPandas(slices, "key long, copy long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, found through the index and read from the shards."""
     store = write_store(docs, tokenizer, end_id)
-    keys = store.shards.select(F.explode(F.arrays_zip("keys", "copies")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.copies").alias("copy"))
-    read = read_documents(store, lookup(store, keys))
+    read = read_documents(store, lookup(store, keys_of(store)))
     return read.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -61,8 +61,9 @@ def token_store(docs, name="word_bpe_49k.json", end=2):
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     start, out = 0, []
-    coded = [(d, [*t.encode(text or "", add_special_tokens=False).ids, end]) for d, text in docs]
-    for d, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    tie = lambda text: 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    coded = [(d, [*t.encode(text or "", add_special_tokens=False).ids, end], tie(text)) for d, text in docs]
+    for d, ids, _ in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, r[2] - (r[2] >> 63 << 64))):
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out

@@ -188,3 +188,24 @@ def test_suffix_classes_are_the_bytes_order():
         order = {x: r for r, x in enumerate(sorted(set(cut)))}
         assert suffix_classes(data, length).tolist() == [order[x] for x in cut]
     assert len(suffix_classes(data[:3], 8)) == 0
+
+
+def test_an_id_with_a_third_of_all_rows_is_dealt_in_ranges(spark):
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else 1000 + i, fixtures.sentences(i, 30), "en", "web", 1) for i in range(300)]
+    docs = fixtures.frame(spark, rows)
+    assert plain(round_trip(docs, WORD).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == plain(brute.token_store(pairs(rows)))
+    store = write_store(docs, WORD, 2)
+    assert max(r["count"] for r in store.shards.selectExpr("part", "explode(keys) k").groupBy("part").count().collect()) < 120
+    found = lookup(store, spark.createDataFrame([(5, 0), (5, 99), (None, 57), (5, 100)], "key long, copy long"))
+    assert sorted((r.key or 0, r.copy) for r in found.collect()) == [(0, 57), (5, 0), (5, 99)]
+
+
+def test_equal_hashes_are_hashed_anew():
+    import numpy as np
+
+    from cairnmark.llm.token_store import _seeded, perfect_hash
+
+    h, check = np.array([7, 7, 9], np.uint64), np.array([1, 2, 2], np.uint64)
+    found = _seeded(h, check, 0)
+    assert len(set(found.tolist())) == 3 and sorted(perfect_hash(found)[1].tolist()) == [0, 1, 2]
+    assert set(found.tolist()).isdisjoint(_seeded(h, check, 1).tolist())
