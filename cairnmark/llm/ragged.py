@@ -9,6 +9,7 @@ of its own, so a task needs memory in proportion to its longest text.
 from __future__ import annotations
 
 import ctypes
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offs - offs[0]
 
 
+def byte_list(column: pa.Array) -> list[bytes]:
+    """The values of a large binary column without nulls; faster than to_pylist."""
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in itertools.pairwise(offs)]
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", target: int = TARGET):
     """Yields (rows, data, offs) for runs of rows of about ``target`` bytes."""
     data, offs = text_bytes(batch.column(column))

@@ -371,16 +371,20 @@ def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def distinct_ids(docs: DataFrame, id_column: str = "doc_id") -> bool:
+    """Whether the ids are integers, none null and none twice."""
+    if docs.schema[id_column].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    return not docs.groupBy(F.col(id_column).alias("id")).count().where("count > 1 or id is null").limit(1).count()
+
+
 def numbered(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with ``uid``, which orders rows as the operator's docstring says.
 
     Where ids are distinct and not null they are the order. Otherwise rows are
     ranked by id and text in a range-partitioned sort.
     """
-    ids = docs.select(F.col(id_column).alias("id"))
-    clash = ids.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
-    whole = docs.schema[id_column].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if whole and not clash:
+    if distinct_ids(docs, id_column):
         return docs.withColumn("uid", F.col(id_column).cast("long"))
     return cut(docs.orderBy(F.col(id_column).asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("uid", F.monotonically_increasing_id()))
 

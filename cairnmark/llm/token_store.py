@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from cairnmark.llm import ragged
 from cairnmark.llm.shared import in_buckets, written
 
-SHARD, BUCKET, CACHE = 1 << 20, 4096, 300_000
+SHARD, BUCKET, CACHE, TOGETHER = 1 << 20, 4096, 200_000, 500
 #: Bytes of text in a range of ids, where the shuffle partitions would make them larger.
 RANGE = 64 << 20
 _WHITE = np.zeros(256, bool)
@@ -66,7 +68,11 @@ class _Ids:
         special = "".join(t["content"] for t in rules["added_tokens"])
         if split["type"] != "Split" or joins or special.split() != [special] * bool(special) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"]):
             raise ValueError("only tokenizers that drop white space and never join across it are supported")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        between = [t for t in rules["added_tokens"] if t["special"] and not t["normalized"]]
+        self.between, self.mark = (between[0]["content"], between[0]["id"]) if between else ("", -1)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.zeros(256, np.int8)
         if "Lowercase" in json.dumps(rules["normalizer"]):  # between ASCII letters and marks a pre-token always ends, but for apostrophes
@@ -74,9 +80,6 @@ class _Ids:
             self.kind[0x30:0x3A] = 0
             self.kind[0x41:0x5B] = self.kind[0x61:0x7B] = _LETTER
             self.kind[[c for c in (special + "'<>").encode() if self.kind[c] == _MARK]] = 0
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat, self.offs = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
@@ -90,20 +93,43 @@ class _Ids:
         cut = cut[(others[ends[run]] == others[starts[run]]) & (cut > starts[run])] if len(starts) else cut[:0]
         return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words back to back, and how many each has; a special token between words parts their ids."""
+        odd = re.compile("|".join(map(re.escape, self.special)) if self.between else "").search
+        plain = [odd(w) is None for w in words]
+        joined = [w for w, p in zip(words, plain, strict=True) if p]
+        texts = [self.between.join(joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)]
+        texts += [w for w, p in zip(words, plain, strict=True) if not p]
+        coded = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        several = -(-len(joined) // TOGETHER)
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.append(x, self.mark) for x in coded[:several])])
+        n = np.diff(np.flatnonzero(flat == self.mark), prepend=-1) - 1
+        if len(n) != len(joined):
+            raise RuntimeError("the library gave other words than it got")
+        ids = np.concatenate([flat[flat != self.mark], *coded[several:]])
+        n = np.concatenate([n, np.array([len(x) for x in coded[several:]], np.int64)])
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return ragged.gather(ids, np.concatenate([[0], np.cumsum(n)]), back)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts back to back, and how many each has."""
         starts, ends = self.runs(data, offs)
         bounds = np.concatenate([[0], np.cumsum(ends - starts)])
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~_WHITE[data]])]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) > CACHE:
-            self._clear()
+        distinct = ragged.byte_list(coded.dictionary)
+        if len(self.place) > CACHE:  # what is met again stays
+            again = [x for x in distinct if x in self.place]
+            self.flat, n = ragged.gather(self.flat, self.offs, np.array([self.place[x] for x in again], np.int64))
+            self.offs = np.concatenate([[0], np.cumsum(n)])
+            self.place = dict(zip(again, range(len(again)), strict=True))
         new = [x for x in distinct if x not in self.place]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+            ids, n = self._library([x.decode() for x in new])
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int64)])
-            self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            self.flat = np.concatenate([self.flat, ids])
+            self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(n)])
         place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         flat, counts = ragged.gather(self.flat, self.offs, place[np.asarray(coded.indices, np.int64)])
         return flat, ragged.row_sums(counts, np.searchsorted(starts, offs))
