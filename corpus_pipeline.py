@@ -2,9 +2,10 @@
 
 Each stage works on all that the one before it kept and takes and returns the
 columns of ``documents``; the last returns the ids' digests. Every row is
-judged by itself, whatever its id: a filter writes its input with a key of its
-own for each row and joins its decisions on that key. Empty tables give empty
-results. Extra columns are dropped.
+judged by itself, whatever its id: decisions are joined on a key of each row,
+which is its id where ids are distinct and not null; else a filter writes its
+input with a key of its own for each row. Empty tables give empty results.
+Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ from cairnmark.llm.decontaminate import contamination
 from cairnmark.llm.quality import quality
 from cairnmark.llm.shared import cut, written
 from cairnmark.llm.simhash import near_duplicates
-from cairnmark.llm.suffix_dedup import deduplicate, numbered
+from cairnmark.llm.suffix_dedup import deduplicate, distinct_ids, numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``key``, unique to each row, written so that it stays the same each time it is read."""
-    return written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    """``docs`` with ``key``, unique to each row and the same each time it is read."""
+    docs = docs.select(*COLUMNS)
+    if distinct_ids(docs):
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    return written(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
 def _by_key(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
