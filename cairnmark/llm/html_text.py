@@ -13,7 +13,11 @@ Winners are broadcast if they are at most ``SMALL`` hosts, else joined.
 
 The text is the container's blocks in page order, headings between its parts too. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader
-comments are left out, by tag, role or a word of the class or id. Null or empty
+comments are left out, by tag, role or, of containers and lists, by a class or
+id made of such words alone (``sidebar-left``, not ``social-history``). ``hr``
+ends a block, ``br`` is white space. References are decoded within a run of
+text, never across tags. Time and memory are in proportion to the page, however
+deep it nests. Null or empty
 html gives an empty text; a null url is a host of its own. Repeated rows and
 ids stay; other columns are not read. Pages cut off in a tag, reference or
 element are read as far as they go.
@@ -33,7 +37,6 @@ from cairnmark.llm.shared import cut
 SMALL = 100_000
 _words = lambda s: frozenset(s.split())
 _INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr")
-_BREAK = _words("br hr")
 _TEXTUAL = _words("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr tbody thead tfoot table ul ol dl figure address summary details")
 _VOID = _words("area base br col embed hr img input link meta param source track wbr")
 _RAW = re.compile(r"</(script|style|noscript|template|textarea|title|svg|iframe|object|select|math|video|audio|canvas)\s*>", re.I)
@@ -44,6 +47,13 @@ _DROP_WORD = _words(
     "footer masthead header topbar toolbar comment comments disqus replies respond cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup "
     "share sharing social related recommended widget widgets pagination pager skip hidden"
 )
+#: Words that say where or what shape a part is: with a word above they still name what is left out.
+_SHAPE = _words(
+    "left right top bottom main site page global primary secondary section area block box bar panel list item items wrap wrapper container inner outer content link links button buttons icon icons post posts article articles "
+    "story stories us this policy consent slot unit text title form row col column group area sticky fixed mobile desktop small large"
+)
+#: Of text-level elements, those whose class and id are looked at as containers' are.
+_HOLDS = _words("ul ol dl table figure details")
 _DROP_ROLE = _words("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog")
 _CLOSES_P = _TEXTUAL | _words("div article section main header footer nav aside form address hr")
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)(>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(>|\Z))", re.S)
@@ -60,6 +70,15 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip(" /\n") else {}
 
 
+def _named(value: str) -> bool:
+    """Whether one of the classes or ids is made of words of parts to leave out, and of shapes, alone."""
+    for name in value.split():
+        parts = {x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
+        if not _DROP_WORD.isdisjoint(parts) and parts <= _DROP_WORD | _SHAPE:
+            return True
+    return False
+
+
 def _dropped(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     if tag in _DROP or tag == "header" and not inside_main:
         return True
@@ -67,21 +86,37 @@ def _dropped(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or attrs.get("role") in _DROP_ROLE:
         return True
-    named = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
-    return not _DROP_WORD.isdisjoint(named)
+    return (tag in _HOLDS or tag not in _TEXTUAL and tag not in _INLINE) and (_named(attrs.get("class", "")) or _named(attrs.get("id", "")))
 
 
 class Page:
-    """Containers (path, parent) of a page and its blocks (container, text, characters in links)."""
+    """Containers (parent, path) of a page and its blocks (container, text, characters in links). Paths are numbered; each is a step from another."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = [""]
+        self.steps: dict[tuple[int, str], int] = {}
+        self.names: list[tuple[int, str]] = [(-1, "")]
+        self.paths: list[int] = [0]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
 
+    def path(self, number: int) -> str:
+        out = []
+        while number > 0:
+            number, name = self.names[number]
+            out.append(name)
+        return "".join(f"/{x}" for x in reversed(out))
+
+    def number(self, path: str | None) -> int:
+        """The number of a path, or -1."""
+        at = 0 if path is not None else -1
+        for name in (path or "").split("/")[1:]:
+            at = self.steps.get((at, name), -1)
+        return at
+
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, is dropped
+        opened: dict[str, int] = {}
         text: list[str] = []
         linked, in_link, here, dropped, in_main, at = 0, 0, 0, 0, 0, 0
         ends = len(source)
@@ -89,15 +124,24 @@ class Page:
         def flush() -> None:
             nonlocal linked
             if text:
-                block = " ".join(html.unescape("".join(text)).split())
+                block = " ".join("".join(text).split())
                 if block:
                     self.blocks.append((here, block, linked))
                 text.clear()
             linked = 0
 
+        def push(tag: str, gone: bool) -> None:
+            nonlocal dropped, in_main, in_link
+            stack.append((tag, here, gone))
+            opened[tag] = opened.get(tag, 0) + 1
+            dropped += gone
+            in_main += tag in ("article", "main")
+            in_link += tag == "a"
+
         def pop() -> None:
             nonlocal here, dropped, in_main, in_link
             tag, _, gone = stack.pop()
+            opened[tag] -= 1
             dropped -= gone
             in_main -= tag in ("article", "main")
             in_link -= tag == "a"
@@ -107,7 +151,7 @@ class Page:
             m = _TOKEN.search(source, at)
             run = source[at : m.start()] if m else source[at:]
             if run and not dropped:
-                text.append(run)
+                text.append(html.unescape(run))
                 if in_link:
                     linked += len(run)
             if not m:
@@ -118,17 +162,20 @@ class Page:
                 continue
             tag = tag.lower()
             if closing:
-                names = [x[0] for x in stack]
-                if tag in names[1:]:
+                if opened.get(tag):
                     if tag not in _INLINE:
                         flush()
-                    elif any(x not in _INLINE for x in names[len(names) - names[::-1].index(tag) :]):
-                        continue  # an inline end outside of the block it began before
+                    else:
+                        k = len(stack) - 1
+                        while stack[k][0] in _INLINE and stack[k][0] != tag:
+                            k -= 1
+                        if stack[k][0] != tag:
+                            continue  # an inline end outside of the block it began before
                     while stack[-1][0] != tag:
                         pop()
                     pop()
                 continue
-            if tag in _BREAK:
+            if tag == "br":
                 if not dropped:
                     text.append(" ")
                 continue
@@ -137,36 +184,35 @@ class Page:
                     at = end_tag.end()
                 at = end_tag.end() if end_tag else ends
                 continue
+            if tag in _CLOSES_P or tag == "li":
+                if tag not in ("tr", "td", "th") or not dropped:
+                    flush()
+                for open_tag in ("p", tag if tag in ("li", "dt", "dd", "td", "th", "tr") else "p"):
+                    i = len(stack) - 1
+                    while i > 0 and (stack[i][0] in _INLINE or stack[i][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and stack[i][0] != open_tag):
+                        i -= 1
+                    if i > 0 and stack[i][0] == open_tag:
+                        while len(stack) > i:
+                            pop()
             if tag in _VOID or raw.rstrip().endswith("/"):
                 continue
             if tag in _INLINE:
                 attrs = _attributes(raw)
-                gone = _dropped(tag, attrs, True) if attrs and tag not in ("a", "b", "i") else False
-                stack.append((tag, here, gone))
-                dropped += gone
-                in_link += tag == "a"
+                push(tag, _dropped(tag, attrs, True) if attrs and tag not in ("a", "b", "i") else False)
                 continue
             flush()
-            if tag in _CLOSES_P or tag == "li":
-                names = [x[0] for x in stack]
-                for open_tag in ("p", tag if tag in ("li", "dt", "dd", "td", "th", "tr") else "p"):
-                    i = len(names) - 1
-                    while i > 0 and (names[i] in _INLINE or names[i] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and names[i] != open_tag):
-                        i -= 1
-                    if i > 0 and names[i] == open_tag:
-                        while len(stack) > i:
-                            pop()
-                        names = [x[0] for x in stack]
             attrs = _attributes(raw)
             gone = _dropped(tag, attrs, in_main > 0)
             if tag not in _TEXTUAL and not dropped and not gone:
-                classes = ".".join(sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).lower().split())))
-                self.paths.append(f"{self.paths[here]}/{tag}" + (f".{classes}" if classes else ""))
+                classes = ".".join(sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).lower().replace("/", "").split())))
+                step = (self.paths[here], tag + (f".{classes}" if classes else ""))
+                if step not in self.steps:
+                    self.steps[step] = len(self.names)
+                    self.names.append(step)
+                self.paths.append(self.steps[step])
                 self.parents.append(here)
                 here = len(self.paths) - 1
-            stack.append((tag, here, gone))
-            dropped += gone
-            in_main += tag in ("article", "main")
+            push(tag, gone)
         flush()
 
     def scores(self) -> list[float]:
@@ -187,27 +233,30 @@ class Page:
         """Paths of the containers that score at least half of the best, each once with its best share of it."""
         score = self.scores()
         most = max(score)
-        found: dict[str, float] = {}
+        found: dict[int, float] = {}
         for p, s in zip(self.paths, score, strict=True):
             if most and s >= most / 2:
                 found[p] = max(found.get(p, 0), s / most)
-        return list(found.items())
+        return [(self.path(p), s) for p, s in found.items()]
 
     def _common(self, places: list[int]) -> int:
         """The nearest container that holds all of ``places``; a parent's number is below its children's."""
-        open_ = set(places)
-        while len(open_) > 1:
-            low = max(open_)
-            open_.remove(low)
-            open_.add(self.parents[low])
-        return open_.pop()
+        left, marked = len(set(places)), set(places)
+        for i in range(len(self.parents) - 1, 0, -1):
+            if i in marked:
+                if left == 1:
+                    return i
+                if self.parents[i] in marked:
+                    left -= 1
+                marked.add(self.parents[i])
+        return 0
 
     def text(self, path: str | None) -> str:
         """Text of all containers on ``path``, or on the path of the page's best one, and of what stands between them."""
         score = self.scores()
-        at = lambda path: [i for i, p in enumerate(self.paths) if p == path and score[i]]
+        at = lambda number: [i for i, p in enumerate(self.paths) if p == number and score[i]]
         best = self.best()
-        top = self._common(at(path) or at(self.paths[best]) or [best])
+        top = self._common(at(self.number(path)) or at(self.paths[best]) or [best])
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):
             inside[i] = i == top or parent >= 0 and inside[parent]

@@ -68,3 +68,51 @@ def test_articles_in_equal_parts_stay_whole(spark, parts):
     pages = spark.createDataFrame([(i, "http://news.example.org/x", source) for i in range(3)], "page_id long, url string, html string")
     assert {r.text for r in main_text(pages).collect()} == {"\n".join(["The heading of it", *paragraphs])}
     assert text(source) == "\n".join(["The heading of it", *paragraphs])
+
+
+@pytest.mark.parametrize("part", ["<h2 id=related-work>Related work</h2>", "<p id=skip-lists>Skip lists are kept</p>", "<div class=social-history><p>Social history of it</p></div>", "<h3 class='header'>Header of a part</h3>", "<p class=notice>Mind the step</p>", "<section id='header-files'><p>Header files of C</p></section>"])
+def test_parts_named_like_noise_stay(part):
+    got = text(article(part)).split("\n")
+    assert len(got) == 3 and got[1] in part
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-left", "siteFooter", "cookie_notice", "main-nav", "ad", "ad-slot-3", "related-posts", "share-buttons", "comments-section"])
+def test_containers_named_by_noise_words_go(name):
+    assert text(article(f"<div class='x {name}'><p>gone</p></div>")) == text(article(""))
+
+
+def test_rules_and_references():
+    assert text(article("one<hr>two &<b>lt;</b> three<br/>four &amp;lt; five")).split("\n")[1:-1] == ["one", "two &lt; three four &lt; five"]
+
+
+def test_sections_of_several_depths_stay_whole():
+    six, two = (" ".join(LONG.format(i) for i in range(n)) for n in (6, 2))
+    assert text(f"<body><div class=content><div class=sec>{six}</div><div class=sec>{two} SECOND</div></div></body>") == f"{six}\n{two} SECOND"
+    wrapped = "".join(f"<div class=outer><div class=inner><p>{LONG.format(i)}</p></div></div>" for i in range(2))
+    assert text(f"<body><article><h1>The title</h1>{wrapped}</article></body>").split("\n") == ["The title", LONG.format(0), LONG.format(1)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "deep", "<b>" * 200_000 + "bold", ("<div><p>" + LONG.format(1)) * 5000, "<ul><li>" * 50_000, "<div>" * 100_000 + "</b>" * 100_000])
+def test_deep_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    assert isinstance(text(page), str) and isinstance(Page(page).votes(), list)
+    assert time.process_time() - began < 20
+
+
+def test_generated_pages_by_a_plain_extractor(spark, sf_dir):
+    """The generated pages hold one article of headings, paragraphs and lists beside a menu, an advert and a footer."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    got = {r.page_id: r.text for r in main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    table = pq.read_table(f"{sf_dir}/pages.parquet").to_pydict()
+    for page, source in zip(table["page_id"], table["html"], strict=True):
+        body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+        body = re.sub(r'<div class="ad">.*?</div>', "", body, flags=re.S)
+        parts = re.split(r"</?(?:h1|p|ul|li|div)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts]
+        assert got[page] == "\n".join(x for x in want if x), page
