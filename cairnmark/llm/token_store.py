@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from cairnmark.llm import ragged
 from cairnmark.llm.shared import in_buckets, written
 
-SHARD, BUCKET, CACHE, TOGETHER = 1 << 20, 4096, 200_000, 500
+SHARD, BUCKET, CACHE, TOGETHER = 1 << 20, 4096, 100_000, 500
 #: Bytes of text in a range of ids, where the shuffle partitions would make them larger.
 RANGE = 64 << 20
 _WHITE = np.zeros(256, bool)
@@ -282,6 +282,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(slot)
     column = lambda c, kind: [pdf[c].to_numpy()[order].astype(kind).tobytes()]
     prints = [(check[order] >> np.uint64(32)).astype("<u4").tobytes()]
+    ragged.release()
     return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "n_keys": [len(h)], "seed": [seed], "displaced": [displaced.astype("<u4").tobytes()], "prints": prints, "parts": column("part", "<i4"), "seqs": column("seq", "<i4"), "ats": column("at", "<i8"), "ns": column("n", "<i4")})
 
 
@@ -329,6 +330,7 @@ def lookup(store: Store, keys: DataFrame) -> DataFrame:
         found = {"key": left["key"].array, "copy": left["copy"].array}
         for name, column, kind in (("part", "parts", "<i4"), ("seq", "seqs", "<i4"), ("at", "ats", "<i8"), ("n", "ns", "<i4")):
             found[name] = np.frombuffer(row[column], kind)[slot]
+        ragged.release()
         return pd.DataFrame(found)[here]
 
     wanted = keys.select(F.col("key").cast("long"), F.col("copy").cast("long")).mapInPandas(hashed, "bucket long, h long, check long, key long, copy long")
@@ -347,6 +349,7 @@ def read_documents(store: Store, located: DataFrame) -> DataFrame:
             found["copy"] += here["copy"].tolist()
             found["start"] += (base + here["at"] + here["before"]).tolist()
             found["ids"] += [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(here["at"], here["n"], strict=True)]
+        ragged.release()
         return pd.DataFrame(found)
 
     located = located.join(store.starts.select("part", "before"), "part")
