@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, a folder that all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    """spark.checkpoint.dir, a folder that all executors share; where it is unset in a local session (tests), a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cairnmark.shared.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found
+    spark.conf.set("cairnmark.shared.dir", f"file://{tempfile.mkdtemp(prefix='spark-cairnmark-')}")
+    return spark.conf.get("cairnmark.shared.dir")
 
 
 def cut(df: DataFrame) -> DataFrame:
