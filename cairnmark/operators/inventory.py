@@ -79,22 +79,37 @@ def later_copies(files: DataFrame) -> DataFrame:
     return files.where("hash_value IS NOT NULL").withColumn("n", F.row_number().over(w)).where("n > 1").select("id", "path", "hash_value")
 
 
-def copies_in_archive(files: DataFrame) -> DataFrame:
-    """(source_id, archive_id, hash_value) of source files whose content the live archive has."""
-    s = files.where(in_source(F.col("inventory_scope")) & (F.col("status") != "deleted")).select(F.col("id").alias("source_id"), "hash_alg", "hash_value")
-    a = live_archive(files).select(F.col("id").alias("archive_id"), "hash_alg", "hash_value")
+def copies_in_archive(files: DataFrame, run: int, prefixes: list[str]) -> DataFrame:
+    """(source_id, archive_id, hash_value) of source files of ``run`` whose content the live archive has below one of the folders ``prefixes``; files that ignore copies in this run are left out."""
+    below = F.lit(False)
+    for prefix in filter(str.strip, prefixes):
+        below = below | F.col("path").startswith(prefix.rstrip("/") + "/")
+    wanted = in_source(F.col("inventory_scope")) & (F.col("last_run_id") == run) & (F.col("status") != "deleted") & (F.coalesce("ignore_archive_dup_run_id", F.lit(-1)) != run)
+    s = files.where(wanted).select(F.col("id").alias("source_id"), "hash_alg", "hash_value")
+    a = live_archive(files).where(below).select(F.col("id").alias("archive_id"), "hash_alg", "hash_value")
     return s.join(a, ["hash_alg", "hash_value"]).select("source_id", "archive_id", "hash_value")
 
 
-def similar_images(files: DataFrame, phashes: DataFrame) -> DataFrame:
-    """(value, n, first_id) of perceptual hashes of more than one file."""
-    return files.join(phashes, files["id"] == phashes["file_id"]).groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+def similar_images(files: DataFrame, phashes: DataFrame, algorithm: str, hidden: DataFrame | None = None) -> DataFrame:
+    """(algorithm, value, n, first_id) of perceptual hashes of more than one of ``files``, without ``hidden`` groups (algorithm, value)."""
+    hashed = phashes.where(F.col("algorithm") == algorithm)
+    if hidden is not None:
+        hashed = hashed.join(hidden, ["algorithm", "value"], "left_anti")
+    return files.join(hashed, files["id"] == hashed["file_id"]).groupBy("algorithm", "value").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 def video_keys(frames: DataFrame) -> DataFrame:
-    """(file_id, duration, key): the first three frame hashes of each video in order of time."""
+    """(file_id, duration, key): the first three frame hashes in order of time of each video that has as many."""
     ordered = F.slice(F.array_sort(F.collect_list(F.struct("offset_sec", "value"))), 1, 3)
-    return frames.groupBy("file_id", "duration").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "|").alias("key"))
+    keys = frames.groupBy("file_id", "duration").agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
+    return keys.where(F.size("values") == 3).select("file_id", "duration", F.array_join("values", "|").alias("key"))
+
+
+def similar_videos(files: DataFrame, frames: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(duration, key, n) of keys that more than one of ``files`` has, without ``hidden`` groups (duration, key)."""
+    live = frames.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    groups = video_keys(live).groupBy("duration", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return groups.join(hidden, ["duration", "key"], "left_anti")
 
 
 def folder_counts(files: DataFrame, depth: int = 2) -> DataFrame:

@@ -75,13 +75,49 @@ def nearest(pairs: DataFrame, by: str, other: str) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def cluster_links(members: DataFrame, most: float) -> DataFrame:
-    """(c1, c2, distance): the smallest distance of members of two clusters of one person, at most ``most``; c1 < c2."""
-    pairs = close_pairs(members.select("id", "embedding"), None, most)
-    own = members.select("id", "cluster_id", "person_id")
-    one, two = (own.select(F.col("id").alias(k), F.col("cluster_id").alias(f"c{i}"), F.col("person_id").alias(f"p{i}")) for i, k in ((1, "a"), (2, "b")))
-    joined = pairs.join(one, "a").join(two, "b").where("p1 = p2 AND c1 <> c2")
-    return joined.groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).agg(F.min("distance").alias("distance"))
+def cluster_links(members: DataFrame, most: float, tile: int = TILE) -> DataFrame:
+    """(c1, c2, distance): the smallest distance of members (id, cluster_id, person_id, embedding) of two clusters of one person, at most ``most``; c1 < c2.
+
+    Tiles are made within a person, so faces of different persons are never
+    compared; a task keeps the smallest distance of two clusters in its tiles.
+    """
+    sizes = members.groupBy("person_id").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    own = members.join(sizes, "person_id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    packed = own.groupBy("person_id", "tiles", "tile").agg(F.collect_list(F.struct("cluster_id", "embedding")).alias("a"))
+    left = packed.select("person_id", "a", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("j"))
+    right = packed.select("person_id", F.col("tile").alias("j"), F.col("a").alias("b"))
+
+    def compare(frames):
+        for pdf in frames:
+            for one, two in zip(pdf["a"], pdf["b"], strict=True):
+                x, y = (np.array([r["embedding"] for r in side]) for side in (one, two))
+                p, q = (np.array([r["cluster_id"] for r in side], np.int64) for side in (one, two))
+                d = 1 - x @ y.T
+                r, c = np.nonzero((d <= most) & (p[:, None] != q[None, :]))
+                out = pd.DataFrame({"c1": np.minimum(p[r], q[c]), "c2": np.maximum(p[r], q[c]), "distance": d[r, c]})
+                yield out.groupby(["c1", "c2"], as_index=False)["distance"].min()
+
+    found = left.join(right, ["person_id", "j"]).select("a", "b").mapInPandas(compare, "c1 long, c2 long, distance double")
+    return found.groupBy("c1", "c2").agg(F.min("distance").alias("distance"))
+
+
+def _sizes(members: DataFrame, cluster: str, size: str) -> DataFrame:
+    return members.groupBy(F.col("cluster_id").alias(cluster)).agg(F.count("*").alias(size))
+
+
+def small_merges(members: DataFrame, most: float, size: int) -> DataFrame:
+    """(source, target, distance): links of two clusters of a person that both have at most ``size`` members, from the smaller; of equals from the second."""
+    few = members.join(_sizes(members, "cluster_id", "_n").where(F.col("_n") <= size).select("cluster_id"), "cluster_id", "left_semi")
+    links = cluster_links(few, most).join(_sizes(few, "c1", "n1"), "c1").join(_sizes(few, "c2", "n2"), "c2")
+    first = F.col("n1") < F.col("n2")
+    return links.select(F.when(first, F.col("c1")).otherwise(F.col("c2")).alias("source"), F.when(first, F.col("c2")).otherwise(F.col("c1")).alias("target"), "distance")
+
+
+def best_merges(members: DataFrame, most: float, size: int) -> DataFrame:
+    """(source, target, distance): for each cluster of at most ``size`` members the nearest of its person's others, of any size."""
+    links = cluster_links(members, most)
+    both = links.select(F.col("c1").alias("source"), F.col("c2").alias("target"), "distance").union(links.select("c2", "c1", "distance"))
+    return nearest(both.join(_sizes(members, "source", "_n").where(F.col("_n") <= size).select("source"), "source", "left_semi"), "source", "target")
 
 
 def outliers(members: DataFrame, key: str, threshold: float) -> DataFrame:

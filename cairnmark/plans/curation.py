@@ -18,10 +18,15 @@ def insert_if_absent(c):
     return I.insert_absent(old, c.phashes.select("file_id", F.lit("new").alias("value")), ["file_id"])
 
 
-@query("SELECT id FROM rects WHERE id % 4 = 1 AND (file_id, bbox_x % 10, bbox_y % 10) NOT IN (SELECT (file_id, bbox_x % 10, bbox_y % 10) FROM rects WHERE id % 4 <> 1)")
+_BOXES = "SELECT id, file_id, bbox_x, bbox_y, bbox_w, bbox_h FROM rects"
+
+
+@query(f"SELECT id FROM (SELECT id, file_id, bbox_x, bbox_y, bbox_w, CASE WHEN id % 8 = 1 THEN bbox_h + 1 ELSE bbox_h END AS bbox_h FROM rects WHERE id % 4 = 1) WHERE (file_id, bbox_x, bbox_y, bbox_w, bbox_h) NOT IN (SELECT (file_id, bbox_x, bbox_y, bbox_w, bbox_h) FROM ({_BOXES}) WHERE id % 3 <> 0)")
 def new_detections(c):
-    boxes = c.rects.select("id", "file_id", (F.col("bbox_x") % 10).alias("x"), (F.col("bbox_y") % 10).alias("y"))
-    return boxes.where("id % 4 = 1").join(boxes.where("id % 4 <> 1"), ["file_id", "x", "y"], "left_anti").select("id")
+    box = ["file_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
+    old = c.rects.where("id % 3 <> 0").select(*box)
+    found = c.rects.where("id % 4 = 1").select("id", *box[:-1], F.expr("CASE WHEN id % 8 = 1 THEN bbox_h + 1 ELSE bbox_h END AS bbox_h"))
+    return found.join(old, box, "left_anti").select("id")
 
 
 @query("SELECT path, min(source) AS source, arg_min(id, source) AS id FROM (SELECT path, 0 AS source, id FROM files WHERE id % 9 < 4 UNION ALL SELECT path, 1, id FROM files WHERE id % 6 < 3) GROUP BY path")

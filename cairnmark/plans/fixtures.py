@@ -17,13 +17,16 @@ TABLES = {
         SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'disk:/' ELSE 'local:/' END || source || '/' || CAST(doc_id AS $text) || CASE WHEN doc_id % 5 = 4 THEN '.mp4' ELSE '.jpg' END AS path,
           CASE WHEN doc_id % 89 = 13 THEN NULL WHEN doc_id % 2 = 0 THEN 'archive' ELSE 'source' END AS inventory_scope, source AS folder, lang, n_chars AS size,
           CASE WHEN doc_id % 5 = 4 THEN 'video' ELSE 'image' END AS media_type, CASE WHEN doc_id % 41 = 5 THEN NULL ELSE 'sha256' END AS hash_alg, CASE WHEN doc_id % 41 = 5 THEN NULL ELSE $sha(text) END AS hash_value,
-          CASE WHEN doc_id % 50 = 7 THEN 'deleted' WHEN doc_id % 50 = 11 THEN NULL ELSE 'hashed' END AS status, CAST(1 AS BIGINT) AS last_run_id,
+          CASE WHEN doc_id % 50 = 7 THEN 'deleted' WHEN doc_id % 50 = 11 THEN NULL ELSE 'hashed' END AS status, CAST(CASE WHEN doc_id % 6 = 1 THEN 2 ELSE 1 END AS BIGINT) AS last_run_id, CASE WHEN doc_id % 14 = 3 THEN 1 WHEN doc_id % 14 = 5 THEN 2 END AS ignore_archive_dup_run_id,
           doc_id % 11 AS faces_count, CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS animals_auto, CASE WHEN doc_id % 10 = 2 THEN 1 ELSE 0 END AS auto_quarantine,
           CASE doc_id % 3 WHEN 0 THEN 'tiny_face' WHEN 1 THEN 'many_small_faces' ELSE 'screen_like' END AS quarantine_reason,
           CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST($day AS $text) END AS taken_at,
           CASE doc_id % 4 WHEN 0 THEN 'Norway' WHEN 1 THEN 'Peru' WHEN 2 THEN '' ELSE 'Kenya' END AS place_country, CASE doc_id % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'South' ELSE 'East' END AS place_city
         FROM documents""",
-    "phashes": "SELECT doc_id AS file_id, 'phash' AS algorithm, substr($sha(lower(substr(text, 1, 200))), 1, 16) AS value FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 29 <> 3",
+    "phashes": """
+        SELECT doc_id AS file_id, a.algorithm, substr($sha(lower(text)), 1, 16) AS value
+        FROM documents d JOIN (SELECT 'phash' AS algorithm UNION ALL SELECT 'dhash') a ON d.doc_id % 5 <> 4 AND d.doc_id % 29 <> 3 AND NOT (a.algorithm = 'dhash' AND d.doc_id % 4 = 1)""",
+    "hidden_similar": "SELECT DISTINCT algorithm, value FROM phashes WHERE file_id % 7 = 2",
     "frame_hashes": """
         SELECT d.doc_id AS file_id, d.doc_id % 7 + 10 AS duration, k.k * 3 AS offset_sec, substr($sha(d.lang || CAST(d.n_chars % 5 + k.k AS $text)), 1, 16) AS value
         FROM documents d JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k ON d.doc_id % 5 = 4 AND NOT (d.doc_id % 3 = 1 AND k.k = 2)""",
@@ -94,7 +97,7 @@ class Catalogue:
             return self._made[name]
         if name in TABLES:
             text = _filled(name, _SPARK)
-            text = text.replace("sha2(text)", "sha2(text, 256)").replace("sha2(lower(substr(text, 1, 200)))", "sha2(lower(substr(text, 1, 200)), 256)").replace("sha2(d.lang || CAST(d.n_chars % 5 + k.k AS STRING))", "sha2(d.lang || CAST(d.n_chars % 5 + k.k AS STRING), 256)")
+            text = text.replace("sha2(text)", "sha2(text, 256)").replace("sha2(lower(text))", "sha2(lower(text), 256)").replace("sha2(d.lang || CAST(d.n_chars % 5 + k.k AS STRING))", "sha2(d.lang || CAST(d.n_chars % 5 + k.k AS STRING), 256)")
             used = {t: getattr(self, t) for t in [*TABLES, *SOURCES] if t != name and any(f" {w} {t}" in " " + text.replace("\n", " ") for w in ("FROM", "JOIN"))}
             for t, frame in used.items():
                 text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ EPS = 0.65
 BOX = ["file_id", "bbox_x", "bbox_y"]
 
 _LIVE = "coalesce(inventory_scope, 'archive') = 'archive' AND status <> 'deleted'"
+FOLDERS = [f"disk:/src{k}" for k in range(0, 20, 2)]
+_BELOW = "(" + " OR ".join(f"starts_with(path, '{f}/')" for f in FOLDERS) + ")"
 _PERSON = "(SELECT r.*, coalesce(r.manual_person_id, c.person_id) AS person FROM rects r LEFT JOIN clusters c ON c.id = r.cluster_id WHERE r.ignore_flag = 0)"
 _PAIRS = f"(SELECT DISTINCT file_id, person_id FROM (SELECT file_id, person AS person_id FROM {_PERSON} WHERE person IS NOT NULL UNION ALL SELECT file_id, person_id FROM file_persons) WHERE person_id <> 6)"
 _ROWS = f"""(SELECT f.*, m.faces_label, coalesce(m.people_no_face, 0) = 1 AS pnf, coalesce(m.animals, 0) = 1 OR f.animals_auto = 1 AS animal, coalesce(m.quarantine, 0) = 1 AS quar, b.file_id IS NOT NULL AS bound,
@@ -64,9 +67,11 @@ def _keep(c: Catalogue):
     def checkpoint(df: DataFrame) -> DataFrame:
         context = c.spark.sparkContext
         if context.getCheckpointDir() is None:
-            import tempfile
-
-            context.setCheckpointDir(c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnmark"))
+            own = tempfile.mkdtemp(prefix="spark-cairnmark-") if context.master.startswith("local[") else None
+            shared = c.spark.conf.get("spark.checkpoint.dir", None) or own
+            if shared is None:
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(shared)
         return df.checkpoint()
 
     return checkpoint
@@ -91,24 +96,27 @@ def dup_group_members(c):
     return live.join(I.duplicate_groups(live).select("hash_value", "n"), "hash_value").select("id", "path", "hash_value", "n")
 
 
-@query(f"SELECT s.id AS source_id, a.id AS archive_id, s.hash_value FROM files s JOIN (SELECT * FROM files WHERE {_LIVE}) a ON a.hash_alg = s.hash_alg AND a.hash_value = s.hash_value WHERE coalesce(s.inventory_scope, '') = 'source' AND s.status <> 'deleted'")
+@query(f"SELECT s.id AS source_id, a.id AS archive_id, s.hash_value FROM files s JOIN (SELECT * FROM files WHERE {_LIVE} AND {_BELOW}) a ON a.hash_alg = s.hash_alg AND a.hash_value = s.hash_value WHERE coalesce(s.inventory_scope, '') = 'source' AND s.status <> 'deleted' AND s.last_run_id = 1 AND coalesce(s.ignore_archive_dup_run_id, -1) <> 1")
 def source_dups_in_archive(c):
-    return I.copies_in_archive(c.files)
+    return I.copies_in_archive(c.files, 1, FOLDERS)
 
 
-@query(f"SELECT s.id AS source_id, count(*) AS n, string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id) AS archive_ids FROM files s JOIN (SELECT * FROM files WHERE {_LIVE}) a ON a.hash_alg = s.hash_alg AND a.hash_value = s.hash_value WHERE coalesce(s.inventory_scope, '') = 'source' AND s.status <> 'deleted' GROUP BY s.id")
+@query(f"SELECT s.id AS source_id, count(*) AS n, string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id) AS archive_ids FROM files s JOIN (SELECT * FROM files WHERE {_LIVE} AND {_BELOW}) a ON a.hash_alg = s.hash_alg AND a.hash_value = s.hash_value WHERE coalesce(s.inventory_scope, '') = 'source' AND s.status <> 'deleted' AND s.last_run_id = 1 AND coalesce(s.ignore_archive_dup_run_id, -1) <> 1 GROUP BY s.id")
 def source_dups_nested(c):
-    return I.copies_in_archive(c.files).groupBy("source_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("archive_id")), lambda x: x.cast("string")), ",").alias("archive_ids"))
+    return I.copies_in_archive(c.files, 1, FOLDERS).groupBy("source_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("archive_id")), lambda x: x.cast("string")), ",").alias("archive_ids"))
+
 
+_SHOWN = "(SELECT * FROM phashes WHERE algorithm = 'phash' AND (algorithm, value) NOT IN (SELECT (algorithm, value) FROM hidden_similar))"
 
-@query(f"SELECT value, count(*) AS n, min(id) AS first_id FROM files JOIN phashes ON file_id = id WHERE {_LIVE} GROUP BY value HAVING count(*) > 1")
+
+@query(f"SELECT algorithm, value, count(*) AS n, min(id) AS first_id FROM files JOIN {_SHOWN} ON file_id = id WHERE {_LIVE} GROUP BY algorithm, value HAVING count(*) > 1")
 def similar_image_groups(c):
-    return I.similar_images(I.live_archive(c.files), c.phashes)
+    return I.similar_images(I.live_archive(c.files), c.phashes, "phash", c.hidden_similar)
 
 
-@query("SELECT value, count(*) AS n, min(id) AS first_id FROM files JOIN phashes ON file_id = id WHERE coalesce(inventory_scope, '') = 'source' AND last_run_id = 1 GROUP BY value HAVING count(*) > 1")
+@query("SELECT algorithm, value, count(*) AS n, min(id) AS first_id FROM files JOIN phashes ON file_id = id WHERE coalesce(inventory_scope, '') = 'source' AND last_run_id = 1 AND status <> 'deleted' AND algorithm = 'phash' GROUP BY algorithm, value HAVING count(*) > 1")
 def similar_image_groups_run(c):
-    return I.similar_images(c.files.where(I.in_source(F.col("inventory_scope")) & (F.col("last_run_id") == 1)), c.phashes)
+    return I.similar_images(c.files.where(I.in_source(F.col("inventory_scope")) & (F.col("last_run_id") == 1) & (F.col("status") != "deleted")), c.phashes, "phash")
 
 
 @query(f"SELECT DISTINCT value FROM phashes JOIN files ON id = file_id WHERE coalesce(inventory_scope, '') = 'source' AND value IN (SELECT value FROM phashes JOIN files ON id = file_id WHERE {_LIVE})")
@@ -117,12 +125,18 @@ def similar_source_vs_archive(c):
     return keys(c.files.where(I.in_source(F.col("inventory_scope")))).intersect(keys(I.live_archive(c.files)))
 
 
-_KEYS = "(SELECT file_id, duration, string_agg(value, '|' ORDER BY offset_sec) AS key FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY offset_sec) AS n FROM frame_hashes) WHERE n <= 3 GROUP BY file_id, duration)"
+_KEYS = "(SELECT file_id, duration, string_agg(value, '|' ORDER BY offset_sec) AS key FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY offset_sec) AS n FROM frame_hashes) WHERE n <= 3 GROUP BY file_id, duration HAVING count(*) = 3)"
+_VIDEOS = f"(SELECT duration, key, count(*) AS n FROM {_KEYS} WHERE file_id IN (SELECT id FROM files WHERE {_LIVE}) AND (duration, key) NOT IN (SELECT (duration, key) FROM {_KEYS} WHERE file_id % 35 = 4) GROUP BY duration, key HAVING count(*) > 1)"
+
 
+def _videos(c: Catalogue) -> DataFrame:
+    hidden = I.video_keys(c.frame_hashes.where("file_id % 35 = 4")).select("duration", "key").distinct()
+    return I.similar_videos(I.live_archive(c.files), c.frame_hashes, hidden)
 
-@query(f"SELECT duration, key, count(*) AS n FROM {_KEYS} GROUP BY duration, key HAVING count(*) > 1")
+
+@query(f"SELECT * FROM {_VIDEOS}")
 def similar_video_groups(c):
-    return I.video_keys(c.frame_hashes).groupBy("duration", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return _videos(c)
 
 
 _ORDER = "(SELECT folder, CAST(row_number() OVER (ORDER BY folder) AS BIGINT) AS sort_order FROM (SELECT DISTINCT folder FROM files WHERE folder < 'src15'))"
@@ -157,10 +171,10 @@ def videos_lt3_hashes(c):
     return I.live_archive(c.files).where("media_type = 'video'").join(n, F.col("id") == F.col("file_id"), "left").select("id", "path", F.coalesce("n", F.lit(0)).alias("n")).where("n < 3")
 
 
-@query(f"SELECT 'exact' AS kind, count(*) AS n_groups, coalesce(max(n), 0) AS largest FROM (SELECT count(*) AS n FROM files WHERE {_LIVE} AND hash_value IS NOT NULL GROUP BY hash_value HAVING count(*) > 1) UNION ALL SELECT 'image', count(*), coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM files JOIN phashes ON file_id = id WHERE {_LIVE} GROUP BY value HAVING count(*) > 1) UNION ALL SELECT 'video', count(*), coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM {_KEYS} GROUP BY duration, key HAVING count(*) > 1)")
+@query(f"SELECT 'exact' AS kind, count(*) AS n_groups, coalesce(max(n), 0) AS largest FROM (SELECT count(*) AS n FROM files WHERE {_LIVE} AND hash_value IS NOT NULL GROUP BY hash_value HAVING count(*) > 1) UNION ALL SELECT 'image', count(*), coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM files JOIN {_SHOWN} ON file_id = id WHERE {_LIVE} GROUP BY algorithm, value HAVING count(*) > 1) UNION ALL SELECT 'video', count(*), coalesce(max(n), 0) FROM {_VIDEOS}")
 def duplicates_summary(c):
     live = I.live_archive(c.files)
-    kinds = {"exact": I.duplicate_groups(live), "image": I.similar_images(live, c.phashes), "video": I.video_keys(c.frame_hashes).groupBy("duration", "key").agg(F.count("*").alias("n")).where("n > 1")}
+    kinds = {"exact": I.duplicate_groups(live), "image": I.similar_images(live, c.phashes, "phash", c.hidden_similar), "video": _videos(c)}
     parts = [g.agg(F.count("*").alias("n_groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).select(F.lit(k).alias("kind"), "n_groups", "largest") for k, g in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -426,16 +440,18 @@ def similar_single_pairs(c):
 _LINKS = f"(SELECT a.cluster_id AS c1, b.cluster_id AS c2, min({_DIST}) AS distance FROM {_OWNED} a JOIN {_OWNED} b ON a.person_id = b.person_id AND a.cluster_id < b.cluster_id AND {_DIST} <= 0.8 GROUP BY 1, 2)"
 
 
-@query(f"SELECT c1, c2, round(distance, 6) AS distance FROM {_LINKS}")
+_SIZE = f"(SELECT cluster_id, count(*) AS n FROM {_OWNED} GROUP BY cluster_id)"
+SMALL = 4
+
+
+@query(f"SELECT CASE WHEN s1.n < s2.n THEN c1 ELSE c2 END AS source, CASE WHEN s1.n < s2.n THEN c2 ELSE c1 END AS target, round(distance, 6) AS distance FROM {_LINKS} JOIN {_SIZE} s1 ON s1.cluster_id = c1 JOIN {_SIZE} s2 ON s2.cluster_id = c2 WHERE s1.n <= {SMALL} AND s2.n <= {SMALL}")
 def merge_small_clusters(c):
-    return _rounded(V.cluster_links(_owned(c), 0.8))
+    return _rounded(V.small_merges(_owned(c), 0.8, SMALL))
 
 
-@query(f"SELECT source, target, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target) AS n FROM (SELECT c1 AS source, c2 AS target, distance FROM {_LINKS} UNION ALL SELECT c2, c1, distance FROM {_LINKS})) WHERE n = 1")
+@query(f"SELECT source, target, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target) AS n FROM (SELECT c1 AS source, c2 AS target, distance FROM {_LINKS} UNION ALL SELECT c2, c1, distance FROM {_LINKS})) r WHERE r.n = 1 AND source IN (SELECT cluster_id FROM {_SIZE} WHERE n <= {SMALL})")
 def merge_optimal_clusters(c):
-    links = V.cluster_links(_owned(c), 0.8)
-    both = links.select(F.col("c1").alias("source"), F.col("c2").alias("target"), "distance").union(links.select("c2", "c1", "distance"))
-    return _rounded(V.nearest(both, "source", "target"))
+    return _rounded(V.best_merges(_owned(c), 0.8, SMALL))
 
 
 @query(f"SELECT a.id, a.cluster_id, round({_DIST}, 6) AS distance FROM {_OWNED} a JOIN {_CENTRE} b ON a.cluster_id = b.cluster_id WHERE {_DIST} > 0.6 AND a.cluster_id IN (SELECT cluster_id FROM {_OWNED} GROUP BY cluster_id HAVING count(*) > 1)")

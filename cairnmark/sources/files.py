@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: File extensions of images and videos.
 IMAGES = "jpg jpeg png webp bmp tif tiff heic gif".split()
 VIDEOS = "mp4 mov avi mkv m4v 3gp webm".split()
-#: First bytes of image formats, in hexadecimal.
-MAGIC = {"jpg": "FFD8FF", "jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "webp": "52494646", "bmp": "424D", "tif": "49492A00", "tiff": "49492A00"}
+#: First bytes of image formats, as patterns of their hexadecimal digits.
+MAGIC = {"jpg": "^FFD8", "jpeg": "^FFD8", "png": "^89504E470D0A1A0A", "webp": "^52494646.{8}57454250", "bmp": "^424D", "tif": "^(49492A00|4D4D002A)", "tiff": "^(49492A00|4D4D002A)"}
 
 
 def extension(path: Column) -> Column:
@@ -24,20 +26,21 @@ def media_type(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, without: list[str] | None = None, hashed: bool = True) -> DataFrame:
     """(path, size, modified, media_type, hash_value, broken) of all files under ``root``.
 
-    Folders named in ``without`` are left out. Without ``hashed`` the bytes are
+    Folders below ``root`` named in ``without`` are left out. Without ``hashed`` the bytes are
     not read. ``broken`` marks images whose first bytes are of another format.
     Spark's reader leaves out files of no bytes.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    inside = F.regexp_replace("path", f"^[a-z]*:?/*\\Q{re.sub('^[a-z]*:?/+', '', root).rstrip('/')}\\E", "")
     for name in without or []:
-        found = found.where(~F.col("path").contains(f"/{name}/"))
+        found = found.where(~inside.contains(f"/{name}/"))
     rows = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), media_type(F.col("path")).alias("media_type")]
     if not hashed:
         return found.select(*rows)
     magic = F.create_map(*[F.lit(x) for pair in MAGIC.items() for x in pair])
     wanted = F.try_element_at(magic, extension(F.col("path")))
-    head = F.hex(F.substring("content", 1, 8))
-    return found.select(*rows, F.sha2("content", 256).alias("hash_value"), (wanted.isNotNull() & ~head.startswith(wanted)).alias("broken"))
+    head = F.hex(F.substring("content", 1, 12))
+    return found.select(*rows, F.sha2("content", 256).alias("hash_value"), (wanted.isNotNull() & ~F.regexp(head, wanted)).alias("broken"))
 
 
 def rescan(spark: SparkSession, root: str, known: DataFrame, without: list[str] | None = None) -> DataFrame:

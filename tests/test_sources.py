@@ -102,3 +102,18 @@ def test_first_seen(spark, tmp_path):
 def test_unprocessed(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
     assert [r.path for r in timeline.unprocessed(rows, rows.where("path = 'c'"), "a").collect()] == ["b"]
+
+
+def test_broken_images_by_their_first_bytes(spark, tmp_path):
+    heads = {"a.jpg": b"\xff\xd8\x00\x01", "b.jpg": b"\xff\xd9", "c.tif": b"MM\x00*rest", "d.tiff": b"II*\x00rest", "e.tif": b"XX*\x00", "f.webp": b"RIFF\x01\x02\x03\x04WEBPVP8 ", "g.webp": b"RIFF\x01\x02\x03\x04WAVEfmt ", "h.png": b"\x89PNG\r\n\x1a\n", "i.png": b"\x89PNG", "j.bmp": b"BM12", "k.heic": b"anything"}
+    for name, head in heads.items():
+        (tmp_path / name).write_bytes(head)
+    found = {r.path.rsplit("/", 1)[1] for r in files.scan(spark, str(tmp_path)).where("broken").collect()}
+    assert found == {"b.jpg", "e.tif", "g.webp", "i.png"}
+
+
+def test_folders_left_out_are_those_below_the_root(spark, tmp_path):
+    for folder in ("skip/root/in", "skip/root/skip"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.jpg").write_bytes(b"\xff\xd8")
+    assert [r.path.split("/")[-2] for r in files.scan(spark, str(tmp_path / "skip" / "root"), ["skip"]).collect()] == ["in"]
