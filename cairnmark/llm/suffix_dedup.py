@@ -21,7 +21,7 @@ that differs within a block, are shuffled by trigger and sorted:
 * Where a trigger has one phrase only, its first place stays.
 * Where phrases that differ share a trigger, or its gram stands twice in a
   phrase (periodic text), the phrases' bytes are brought together by trigger
-  and their suffix array, cut at ``length`` bytes, is built by prefix doubling;
+  and their suffix array, cut at ``length`` bytes, is built from ranked words;
   in each class of equal suffixes all but the first place are repeats. A
   trigger of over ``PIECE`` strings (the edges of a common passage) is
   dealt in as many pieces by the strings' hashes, and repeats within a block
@@ -212,37 +212,42 @@ def _judge(batches):
             yield _batch(verdict[keep], uid[keep], key[keep], uid[keep], start[keep], n[keep])
 
 
-def suffix_classes(data: np.ndarray, length: int) -> np.ndarray:
-    """For every byte but the last ``length`` - 1, the rank of the ``length`` bytes from there on among all of them.
+def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For each of the suffixes that begin ``at``, cut at ``length`` bytes, how many of these are smaller.
 
-    Prefix doubling: eight bytes are a number, the ranks of w bytes at two
-    places give the rank of 2w, and the last pair overlaps to end at
-    ``length``. Ranks are of the bytes themselves, so equal ranks mean equal
-    bytes.
+    Words of eight bytes are ranked once for all places; the suffixes are then
+    refined word by word (the last overlaps to end at ``length``), only those
+    that still equal others. Ranks are of the bytes themselves, so equal ranks
+    mean equal bytes.
     """
-    wide = np.zeros(len(data) + 8, np.uint8)
+    if not len(at):
+        return np.zeros(0, np.int64)
+    width, wide = min(8, length), np.zeros(len(data) + 8, np.uint8)
     wide[: len(data)] = data
-    rank, width = np.zeros(len(data) + 1, np.uint64), min(8, length)
+    word = np.zeros(len(data), np.uint64)
     for k in range(width):
-        rank = rank << np.uint64(8) | wide[k : k + len(rank)]
-    rank = _dense(rank[: len(data) - width + 1])
-    while width < length:
-        step = min(width, length - width)
-        rank = _dense(rank[:-step] << np.uint64(32) | rank[step:])
-        width += step
+        word = word << np.uint64(8) | wide[k : k + len(data)]
+    order = np.argsort(word)
+    new = np.zeros(len(word), np.int64)
+    new[1:] = word[order][1:] != word[order][:-1]
+    word = np.empty(len(word), np.int64)
+    word[order] = np.cumsum(new)
+    rank, active, done = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    while done < length and len(active):
+        done = min(done + width, length)
+        key = rank[active] << 32 | word[at[active] + done - width]
+        order = np.argsort(key)
+        key, active, index = key[order], active[order], np.arange(len(order))
+        run, group = np.ones(len(key), bool), np.ones(len(key), bool)
+        run[1:] = key[1:] != key[:-1]
+        group[1:] = key[1:] >> 32 != key[:-1] >> 32
+        first = np.maximum.accumulate(np.where(run, index, 0))
+        rank[active] += first - np.maximum.accumulate(np.where(group, index, 0))
+        alone = run & np.append(run[1:], True)
+        active = active[~alone]
     return rank
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    """The rank of each value among the distinct ones."""
-    order = np.argsort(values)
-    new = np.zeros(len(values), np.uint64)
-    new[1:] = values[order][1:] != values[order][:-1]
-    out = np.empty(len(values), np.uint64)
-    out[order] = np.cumsum(new)
-    return out
-
-
 def _at(offs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Where in the block the strings of phrases begin, phrase after phrase."""
     return np.repeat(offs[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
@@ -269,7 +274,7 @@ def _pieces(length: int):
             where = start[owner] + at + shift - offs[owner]
             order = np.lexsort([where, uid[owner]])
             at, owner, where, shift = at[order], owner[order], where[order], shift[order]
-            first = _firsts([suffix_classes(some, length)[at]]) == np.arange(len(at))
+            first = _firsts([suffix_ranks(some, at, length)]) == np.arange(len(at))
             later = np.stack([uid[owner], where, np.ones(len(at), np.int64)], axis=1)[~first]
             h = ragged.window_hash(ragged.prefix(some), length)[at[first]]
             at, owner, where = (at + shift)[first], owner[first], where[first]
@@ -307,7 +312,7 @@ def _order(length: int):
         owner = np.repeat(np.arange(len(n)), n)
         uid, where = uid[owner], start[owner] + at - offs[owner]
         place = np.lexsort([where, uid])
-        later = place[_firsts([suffix_classes(data, length)[at[place]]]) != np.arange(len(place))]
+        later = place[_firsts([suffix_ranks(data, at[place], length)]) != np.arange(len(place))]
         if len(later):
             yield _later(uid[later], where[later])
 

@@ -176,18 +176,21 @@ def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
     assert plain(removed(fixtures.frame(spark, rows)).collect()) == want
 
 
-def test_suffix_classes_are_the_bytes_order():
+def test_suffix_ranks_are_the_bytes_order():
     import numpy as np
 
-    from cairnmark.llm.suffix_dedup import suffix_classes
+    from cairnmark.llm.suffix_dedup import suffix_ranks
 
-    data = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint8)
+    rng = np.random.default_rng(1)
+    data = np.concatenate([rng.integers(0, 3, 300), np.zeros(150), rng.integers(250, 256, 50), np.tile(rng.integers(0, 200, 120), 3)]).astype(np.uint8)
     raw = data.tobytes()
     for length in (5, 8, 9, 16, 30, 100):
-        cut = [raw[i : i + length] for i in range(len(raw) - length + 1)]
-        order = {x: r for r, x in enumerate(sorted(set(cut)))}
-        assert suffix_classes(data, length).tolist() == [order[x] for x in cut]
-    assert len(suffix_classes(data[:3], 8)) == 0
+        at = rng.permutation(len(raw) - length + 1)
+        cut = [raw[i : i + length] for i in at.tolist()]
+        ranked = sorted(cut)
+        order = {x: r for r, x in reversed(list(enumerate(ranked)))}
+        assert suffix_ranks(data, at, length).tolist() == [order[x] for x in cut]
+    assert len(suffix_ranks(data[:3], np.zeros(0, np.int64), 8)) == 0
 
 
 def test_an_id_with_a_third_of_all_rows_is_dealt_in_ranges(spark):
