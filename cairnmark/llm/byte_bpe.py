@@ -5,7 +5,8 @@
 1. Each block of rows is split into pre-tokens once; every distinct pre-token
    of the block gets a local code, and each row keeps its codes in order of
    position (packed by frequency into one to three bytes each). Codes and
-   words are written once, compressed, to the shared folder.
+   words are written once, compressed, to the shared folder, in buckets by block,
+   so that the codes are not shuffled when the ids come back.
 2. The words are shuffled by hash, packed by block and bucket, so equal words
    of all blocks meet and each distinct word is encoded once.
 3. The ids go back to their blocks, packed in the same way, and the texts of
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from cairnmark.llm import exchange, ragged
 from cairnmark.llm.merges import ByteMerges, byte_ranks
-from cairnmark.llm.shared import cut
+from cairnmark.llm.shared import in_buckets
 
 #: Bytes of text in a block: its codes and words are in memory at once.
 BLOCK = 6 << 20
@@ -212,7 +213,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id",
     spark = docs.sparkSession
     picked = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    coded = cut(picked.mapInArrow(_coded(pattern, exchange.count(spark)), f"block long, bucket int, words binary, of binary, id array<{kind}>, n binary, codes binary"))
+    coded = in_buckets(picked.mapInArrow(_coded(pattern, exchange.count(spark)), f"block long, bucket int, words binary, of binary, id array<{kind}>, n binary, codes binary"), "words", min(exchange.count(spark) // 2, 100_000), "block")
     words = exchange.by_bucket(coded.where("bucket >= 0"), _encode_words(ranks), "block long, bucket int, ids binary")
     texts = coded.where("bucket < 0").select("block", "of", "id", "n", "codes")
     narrow = "<u2" if len(merges_of(ranks).token_offs) <= 1 << 16 else "<u4"
