@@ -143,6 +143,14 @@ def connected(edges: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFr
             return roots
 
 
+def numbered(rows: DataFrame, key: str, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(key, number) of distinct keys counted from 0 in their order: within ranges of keys, after the count of the ranges before (one row for each range)."""
+    placed = checkpoint(rows.select(key).repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    before = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = placed.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(key)))
+    return inside.join(before, "range").select(key, (F.col("before") + F.col("place") - 1).alias("number"))
+
+
 def dbscan(vectors: DataFrame, eps: float, least: int, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
     """(id, label) of unit vectors: clusters numbered by their lowest core id, -1 for noise; a border point joins the lowest cluster next to it."""
     pairs = checkpoint(close_pairs(vectors.select("id", "embedding"), None, eps))
@@ -154,7 +162,7 @@ def dbscan(vectors: DataFrame, eps: float, least: int, checkpoint=lambda df: df.
     cored = roots.select(F.col("node").alias("id"), "root").union(alone)
     border = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(cored.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
     found = cored.union(border)
-    numbers = found.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
+    numbers = numbered(found.select("root").distinct(), "root", checkpoint).withColumnRenamed("number", "label")
     return vectors.select("id").join(found.join(numbers, "root"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairnmark.operators import runs as N
+from cairnmark.operators.vectors import numbered
 
 _CATALOGUE = "id long, path string, resource_id string, size long, modified string, status string, hash_value string"
 _CRAWL = "path string, resource_id string, size long, modified string"
@@ -49,3 +50,14 @@ def test_no_runs_and_no_snapshots(spark):
     seen = lambda *a: [(r.id, r.total, r.source) for r in N.run_figures(runs, faces, kept, *a).orderBy(F.desc("id")).collect()]
     assert seen() == [(1, None, "pending")]
     assert seen(2, True) == [(3, None, "unavailable"), (2, None, "unavailable")]
+
+
+def test_numbers_over_many_ranges(spark):
+    keys = spark.range(0, 3000, 7).select((F.col("id") * 7919 % 3001).alias("root"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.root: r.number for r in numbered(keys, "root", lambda df: df).collect()}
+        assert keys.repartitionByRange("root").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {k: n for n, k in enumerate(sorted(r.root for r in keys.collect()))}
