@@ -11,6 +11,7 @@ from cairnmark.llm.decontaminate import contamination
 from cairnmark.llm.html_text import main_text
 from cairnmark.llm.language_model import score_texts
 from cairnmark.llm.license_scan import licenses
+from cairnmark.llm.merkle import every_fifth_lowered, manifest
 from cairnmark.llm.quality import quality
 from cairnmark.llm.simhash import near_duplicates
 from cairnmark.llm.suffix_dedup import removed
@@ -70,8 +71,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"), other_text=every_fifth_lowered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model)
+    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
@@ -95,5 +100,46 @@ FROM d LEFT JOIN marked USING (uid) LEFT JOIN items USING (uid)
 """
 
 
+#: CRC-32 of ``id`` in decimal, byte by byte over a table of 256 that the SQL makes itself.
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) r(b)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _tree_sql(leaves: str, name: str, levels: int) -> str:
+    """CTEs ``{name}0`` to ``{name}{levels}`` (grp, idx, digest, n) over ``leaves`` (grp, idx, digest, n)."""
+    above = "SELECT grp, idx // 16 AS idx, CASE WHEN n = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest, (n + 15) // 16 AS n FROM {below} GROUP BY grp, idx // 16, n"
+    return f"{name}0 AS MATERIALIZED ({leaves}),\n" + ",\n".join(f"{name}{k} AS MATERIALIZED ({above.format(below=f'{name}{k - 1}')})" for k in range(1, levels + 1))
+
+
+def _siblings_sql(name: str, k: int, grp: str, idx: str) -> str:
+    """Digests beside node ``idx`` // 16 ** k of level k, those before and those after it, empty above a group's end."""
+    side = "coalesce((SELECT string_agg(s.digest, '' ORDER BY s.idx) FROM {name}{k} s WHERE s.grp = {grp} AND s.idx // 16 = {idx} // {up} AND s.idx {than} {idx} // {at}), '')"
+    return tuple(side.format(name=name, k=k, grp=grp, idx=idx, up=16 ** (k + 1), at=16**k, than=than) for than in "<>")
+
+
+def _manifest_sql(levels: int = 5) -> str:
+    """Trees of up to 16 ** ``levels`` leaves and sources."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = [("l", k, "o.grp", "o.idx", "n") for k in range(levels)] + [("s", k, "0", "o.grp", "(SELECT count(*) FROM s0)") for k in range(levels)]
+    folds = []
+    for i, (name, k, grp, idx, n) in enumerate(steps):
+        left, right = _siblings_sql(name, k, grp, idx)
+        more = f"({n} + {16**k - 1}) // {16**k} > 1"
+        folds.append(f"f{i} AS MATERIALIZED (SELECT * EXCLUDE (node, proof), CASE WHEN {more} THEN sha256({left} || node || {right}) ELSE node END AS node, proof || CASE WHEN {more} THEN {left} || {right} ELSE '' END AS proof FROM {f'f{i - 1}' if i else 'd'} o)")
+    return f"""
+WITH crc AS ({_CRC_TABLE}),
+h AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, {leaf("text")} AS leaf,
+      CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL AND {_CRC.format(id="doc_id")} % 5 = 0 THEN {leaf(lower)} END AS other FROM documents, crc),
+d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n, coalesce(other, leaf) AS node, '' AS proof FROM h),
+{_tree_sql("SELECT grp, idx, leaf AS digest, n FROM d", "l", levels)},
+{_tree_sql(f"SELECT 0 AS grp, grp AS idx, digest, count(*) OVER () AS n FROM l{levels}", "s", levels)},
+{(","+chr(10)).join(folds)}
+SELECT doc_id, leaf, (SELECT digest FROM l{levels} t WHERE t.grp = f.grp) AS subroot, (SELECT digest FROM s{levels}) AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+       node = (SELECT digest FROM s{levels}) AS verified
+FROM f{len(folds) - 1} f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op13_merkle_manifest": _manifest_sql()}

