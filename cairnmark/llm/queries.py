@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairnmark.llm.byte_bpe import digests
 from cairnmark.llm.decontaminate import contamination
+from cairnmark.llm.divergence import divergences
 from cairnmark.llm.html_text import main_text
 from cairnmark.llm.language_model import score_texts
 from cairnmark.llm.license_scan import licenses
@@ -71,12 +72,16 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), other_text=every_fifth_lowered())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model, op13_merkle_manifest)
+    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model, op11_source_divergence, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
@@ -100,6 +105,25 @@ FROM d LEFT JOIN marked USING (uid) LEFT JOIN items USING (uid)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT uid, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT uid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS MATERIALIZED (SELECT k.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.total + 2 * v.v) AS p
+      FROM kept k JOIN v USING (lang) JOIN s USING (lang) LEFT JOIN c ON c.lang = k.lang AND c.source = s.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // ((SELECT sum(total) FROM s WHERE s.lang = p.lang) + 2 * (SELECT v.v FROM v WHERE v.lang = p.lang)) AS q FROM p GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
 #: CRC-32 of ``id`` in decimal, byte by byte over a table of 256 that the SQL makes itself.
 _CRC_TABLE = "SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) r(b)"
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
@@ -142,4 +166,4 @@ FROM f{len(folds) - 1} f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op13_merkle_manifest": _manifest_sql()}
+    return {"op2_decontamination": OP2_SQL, "op11_source_divergence": OP11_SQL, "op13_merkle_manifest": _manifest_sql()}

@@ -202,3 +202,36 @@ def manifest(rows, fanout=16):
                 node = digest(left, node, right)
             out.append((x[4], x[2], trees[s][0], root, digest(*(a + b for a, b in path)), node, node == root))
     return out
+
+
+LETTERS = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def divergences(rows, least=10, top=10):
+    """Document rows (doc_id, text, lang, source) to (lang, source, part, item, value, rank)."""
+    count, docs = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    groups = collections.defaultdict(set)
+    for _, text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        groups[lang].add(source)
+        found = LETTERS.findall((text or "").translate(UPPER))
+        count[lang, source].update(found)
+        docs[lang].update(set(found))
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for t, n in docs[lang].items() if n >= least)
+        total = {t: sum(count[lang, s][t] for s in sources) for t in kept}
+
+        def shares(of, kept=kept):
+            n = sum(of[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (of[t] + 2) // n for t in kept}
+
+        apart = lambda p, q: (p - q) ** 2 // (p + q)
+        p, q = {s: shares(count[lang, s]) for s in sources}, shares(total)
+        for s in sources:
+            pairs = [(o, sum(apart(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            firsts = [(t, apart(p[s][t], q[t])) for t in kept if count[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", pairs), ("term", firsts)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, i + 1) for i, (item, value) in enumerate(found[: None if part == "pair" else top])]
+    return out
