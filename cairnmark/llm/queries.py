@@ -12,6 +12,7 @@ from cairnmark.llm.divergence import divergences
 from cairnmark.llm.html_text import main_text
 from cairnmark.llm.language_model import score_texts
 from cairnmark.llm.license_scan import licenses
+from cairnmark.llm.line_crf import line_quality
 from cairnmark.llm.merkle import every_fifth_lowered, manifest
 from cairnmark.llm.quality import quality
 from cairnmark.llm.simhash import near_duplicates
@@ -76,12 +77,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(_table(spark, sf_dir, "documents"))
 
 
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), other_text=every_fifth_lowered())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model, op11_source_divergence, op13_merkle_manifest)
+    found = (op1_main_text, op2_decontamination, op3_token_counts, op4_token_store, op5_near_duplicates, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_license_scan, op10_language_model, op11_source_divergence, op12_line_crf, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
