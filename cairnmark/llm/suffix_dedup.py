@@ -300,6 +300,31 @@ def _pieces(length: int):
     return ragged.mapper(work, target=BLOCK)
 
 
+def _slices(length: int):
+    """Texts (uid, text, slices) to their slices (phrase, pieces, uid, start, n, text), each text read once."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offs in ragged.blocks(batch, target=BLOCK):
+                lists = rows.column("slices")
+                owner = np.repeat(np.arange(rows.num_rows), np.asarray(pc.list_value_length(lists), np.int64))
+                found = lists.flatten()
+                start, n = (np.asarray(found.field(c), np.int64) for c in ("start", "n"))
+                begin, size = offs[owner] + start, n + length - 1
+                ends = np.cumsum(size)
+                lo = 0
+                while lo < len(size):
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + BLOCK, side="right")))
+                    some = slice(lo, hi)
+                    at = np.repeat(begin[some] - (ends[some] - size[some] - (ends[lo] - size[lo])), size[some]) + np.arange(int(size[some].sum()))
+                    columns = [found.field("phrase")[some], found.field("pieces")[some], rows.column("uid").take(pa.array(owner[some])), pa.array(start[some]), pa.array(n[some]), ragged.lists(data[at], size[some])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["phrase", "pieces", "uid", "start", "n", "text"])
+                    lo = hi
+        ragged.release()
+
+    return run
+
+
 def _order(length: int):
     """Pieces sorted by key: in the suffix order of their phrases, all places of a string but the first are repeats."""
 
@@ -356,8 +381,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     large = cut(large.select("phrase", F.ceil(F.col("strings") / PIECE).alias("pieces")))
     few = large.limit(SMALL + 1).count() <= SMALL
     check = check.join(F.broadcast(large) if few else large, "phrase", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
-    piece = F.substring(F.col("whole").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("n") + length - 1).cast("int"))
-    slices = texts.withColumnRenamed("text", "whole").join(check.hint("shuffle_hash"), "uid").select("phrase", "pieces", "uid", "start", "n", piece.alias("text"))
+    wanted = check.groupBy("uid").agg(F.collect_list(F.struct("phrase", "pieces", "start", "n")).alias("slices"))
+    slices = texts.join(wanted.hint("shuffle_hash"), "uid").select("uid", "text", "slices").mapInArrow(_slices(length), "phrase long, pieces long, uid long, start long, n long, text binary")
     pieces = slices.mapInArrow(_pieces(length), "key long, places binary, text binary")
     ordered = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_order(length), _ROWS)
     later = found.where(F.col("kind") == _LATER).select("uid", "start", "n").unionByName(_unpacked(ordered).select("uid", "start", "n"))
