@@ -1,7 +1,8 @@
 """Quality rules of texts and their perplexity under an n-gram model of the corpus.
 
 Rules: counts of words, symbols, repeated lines and words in repeated windows,
-with two limits (``base_failed``).
+with two limits (``base_failed``). Lines and words are told apart by their
+bytes, windows by the numbers of their words, never by hashes alone.
 
 Model: trigrams of lower-cased UTF-8 bytes of all texts, counted in Spark by
 language, smoothed with modified Kneser-Ney (three discounts for each order,
@@ -22,8 +23,8 @@ too high or too low; by the second fit, too high only) are rejected; the band wi
 the square root. Both bands come from exact quantiles on a fixed grid over all
 texts.
 
-Null texts are empty: no words, base_failed, not kept. A null language is a
-language. Repeated rows and ids stay; other columns are not read.
+Null texts are empty: no words, base_failed, not kept. A null language is the
+empty one. Repeated rows and ids stay; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,10 +46,17 @@ _CHAR = np.array([not (b & 0xC0 == 0x80 or ragged.SPACES[b]) for b in range(256)
 _HELD = 1 << 20
 
 
+def _numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, equal where the bytes are."""
+    flat, size = ragged.gather(data, np.append(np.stack([starts, ends], 1).ravel(), 0), 2 * np.arange(len(starts)))
+    edges = np.concatenate([[0], np.cumsum(size)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(flat)]).dictionary_encode()
+    return np.asarray(coded.indices, np.int64)
+
+
 def rule_counts(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row of a block."""
     starts, ends, first = ragged.words(data, offs, ~ragged.SPACES)
-    sums = ragged.prefix(data)
     owner = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     out = {"n_words": np.diff(first), "word_chars": ragged.row_sums(_CHAR[data], offs), "n_symbols": ragged.row_sums(_SYMBOL[data], offs)}
 
@@ -59,28 +67,27 @@ def rule_counts(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> dic
     line, row = line[new], owner[new]
     edge = np.concatenate([[-1], breaks, [len(data)]])
     begin, stop = np.maximum(edge[line] + 1, offs[row]), np.minimum(edge[line + 1], offs[row + 1])
-    h = ragged.span_hash(sums, begin, stop)
-    order = np.lexsort([h, row])
-    again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
-    out["n_dup_lines"] = np.bincount(row[order][1:][again], minlength=len(offs) - 1)
+    same = _numbers(data, begin, stop) + (row << 32)
+    order = np.argsort(same, kind="stable")
+    out["n_dup_lines"] = np.bincount(row[order][1:][same[order][1:] == same[order][:-1]], minlength=len(offs) - 1)
 
     out["n_repeat_words"] = np.zeros(len(offs) - 1, np.int64)
     if len(starts) >= window:
-        words = ragged.span_hash(sums, starts, ends)
-        n = len(words) - window + 1
-        grams = np.zeros(n, np.uint64)
-        for j in range(window):
-            grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
-        inside = owner[:n] == owner[window - 1 :]
-        keys = ragged.mix(ragged.mix(grams) + owner[:n].astype(np.uint64))
-        at = np.flatnonzero(inside)
-        order = np.argsort(keys[at])
-        keys = keys[at][order]
+        grams, size = _numbers(data, starts, ends), 1
+        while size < window:
+            step = min(size, window - size)
+            _, grams = np.unique(grams[:-step] << 32 | grams[step:], return_inverse=True)
+            size += step
+        n = len(grams)
+        at = np.flatnonzero(owner[:n] == owner[window - 1 :])
+        keys = grams[at] << 32 | owner[at]
+        order = np.argsort(keys)
+        keys = keys[order]
         equal = keys[1:] == keys[:-1]
         twice = np.zeros(len(at), bool)
         twice[1:] |= equal
         twice[:-1] |= equal
-        cover = np.zeros(len(words) + 1, np.int64)
+        cover = np.zeros(len(starts) + 1, np.int64)
         hits = at[order[twice]]
         cover[hits] += 1
         np.subtract.at(cover, hits + window, 1)

@@ -212,3 +212,50 @@ def test_equal_hashes_are_hashed_anew():
     found = _seeded(h, check, 0)
     assert len(set(found.tolist())) == 3 and sorted(perfect_hash(found)[1].tolist()) == [0, 1, 2]
     assert set(found.tolist()).isdisjoint(_seeded(h, check, 1).tolist())
+
+
+def test_lines_and_words_of_equal_hashes_are_told_apart():
+    import numpy as np
+
+    from cairnmark.llm import ragged
+    from cairnmark.llm.quality import rule_counts
+
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate({97: 98, 98: 97})
+    other = thue.translate({97: 98, 98: 97})
+    rest = " one two three four five six seven"
+    texts = [f"{thue}\n{other}", f"{thue}{rest}\n{other}{rest}", f"{thue}{rest}\n{thue}{rest}", "x\n\nx\n x", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    data_sums = ragged.prefix(data[: 2 * len(thue) + 1])
+    assert ragged.span_hash(data_sums, np.array([0, len(thue) + 1]), np.array([len(thue), 2 * len(thue) + 1]))[0] == ragged.span_hash(data_sums, np.array([len(thue) + 1]), np.array([2 * len(thue) + 1]))[0]
+    got = rule_counts(data, offs)
+    assert got["n_dup_lines"].tolist() == [0, 0, 1, 1, 0] and got["n_repeat_words"].tolist() == [0, 0, 16, 0, 0]
+    for window in (1, 3, 5, 8):
+        words = [(i, t) for i, t in enumerate(["a b a b c a b", "a b", "", "q " * 9])]
+        flat = np.frombuffer("".join(t for _, t in words).encode(), np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in words])])
+        want = []
+        for _, t in words:
+            w = t.split()
+            wins = [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
+            want.append(len({i + j for i, x in enumerate(wins) if wins.count(x) > 1 for j in range(window)}))
+        assert rule_counts(flat, edges, window)["n_repeat_words"].tolist() == want
+
+
+def test_one_long_text_costs_as_much_as_many(spark):
+    import random
+    import time
+
+    rng = random.Random(1)
+    parts = ["".join(rng.choices("abcdefghij klmnop", k=300)) for _ in range(400)]
+    text = "".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices("abcdefghij klmnop", k=300)) for _ in range(10_000))
+    took = []
+    for texts in ([text[i : i + 20_000] for i in range(0, len(text), 20_000)], [text]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        began = time.time()
+        found = removed(docs).agg({"n_removed": "sum"}).first()[0]
+        took.append(time.time() - began)
+        assert found > 1_000_000
+    assert took[1] < 2.5 * took[0] + 3
