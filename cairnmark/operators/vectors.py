@@ -1,8 +1,8 @@
-"""Cosine search, clustering and cluster maintenance over embeddings.
+"""Centroids, links between clusters, components and cluster maintenance over embeddings.
 
-Pairs within a distance are found by tiles: vectors are dealt into tiles, tiles
-are paired, and a pair of tiles is one matrix product in a task. Rows are never
-joined with all others one by one, and what a task holds is two tiles.
+Vectors of a person are dealt into tiles, tiles are paired, and a pair of tiles
+is one matrix product in a task. Search without such a key is in ``metric``,
+density clustering in ``density``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnmark.operators.shared import kept
+
 TILE = 2048
 
 
@@ -27,41 +29,6 @@ def distance(a: Column, b: Column) -> Column:
     return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def close_pairs(left: DataFrame, right: DataFrame | None, most: float, tile: int = TILE) -> DataFrame:
-    """(a, b, distance) of unit vectors (id, embedding) at most ``most`` apart; without ``right``, within ``left`` and a < b."""
-
-    def packed(vectors: DataFrame, side: str) -> tuple[DataFrame, int]:
-        tiles = max(1, -(-vectors.count() // tile))
-        own = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("tile"))
-        return own.groupBy("tile").agg(F.collect_list(F.struct("id", "embedding")).alias(side)), tiles
-
-    a, n = packed(left, "a")
-    if right is None:
-        b, m = a.withColumnRenamed("a", "b"), n
-        at = a.select("a", F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.lit(m - 1))).alias("j"))
-    else:
-        b, m = packed(right, "b")
-        at = a.select("a", F.col("tile").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    within = right is None
-
-    def compare(frames):
-        for pdf in frames:
-            for i, j, one, two in zip(pdf["i"], pdf["j"], pdf["a"], pdf["b"], strict=True):
-                x, y = (np.array([r["embedding"] for r in side]) for side in (one, two))
-                p, q = (np.array([r["id"] for r in side], np.int64) for side in (one, two))
-                d = 1 - x @ y.T
-                r, c = np.nonzero(d <= most)
-                out = pd.DataFrame({"a": p[r], "b": q[c], "distance": d[r, c]})
-                if within:
-                    if i == j:
-                        out = out[out["a"] < out["b"]]
-                    else:
-                        out["a"], out["b"] = np.minimum(p[r], q[c]), np.maximum(p[r], q[c])
-                yield out
-
-    return at.join(b, F.col("j") == b["tile"]).select("i", "j", "a", "b").mapInPandas(compare, "a long, b long, distance double")
-
-
 def centroids(members: DataFrame, key: str) -> DataFrame:
     """(key, embedding): the unit mean of the unit vectors of each key."""
     at = members.select(key, F.posexplode("embedding").alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))
@@ -128,7 +95,7 @@ def outliers(members: DataFrame, key: str, threshold: float) -> DataFrame:
     return own.join(centre, key).select("id", key, distance(F.col("embedding"), F.col("centre")).alias("distance")).where(F.col("distance") > threshold)
 
 
-def connected(edges: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+def connected(edges: DataFrame, checkpoint=kept) -> DataFrame:
     """(node, root) over links (a, b), by handing on the smallest neighbour and jumping to its root."""
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
@@ -143,7 +110,7 @@ def connected(edges: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFr
             return roots
 
 
-def numbered(rows: DataFrame, key: str, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+def numbered(rows: DataFrame, key: str, checkpoint=kept) -> DataFrame:
     """(key, number) of distinct keys counted from 0 in their order: within ranges of keys, after the count of the ranges before (one row for each range)."""
     placed = checkpoint(rows.select(key).repartitionByRange(key).withColumn("range", F.spark_partition_id()))
     before = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
@@ -151,21 +118,6 @@ def numbered(rows: DataFrame, key: str, checkpoint=lambda df: df.checkpoint()) -
     return inside.join(before, "range").select(key, (F.col("before") + F.col("place") - 1).alias("number"))
 
 
-def dbscan(vectors: DataFrame, eps: float, least: int, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
-    """(id, label) of unit vectors: clusters numbered by their lowest core id, -1 for noise; a border point joins the lowest cluster next to it."""
-    pairs = checkpoint(close_pairs(vectors.select("id", "embedding"), None, eps))
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
-    inner = both.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b")
-    roots = connected(inner, checkpoint)
-    alone = core.join(roots, core["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("root"))
-    cored = roots.select(F.col("node").alias("id"), "root").union(alone)
-    border = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(cored.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
-    found = cored.union(border)
-    numbers = numbered(found.select("root").distinct(), "root", checkpoint).withColumnRenamed("number", "label")
-    return vectors.select("id").join(found.join(numbers, "root"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
-
-
 def adjusted_rand(rows: DataFrame) -> DataFrame:
     """(ari) of the columns ``truth`` and ``label``."""
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

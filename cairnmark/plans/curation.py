@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnmark.functions import text as X
 from cairnmark.operators import curation as C
 from cairnmark.operators import inventory as I
+from cairnmark.operators import metric as M
 from cairnmark.operators import vectors as V
 from cairnmark.plans.queries import _LINKS, _OWNED, _PERSON, _UNIT, EPS, _owned, query
 
@@ -215,4 +216,4 @@ def trip_first_dates(c):
 def faces_alike_in_other_files(c):
     faces = V.unit(c.rects.where("ignore_flag = 0"))
     of = lambda k: faces.select(F.col("id").alias(k), F.col("file_id").alias(f"f_{k}"))
-    return V.close_pairs(faces, None, EPS).join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select(F.col("a").alias("face_id"), F.col("b").alias("other_id"))
+    return M.close_pairs(faces, None, EPS).join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select(F.col("a").alias("face_id"), F.col("b").alias("other_id"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmark.functions import text as X
+from cairnmark.operators import density as D
 from cairnmark.operators import gold as G
 from cairnmark.operators import inventory as I
 from cairnmark.operators import labels as L
+from cairnmark.operators import metric as M
 from cairnmark.operators import persons as P
 from cairnmark.operators import routing as R
 from cairnmark.operators import trips as T
@@ -63,20 +64,6 @@ def _faces(c: Catalogue) -> DataFrame:
     return V.unit(c.rects.where("ignore_flag = 0"))
 
 
-def _keep(c: Catalogue):
-    def checkpoint(df: DataFrame) -> DataFrame:
-        context = c.spark.sparkContext
-        if context.getCheckpointDir() is None:
-            own = tempfile.mkdtemp(prefix="spark-cairnmark-") if context.master.startswith("local[") else None
-            shared = c.spark.conf.get("spark.checkpoint.dir", None) or own
-            if shared is None:
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            context.setCheckpointDir(shared)
-        return df.checkpoint()
-
-    return checkpoint
-
-
 # Inventory and duplicates
 
 
@@ -420,21 +407,18 @@ def cluster_centroids(c):
 
 @query(f"SELECT face_id, cluster_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY distance, cluster_id) AS n FROM (SELECT a.id AS face_id, b.cluster_id, {_DIST} AS distance FROM {_SINGLE} a JOIN {_CENTRE} b ON {_DIST} <= {EPS})) WHERE n = 1")
 def nearest_cluster(c):
-    pairs = V.close_pairs(_singles(c), _centres(c), EPS)
-    return _rounded(V.nearest(pairs, "a", "b")).select(F.col("a").alias("face_id"), F.col("b").alias("cluster_id"), "distance")
+    return _rounded(M.nearest_within(_singles(c), _centres(c), EPS)).select(F.col("a").alias("face_id"), F.col("b").alias("cluster_id"), "distance")
 
 
 @query(f"SELECT face_id, cluster_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY distance, cluster_id) AS n FROM (SELECT a.id AS face_id, b.cluster_id, min({_DIST}) AS distance FROM {_SINGLE} a JOIN {_OWNED} b ON {_DIST} <= {EPS} GROUP BY a.id, b.cluster_id)) WHERE n = 1")
 def nearest_by_min_distance(c):
-    members = _owned(c)
-    pairs = V.close_pairs(_singles(c), members, EPS).join(members.select(F.col("id").alias("b"), "cluster_id"), "b")
-    least = pairs.groupBy("a", "cluster_id").agg(F.min("distance").alias("distance"))
-    return _rounded(V.nearest(least, "a", "cluster_id")).select(F.col("a").alias("face_id"), "cluster_id", "distance")
+    members = _owned(c).select(F.col("cluster_id").alias("id"), "embedding")
+    return _rounded(M.nearest_within(_singles(c), members, EPS)).select(F.col("a").alias("face_id"), F.col("b").alias("cluster_id"), "distance")
 
 
 @query(f"SELECT a.id AS a, b.id AS b, round({_DIST}, 6) AS distance FROM {_SINGLE} a JOIN {_SINGLE} b ON a.id < b.id AND {_DIST} <= {EPS}")
 def similar_single_pairs(c):
-    return _rounded(V.close_pairs(_singles(c), None, EPS))
+    return _rounded(M.close_pairs(_singles(c), None, EPS))
 
 
 _LINKS = f"(SELECT a.cluster_id AS c1, b.cluster_id AS c2, min({_DIST}) AS distance FROM {_OWNED} a JOIN {_OWNED} b ON a.person_id = b.person_id AND a.cluster_id < b.cluster_id AND {_DIST} <= 0.8 GROUP BY 1, 2)"
@@ -472,7 +456,7 @@ _DBSCAN = f"""edges AS MATERIALIZED (SELECT * FROM {_EDGES}), core AS (SELECT a
 
 
 def _labels(c: Catalogue) -> DataFrame:
-    return V.dbscan(_faces(c), EPS, 3, _keep(c))
+    return D.dbscan(_faces(c), EPS, 3)
 
 
 @query(f"WITH RECURSIVE {_DBSCAN} SELECT id, CASE WHEN root IS NULL THEN -1 ELSE k END AS label FROM labels_of")
