@@ -21,6 +21,7 @@ from cairnmark.plans.fixtures import Catalogue, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+UNEXPRESSED: set[str] = set()
 EPS = 0.65
 BOX = ["file_id", "bbox_x", "bbox_y"]
 
@@ -51,6 +52,13 @@ def query(sql: str):
     return keep
 
 
+def unexpressed(f: Callable[[Catalogue], DataFrame]):
+    """Registers a query that SQL can't express; tests hold its operator against plain loops."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalogue(spark, sf_dir))
+    UNEXPRESSED.add(f.__name__)
+    return f
+
+
 def _rows(c: Catalogue) -> DataFrame:
     return L.labelled(c.files, c.manual_labels, _pairs(c))
 
