@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnmark.operators.vectors import distance, nearest
-
 #: The root folder of the photo archive.
 ARCHIVE_ROOT = "Фото"
 
 
 def persisted(labels: DataFrame, clusters: DataFrame, first: int) -> DataFrame:
-    """(id, cluster_id): detections (id, label) in new clusters numbered from ``first``; noise (-1) has none, and detections of ``clusters`` (id, cluster_id, person_id) whose cluster has a person keep it."""
-    owned = clusters.where("person_id IS NOT NULL").select("id", F.col("cluster_id").alias("owned"))
-    new = F.when(F.col("label") >= 0, F.lit(first) + F.col("label"))
-    return labels.join(owned, "id", "left").select("id", F.coalesce("owned", new).cast("long").alias("cluster_id"))
-
+    """(id, cluster_id): detections (id, label) in new clusters numbered from ``first``; noise (-1) has none.
 
-def nearest_or_new(faces: DataFrame, members: DataFrame, most: float) -> DataFrame:
-    """(id, cluster_id, is_new): each face (id, person_id, embedding) joins its person's cluster with the nearest member at most ``most`` away, or begins one named -id.
-
-    The members of a person are compared with that person's faces alone.
+    Detections of ``clusters`` (id, cluster_id, person_id, method) whose cluster has a person or was made by hand keep it.
     """
-    own = members.select("person_id", "cluster_id", F.col("embedding").alias("there"))
-    pairs = faces.join(own, "person_id").select("id", "cluster_id", distance(F.col("embedding"), F.col("there")).alias("distance")).where(F.col("distance") <= most)
-    found = nearest(pairs.groupBy("id", "cluster_id").agg(F.min("distance").alias("distance")), "id", "cluster_id")
-    return faces.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", -F.col("id")).alias("cluster_id"), F.col("cluster_id").isNull().cast("int").alias("is_new"))
+    owned = clusters.where("person_id IS NOT NULL OR method = 'manual'").select("id", F.col("cluster_id").alias("owned"))
+    new = F.when(F.col("label") >= 0, F.lit(first) + F.col("label"))
+    return labels.join(owned, "id", "left").select("id", F.coalesce("owned", new).cast("long").alias("cluster_id"))
 
 
 def merged(clusters: DataFrame, moves: DataFrame) -> DataFrame:

@@ -4,30 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnmark.operators import assignment as A
 from cairnmark.operators import upkeep as U
 from cairnmark.operators import vectors as V
-from cairnmark.plans.queries import _CENTRE, _DIST, _OWNED, _faces, _owned, _rounded, query
+from cairnmark.plans.queries import _CENTRE, _DIST, _OWNED, _faces, _owned, _rounded, query, unexpressed
 
-_OLD = "(SELECT r.id, r.cluster_id, c.person_id FROM rects r JOIN clusters c ON c.id = r.cluster_id)"
+_OLD = "(SELECT r.id, r.cluster_id, c.person_id, CASE WHEN c.id % 3 = 0 THEN 'manual' WHEN c.id % 3 = 1 THEN 'DBSCAN' END AS method FROM rects r JOIN clusters c ON c.id = r.cluster_id)"
 
 
-@query(f"SELECT r.id, CAST(coalesce(o.cluster_id, CASE WHEN r.id % 6 <> 0 THEN 500000 + r.id % 6 END) AS BIGINT) AS cluster_id FROM rects r LEFT JOIN (SELECT * FROM {_OLD} WHERE person_id IS NOT NULL) o ON o.id = r.id")
+@query(f"SELECT r.id, CAST(coalesce(o.cluster_id, CASE WHEN r.id % 6 <> 0 THEN 500000 + r.id % 6 END) AS BIGINT) AS cluster_id FROM rects r LEFT JOIN (SELECT * FROM {_OLD} WHERE person_id IS NOT NULL OR method = 'manual') o ON o.id = r.id")
 def persisted_clusters(c):
-    old = c.rects.select("id", "cluster_id").join(c.clusters.select(F.col("id").alias("cluster_id"), "person_id"), "cluster_id")
+    method = F.expr("CASE WHEN id % 3 = 0 THEN 'manual' WHEN id % 3 = 1 THEN 'DBSCAN' END").alias("method")
+    old = c.rects.select("id", "cluster_id").join(c.clusters.select(F.col("id").alias("cluster_id"), "person_id", method), "cluster_id")
     labels = c.rects.select("id", F.expr("CASE WHEN id % 6 = 0 THEN -1 ELSE id % 6 END AS label"))
     return U.persisted(labels, old, 500000)
 
 
 _MANUAL = "(SELECT u.id, u.manual_person_id AS person_id, u.u FROM (SELECT *, [x / sqrt(list_dot_product(embedding, embedding)) for x in embedding] AS u FROM rects WHERE ignore_flag = 0) u WHERE u.manual_person_id IS NOT NULL)"
+_ARCHIVED = f"(SELECT o.* FROM {_OWNED} o JOIN clusters k ON k.id = o.cluster_id WHERE k.scope = 'archive')"
+_MEAN = f"(SELECT person_id, cluster_id, [x / sqrt(list_dot_product(m, m)) for x in m] AS u FROM (SELECT person_id, cluster_id, list(x ORDER BY i) AS m FROM (SELECT person_id, cluster_id, i, avg(u[i]) AS x FROM (SELECT person_id, cluster_id, u, unnest(range(1, 65)) AS i FROM {_ARCHIVED}) GROUP BY 1, 2, 3) GROUP BY 1, 2))"
+
+
+def _manual_faces(c):
+    return _faces(c).where("manual_person_id IS NOT NULL").select("id", F.col("manual_person_id").alias("person_id"), "embedding")
+
+
+def _archived(c):
+    return _owned(c).join(c.clusters.where("scope = 'archive'").select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").select("person_id", "cluster_id", "embedding")
 
 
 @query(
     f"SELECT m.id, coalesce(n.cluster_id, -m.id) AS cluster_id, CASE WHEN n.cluster_id IS NULL THEN 1 ELSE 0 END AS is_new FROM {_MANUAL} m LEFT JOIN (SELECT id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, cluster_id) AS k FROM "
-    f"(SELECT a.id, b.cluster_id, min({_DIST}) AS distance FROM {_MANUAL} a JOIN {_OWNED} b ON a.person_id = b.person_id AND {_DIST} <= 0.5 GROUP BY 1, 2)) WHERE k = 1) n ON n.id = m.id"
+    f"(SELECT a.id, b.cluster_id, {_DIST} AS distance FROM {_MANUAL} a JOIN {_MEAN} b ON a.person_id = b.person_id AND {_DIST} <= 0.5)) WHERE k = 1) n ON n.id = m.id"
 )
 def person_cluster_or_new(c):
-    manual = _faces(c).where("manual_person_id IS NOT NULL").select("id", F.col("manual_person_id").alias("person_id"), "embedding")
-    return U.nearest_or_new(manual, _owned(c), 0.5)
+    return A.nearest_or_new(_manual_faces(c), _archived(c), 0.5)
+
+
+@unexpressed
+def manual_faces_in_order(c):
+    waiting = V.unit(A.waiting(c.rects, c.files)).select("id", F.col("manual_person_id").alias("person_id"), "embedding")
+    return A.in_order(waiting, _archived(c), 0.5)
+
+
+_RUNS_OF = "CASE WHEN id % 4 <> 3 THEN 1 + id % 3 END"
+
+
+@query(f"SELECT r.id AS face_id, r.manual_person_id AS person_id, CASE WHEN f.inventory_scope = 'archive' THEN 'archive' END AS archive_scope, CASE WHEN f.inventory_scope = 'archive' THEN NULL ELSE coalesce(CASE WHEN r.id % 5 < 2 THEN r.id % 9 END, f.faces_run_id) END AS run_id FROM rects r LEFT JOIN (SELECT *, {_RUNS_OF} AS faces_run_id FROM files) f ON f.id = r.file_id WHERE r.manual_person_id IS NOT NULL AND r.embedding IS NOT NULL AND (f.inventory_scope = 'archive' OR coalesce(CASE WHEN r.id % 5 < 2 THEN r.id % 9 END, f.faces_run_id) IS NOT NULL)")
+def anchor_clusters(c):
+    faces = c.rects.where("manual_person_id IS NOT NULL").select("id", "file_id", F.col("manual_person_id").alias("person_id"), F.expr("CASE WHEN id % 5 < 2 THEN id % 9 END AS run_id"), "embedding")
+    return A.anchors(faces, c.files.withColumn("faces_run_id", F.expr(_RUNS_OF)))
 
 
 _MOVES = "(SELECT id AS source, id + 1 AS target FROM clusters WHERE id % 5 = 3 AND id + 1 IN (SELECT id FROM clusters))"
