@@ -11,7 +11,8 @@ from cairnmark.operators.shared import kept
 def places(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "place") -> DataFrame:
     """``rows`` with their place, from 0, among the rows of equal ``keys`` in the order of ``order``.
 
-    Rows lie in ranges of (keys, order); a row's place is that in its range, plus what earlier ranges hold of its keys. Keys may be null.
+    Rows lie in ranges of (keys, order); a row's place is that in its range, plus what earlier ranges hold of its keys. Keys may be
+    null; without keys all rows are one group, of which one task adds up a count for each range.
     """
     by = [*keys, *order]
     spread = kept(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))

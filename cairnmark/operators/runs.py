@@ -35,30 +35,6 @@ def counted_in_run(face_run: int, root: str | None = None, dedup_run: int | None
     return F.coalesce(F.col("status") != "deleted", F.lit(False)) & taken
 
 
-def after_crawl(catalogue: DataFrame, crawl: DataFrame) -> DataFrame:
-    """(id, path, status, hash_value) of the catalogue (and resource_id, size, modified) after a crawl (path, resource_id, size, modified; each path once).
-
-    A present file is the catalogue's row of its resource id (the lowest id if several), else the row of its path, unless that
-    row is found elsewhere by its resource. Other size or time: the hash goes and the status is new. A deleted row that is
-    present again is hashed or new. Present files without a row are new, with a null id; rows not present, also those whose
-    path another row has taken over, are deleted. All is judged by the catalogue as it was before the crawl.
-    """
-    seen = crawl.select("path", F.nullif("resource_id", F.lit("")).alias("resource_id"), F.col("size").alias("new_size"), F.col("modified").alias("new_modified"))
-    by_resource = catalogue.where("resource_id <> ''").groupBy("resource_id").agg(F.min("id").alias("by_resource"))
-    found = seen.join(by_resource, "resource_id", "left")
-    claimed = found.where("by_resource IS NOT NULL").groupBy(F.col("by_resource").alias("id")).agg(F.min_by(F.struct("path", "new_size", "new_modified"), "path").alias("now"))
-    free = catalogue.join(claimed.select("id"), "id", "left_anti").groupBy("path").agg(F.min("id").alias("by_path"))
-    rest = found.where("by_resource IS NULL").join(free, "path", "left")
-    met = claimed.select("id", "now.*").unionByName(rest.where("by_path IS NOT NULL").select(F.col("by_path").alias("id"), "path", "new_size", "new_modified"))
-    rows = catalogue.select("id", F.col("path").alias("old_path"), "size", "modified", "status", "hash_value").join(met, "id", "left")
-    gone, same = F.col("path").isNull(), F.col("size").eqNullSafe(F.col("new_size")) & F.col("modified").eqNullSafe(F.col("new_modified"))
-    back = F.when(F.col("hash_value").isNotNull(), "hashed").otherwise("new")
-    status = F.when(gone, "deleted").when(~same, "new").when(F.col("status") == "deleted", back).otherwise(F.coalesce("status", F.lit("new")))
-    kept = rows.select("id", F.coalesce("path", "old_path").alias("path"), status.alias("status"), F.when(gone | same, F.col("hash_value")).alias("hash_value"))
-    new = rest.where("by_path IS NULL").select(F.lit(None).cast(catalogue.schema["id"].dataType).alias("id"), "path", F.lit("new").alias("status"), F.lit(None).cast("string").alias("hash_value"))
-    return kept.unionByName(new)
-
-
 def _trip_folder() -> Column:
     return F.regexp_replace(F.trim("folder"), "/+$", "")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnmark.operators.ordering import places
+from cairnmark.operators.shared import kept
+
 
 def sessions(timeline: DataFrame, gap: int, keys: list[str]) -> DataFrame:
     """``timeline`` with ``trip``, numbered in each key: a gap of more than ``gap`` days begins a new one. A null day neither begins one nor lets the next do so."""
@@ -29,13 +33,55 @@ def suggestions(files: DataFrame, trips: DataFrame, trip_files: DataFrame) -> Da
     return in_range(files, trips, 1).join(taken, "file_id", "left_anti").select("trip_id", "file_id")
 
 
+def _before(days: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """(x, trip_id, at): for each of ``days`` (x) the ``limit`` edges (at, trip_id) with the largest ``at`` below it; of equals the lowest ids.
+
+    Days and edges lie in ranges of one order. A scan of a range keeps ``limit`` edges; it begins with the last ones of the
+    ranges before, of which the driver sees ``limit`` for each range.
+    """
+    of_day = Window.partitionBy("at").orderBy("trip_id")
+    few = edges.withColumn("_n", F.row_number().over(of_day)).where(F.col("_n") <= limit)
+    both = days.select("x", F.lit(None).cast("long").alias("trip_id")).unionByName(few.select(F.col("at").alias("x"), "trip_id"))
+    order = ["x", F.col("trip_id").asc_nulls_first()]
+    spread = kept(both.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    last = Window.partitionBy("part").orderBy(F.desc("x"), "trip_id")
+    tails = spread.where("trip_id IS NOT NULL").withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= limit).collect()
+    begun: dict[int, list] = {}
+    for part in {r.part for r in spread.select("part").distinct().collect()}:
+        begun[part] = sorted(((-r.x, r.trip_id) for r in tails if r.part < part))[:limit]
+
+    def scan(frames):
+        part, held, here, at = None, [], [], None
+        for pdf in frames:
+            out = []
+            for p, x, trip in zip(pdf["part"].tolist(), pdf["x"].tolist(), pdf["trip_id"].tolist(), strict=True):
+                if p != part:
+                    part, held, here, at = p, begun[p], [], None
+                if x != at:
+                    held, here, at = (here + held)[:limit], [], x
+                if trip == trip and trip is not None:
+                    here.append((-x, int(trip)))
+                else:
+                    out += [(x, t, -y) for y, t in held]
+            yield pd.DataFrame(out, columns=["x", "trip_id", "at"], dtype="int64")
+
+    return spread.repartition("part").sortWithinPartitions("part", *order).mapInPandas(scan, "x long, trip_id long, at long")
+
+
 def nearest_trips(days: DataFrame, trips: DataFrame, limit: int) -> DataFrame:
-    """(day, trip_id, rank, seconds) of the ``limit`` trips next to each day; 0 seconds inside."""
-    t = trips.where("start_date IS NOT NULL").select(F.col("id").alias("trip_id"), "start_date", F.coalesce("end_date", "start_date").alias("end_date"))
-    listed = t.agg(F.collect_list(F.struct("trip_id", "start_date", "end_date")).alias("trips"))  # trips are a small table of one user
-    at = days.join(F.broadcast(listed)).select("day", F.explode("trips").alias("t")).select("day", "t.*")
-    away = F.when(F.col("day") < F.col("start_date"), F.datediff("start_date", "day")).when(F.col("day") > F.col("end_date"), F.datediff("day", "end_date")).otherwise(0)
-    scored = at.select("day", "trip_id", (away * 86400).cast("long").alias("seconds"))
+    """(day, trip_id, rank, seconds) of the ``limit`` trips next to each day; 0 seconds inside. A trip without an end, or that ends before it starts, lasts a day.
+
+    Candidates are the lowest trips over the day (met on equal days) and the nearest on either side.
+    """
+    start = F.unix_date("start_date").cast("long")
+    t = trips.where("start_date IS NOT NULL").select(F.col("id").cast("long").alias("trip_id"), start.alias("a"), F.greatest(start, F.coalesce(F.unix_date("end_date").cast("long"), start)).alias("b"))
+    days = days.where("day IS NOT NULL").select(F.unix_date("day").cast("long").alias("x")).distinct()
+    over = t.select("trip_id", F.explode(F.sequence("a", "b")).alias("x")).join(days, "x", "left_semi")
+    lowest = Window.partitionBy("x").orderBy("trip_id")
+    inside = over.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= limit).select("x", "trip_id", F.col("x").alias("at"))
+    ended = _before(days, t.select("trip_id", F.col("b").alias("at")), limit)
+    begins = _before(days.select((-F.col("x")).alias("x")), t.select("trip_id", (-F.col("a")).alias("at")), limit).select((-F.col("x")).alias("x"), "trip_id", (-F.col("at")).alias("at"))
+    scored = inside.unionByName(ended).unionByName(begins).select(F.date_from_unix_date(F.col("x").cast("int")).alias("day"), "trip_id", (F.abs(F.col("x") - F.col("at")) * 86400).alias("seconds"))
     w = Window.partitionBy("day").orderBy("seconds", "trip_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -49,8 +95,8 @@ def date_ranges(files: DataFrame, trip_files: DataFrame) -> DataFrame:
 def listed(trips: DataFrame) -> DataFrame:
     """Trips with their position: leading year descending, start descending (nulls last), name without case, id descending."""
     year = F.expr("try_cast(nullif(regexp_extract(trim(name), '^([0-9]{4})', 1), '') AS int)")
-    w = Window.orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("start_date"), F.lower("name"), F.desc("id"))
-    return trips.withColumn("year", year).select("id", "year", F.row_number().over(w).alias("position"))
+    order = [F.desc_nulls_last("year"), F.desc_nulls_last("start_date"), F.lower("name"), F.desc("id")]
+    return places(trips.withColumn("year", year), [], order).select("id", "year", (F.col("place") + 1).alias("position"))
 
 
 def by_date(files: DataFrame, trip_files: DataFrame) -> DataFrame:

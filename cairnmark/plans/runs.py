@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnmark.operators import crawl as W
 from cairnmark.operators import runs as N
-from cairnmark.plans.queries import _PAIRS, _pairs, query
+from cairnmark.plans.queries import _PAIRS, _pairs, query, unexpressed
 
 
 def _read(c, sql: str) -> DataFrame:
@@ -31,18 +32,30 @@ def run_scopes(c):
     return _read(c, _SEEN).where("status <> 'deleted'").select("id", *(f.cast("int").alias(n) for n, f in flags.items()))
 
 
-_KNOWN = "SELECT id, path, CASE WHEN id % 7 <> 0 THEN concat('r', id) END AS resource_id, size, CASE WHEN id % 11 <> 1 THEN concat('t', id % 5) END AS modified, status, hash_value FROM files"
-_FOUND = """SELECT CASE WHEN f.id % 30 = 10 AND o.path IS NOT NULL THEN o.path WHEN f.id % 10 = 4 THEN concat(f.path, '.moved') ELSE f.path END AS path, CASE WHEN f.id % 7 <> 0 THEN concat('r', f.id) ELSE '' END AS resource_id,
-    CASE WHEN f.id % 8 = 1 THEN f.size + 1 WHEN f.id % 43 <> 6 THEN f.size END AS size, CASE WHEN f.id % 9 = 2 THEN 'later' WHEN f.id % 11 <> 1 THEN concat('t', f.id % 5) END AS modified
-  FROM files f LEFT JOIN files o ON o.id = f.id + 1 WHERE f.id % 6 <> 5 UNION ALL SELECT concat(path, '.new'), concat('n', id), size, 'now' FROM files WHERE id % 31 = 0 UNION ALL SELECT path, 'other', size, 'now' FROM files WHERE id % 60 = 24"""
+_KNOWN = """SELECT id, path, CASE WHEN id % 7 <> 0 THEN concat('r', id) END AS resource_id, inventory_scope, size, CASE WHEN id % 11 <> 1 THEN concat('t', id % 5) END AS modified, status, hash_value,
+    CASE WHEN media_type = 'video' THEN id % 90 END AS duration_sec FROM files"""
+_FOUND = """SELECT id AS seq, CASE WHEN id % 10 = 4 THEN concat(path, '.moved') ELSE path END AS path, CASE WHEN id % 7 <> 0 THEN concat('r', id) ELSE '' END AS resource_id,
+    CASE WHEN id % 8 = 1 THEN size + 1 WHEN id % 43 <> 6 THEN size END AS size, CASE WHEN id % 9 = 2 THEN 'later' WHEN id % 11 <> 1 THEN concat('t', id % 5) END AS modified
+  FROM files WHERE id % 6 <> 5 AND id % 2 = 0 UNION ALL SELECT id + 1000000000, concat(path, '.new'), concat('n', id), size, 'now' FROM files WHERE id % 31 = 0"""
 
 
-@query(f"""WITH k AS ({_KNOWN}), s AS ({_FOUND}), r AS (SELECT s.path, k.id FROM s JOIN k ON k.resource_id = s.resource_id), m AS (SELECT * FROM r UNION ALL SELECT s.path, k.id FROM s JOIN k ON k.path = s.path WHERE s.path NOT IN (SELECT path FROM r) AND k.id NOT IN (SELECT id FROM r)),
-    j AS (SELECT k.*, m.path AS now, m.id IS NOT NULL AND s.size IS NOT DISTINCT FROM k.size AND s.modified IS NOT DISTINCT FROM k.modified AS same FROM k LEFT JOIN m ON m.id = k.id LEFT JOIN s ON s.path = m.path)
-  SELECT id, coalesce(now, path) AS path, CASE WHEN now IS NULL THEN 'deleted' WHEN NOT same THEN 'new' WHEN coalesce(status, 'new') <> 'deleted' THEN coalesce(status, 'new') WHEN hash_value IS NULL THEN 'new' ELSE 'hashed' END AS status, CASE WHEN now IS NULL OR same THEN hash_value END AS hash_value FROM j
-  UNION ALL SELECT NULL, path, 'new', NULL FROM s WHERE path NOT IN (SELECT path FROM m)""")
+@query(f"""WITH k AS ({_KNOWN}), s AS ({_FOUND}), r AS (SELECT s.seq, k.id FROM s JOIN k ON k.resource_id = s.resource_id), m AS (SELECT * FROM r UNION ALL SELECT s.seq, k.id FROM s JOIN k ON k.path = s.path WHERE s.seq NOT IN (SELECT seq FROM r)),
+    j AS (SELECT k.*, s.path AS now, s.size AS new_size, s.modified AS new_modified, s.size IS NOT DISTINCT FROM k.size AND s.modified IS NOT DISTINCT FROM k.modified AS same FROM k LEFT JOIN m ON m.id = k.id LEFT JOIN s ON s.seq = m.seq)
+  SELECT id, coalesce(now, path) AS path, resource_id, CASE WHEN now IS NULL THEN inventory_scope ELSE 'archive' END AS inventory_scope, CASE WHEN now IS NULL THEN size ELSE new_size END AS size, CASE WHEN now IS NULL THEN modified ELSE new_modified END AS modified,
+    CASE WHEN now IS NULL THEN CASE WHEN starts_with(path, 'disk:/') AND status <> 'deleted' THEN 'deleted' ELSE status END WHEN NOT same THEN 'new' WHEN coalesce(status, 'new') <> 'deleted' THEN coalesce(status, 'new') WHEN hash_value IS NULL THEN 'new' ELSE 'hashed' END AS status,
+    CASE WHEN now IS NULL OR same THEN hash_value END AS hash_value, CASE WHEN now IS NULL OR same THEN duration_sec END AS duration_sec FROM j
+  UNION ALL SELECT NULL, path, nullif(resource_id, ''), 'archive', size, modified, 'new', NULL, NULL FROM s WHERE seq NOT IN (SELECT seq FROM m)""")
 def catalogue_after_crawl(c):
-    return N.after_crawl(_read(c, _KNOWN), _read(c, _FOUND))
+    return W.reconciled(_read(c, _KNOWN), _read(c, _FOUND), "disk:/")
+
+
+_MOVED = """SELECT f.id AS seq, CASE WHEN f.id % 6 = 2 AND o.path IS NOT NULL THEN o.path WHEN f.id % 30 = 4 THEN concat(f.path, '.moved') ELSE f.path END AS path, CASE WHEN f.id % 14 = 3 THEN concat('r', f.id + 1) WHEN f.id % 9 <> 0 THEN concat('r', f.id) END AS resource_id,
+    CASE WHEN f.id % 8 <> 1 THEN f.size END AS size, CASE WHEN f.id % 11 <> 1 THEN concat('t', f.id % 5) END AS modified FROM files f LEFT JOIN files o ON o.id = f.id + 1 WHERE f.id % 10 <> 5"""
+
+
+@unexpressed
+def catalogue_after_moves(c):
+    return W.reconciled(_read(c, _KNOWN), _read(c, _MOVED), "disk:/")
 
 
 _HOMES = "SELECT id, CASE id WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'disk:/src4/' ELSE concat(' disk:/src', 2 * id, '/') END AS folder FROM trips"

@@ -5,26 +5,6 @@ from pyspark.sql import functions as F
 from cairnmark.operators import runs as N
 from cairnmark.operators.vectors import numbered
 
-_CATALOGUE = "id long, path string, resource_id string, size long, modified string, status string, hash_value string"
-_CRAWL = "path string, resource_id string, size long, modified string"
-
-
-def _after(spark, catalogue, crawl):
-    rows = N.after_crawl(spark.createDataFrame(catalogue, _CATALOGUE), spark.createDataFrame(crawl, _CRAWL)).collect()
-    return sorted(((r.id, r.path, r.status, r.hash_value) for r in rows), key=str)
-
-
-def test_crawl_takes_over_path_and_restores(spark):
-    catalogue = [(1, "a", "r1", 5, "t", "hashed", "h1"), (2, "b", "r2", 5, "t", "hashed", "h2"), (3, "c", None, 5, None, "deleted", None), (4, "d", "r4", 5, "t", "deleted", "h4")]
-    crawl = [("b", "r1", 5, "t"), ("a", "r9", 7, "t"), ("c", "", 5, None), ("d", "r4", None, "t")]
-    assert _after(spark, catalogue, crawl) == [(1, "b", "hashed", "h1"), (2, "b", "deleted", "h2"), (3, "c", "new", None), (4, "d", "new", None), (None, "a", "new", None)]
-
-
-def test_crawl_of_nothing(spark):
-    assert _after(spark, [], []) == []
-    assert _after(spark, [], [("a", None, 1, None)]) == [(None, "a", "new", None)]
-    assert _after(spark, [(1, "a", None, 1, None, None, "h")], []) == [(1, "a", "deleted", "h")]
-
 
 def test_trip_folders(spark):
     files = spark.createDataFrame([(1, "disk:/x/a/b.jpg", None), (2, "disk:/x /c.jpg", "new"), (3, "disk:/xy/c.jpg", "new"), (4, "disk:/x/d.jpg", "deleted"), (5, None, None), (6, "", None), (7, "disk:/x", None)], "id long, path string, status string")
