@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnmark.operators.naming import free_names
+
 
 def group_counts(pairs: DataFrame, persons: DataFrame) -> DataFrame:
     """(file_id, group_name, n): distinct persons of each group on a file."""
@@ -39,9 +41,9 @@ def routing_report(targets: DataFrame) -> DataFrame:
 
 
 def move_plan(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, src, dst): numbered where names clash at the destination."""
-    name = F.substring_index("path", "/", -1)
-    planned = files.join(targets.where("target IS NOT NULL"), "id").select("id", F.col("path").alias("src"), "target", name.alias("name"))
-    n = F.row_number().over(Window.partitionBy("target", "name").orderBy("src"))
-    stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    return planned.select("id", "src", F.concat(F.col("target"), F.lit("/"), stem, F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), ext).alias("dst"))
+    """(id, src, dst): each file with a target there, in the order of their paths, under the first free name; files that are at a target and have none themselves keep their names occupied."""
+    name, parent = F.substring_index("path", "/", -1), F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)
+    moved = targets.where("target IS NOT NULL")
+    planned = files.join(moved, "id").select("id", F.col("path").alias("src"), F.col("target").alias("folder"), name.alias("name"))
+    there = files.join(moved, "id", "left_anti").select(parent.alias("folder"), name.alias("name"))
+    return free_names(planned, there, ["src", "id"]).select("id", "src", F.concat("folder", F.lit("/"), "unique_name").alias("dst"))

@@ -9,6 +9,7 @@ from cairnmark.functions import text as X
 from cairnmark.operators import curation as C
 from cairnmark.operators import inventory as I
 from cairnmark.operators import metric as M
+from cairnmark.operators import naming as Y
 from cairnmark.operators import vectors as V
 from cairnmark.plans.queries import _LINKS, _OWNED, _PERSON, _UNIT, EPS, _owned, query
 
@@ -120,10 +121,21 @@ def step_progress(c):
     return c.files.select("id", C.percent(F.col("faces_count") * 700, F.col("size")).alias("progress"))
 
 
-@query("SELECT id, CASE WHEN n = 1 THEN name ELSE regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || ' (' || (n - 1) || ')' || regexp_extract(name, '(\\.[^.]*)$', 1) END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) AS n FROM (SELECT id, folder, 'IMG' || (id % 13) || '.' || media_type AS name FROM files))")
+_NEWCOMERS = "(SELECT id, folder, 'IMG' || (id % 13) || '.' || media_type AS name FROM files WHERE id % 4 <> 0)"
+_THERE = "(SELECT DISTINCT folder, 'IMG' || (id % 13) || CASE WHEN id % 8 = 0 THEN '' ELSE ' (' || (id % 5 + 1) || ')' END || '.' || media_type AS name, 'IMG' || (id % 13) || '.' || media_type AS own, CASE WHEN id % 8 = 0 THEN 0 ELSE id % 5 + 1 END AS k FROM files WHERE id % 4 = 0)"
+
+
+@query(
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) AS r FROM {_NEWCOMERS}), many AS (SELECT folder, name, count(*) + (SELECT count(*) FROM {_THERE} t WHERE t.folder = n.folder AND t.own = n.name) AS m FROM n GROUP BY folder, name),
+    free AS (SELECT folder, name, k, row_number() OVER (PARTITION BY folder, name ORDER BY k) AS r FROM (SELECT folder, name, unnest(range(m)) AS k FROM many) c WHERE NOT EXISTS (SELECT 1 FROM {_THERE} t WHERE t.folder = c.folder AND t.own = c.name AND t.k = c.k))
+    SELECT id, CASE WHEN k = 0 THEN name ELSE regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || ' (' || k || ')' || regexp_extract(name, '(\\.[^.]*)$', 1) END AS unique_name FROM n JOIN free USING (folder, name, r)"""
+)
 def unique_destinations(c):
-    named = c.files.select("id", "folder", F.concat(F.lit("IMG"), (F.col("id") % 13).cast("string"), F.lit("."), "media_type").alias("name"))
-    return C.unique_names(named, "folder", "name", "id").select("id", "unique_name")
+    own = F.concat(F.lit("IMG"), (F.col("id") % 13).cast("string"))
+    new = c.files.where("id % 4 <> 0").select("id", "folder", F.concat(own, F.lit("."), "media_type").alias("name"))
+    number = F.when(F.col("id") % 8 == 0, "").otherwise(F.concat(F.lit(" ("), (F.col("id") % 5 + 1).cast("string"), F.lit(")")))
+    there = c.files.where("id % 4 = 0").select("folder", F.concat(own, number, F.lit("."), "media_type").alias("name"))
+    return Y.free_names(new, there, ["id"]).select("id", "unique_name")
 
 
 @query("SELECT id, trim(regexp_replace(lang || '/' || folder || ' <' || id || '> ', '[^\\p{L}\\p{N}\\-_. ]', '_', 'g')) AS segment FROM files")

@@ -503,7 +503,7 @@ def routing_report(c):
     return R.routing_report(_targets(c))
 
 
-@query(f"SELECT id, path AS src, target || '/' || regexp_replace(name, '\\.[^.]*$', '') || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || regexp_extract(name, '(\\.[^.]*)$', 1) AS dst FROM (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY path) AS n FROM (SELECT *, split_part(path, '/', -1) AS name FROM {_TARGET} WHERE target IS NOT NULL))")
+@query(f"SELECT id, path AS src, target || '/' || regexp_replace(name, '\\.[^.]*$', '') || CASE WHEN n > 1 THEN ' (' || (n - 1) || ')' ELSE '' END || regexp_extract(name, '(\\.[^.]*)$', 1) AS dst FROM (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY path) AS n FROM (SELECT *, split_part(path, '/', -1) AS name FROM {_TARGET} WHERE target IS NOT NULL))")
 def move_plan(c):
     return R.move_plan(c.files, _targets(c))
 
