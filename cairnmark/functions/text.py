@@ -104,3 +104,15 @@ def bucket(path: Column, depth: int = 3) -> Column:
 def in_hidden_folder(path: Column) -> Column:
     """The folder that holds the file begins with an underscore."""
     return F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)).startswith("_"), F.lit(False))
+
+
+def to_json_array(vector: Column) -> Column:
+    """A vector as JSON text."""
+    return F.to_json(vector)
+
+
+def vector_of_json(text: Column) -> Column:
+    """The numbers of a JSON array; null for other texts, for empty arrays and where a number is missing or none."""
+    found = F.from_json(text, "array<double>")
+    sound = (F.size(found) > 0) & ~F.exists(found, lambda x: x.isNull() | F.isnan(x))
+    return F.when(sound, found)

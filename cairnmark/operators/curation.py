@@ -30,10 +30,17 @@ def prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def newest_under_root(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, run_id): the newest run (root, run_id) whose root is a folder above the file. Folders meet roots on equality."""
-    above = files.select("id", F.explode(prefixes(F.col("path"))).alias("root"))
-    return above.join(roots, "root").groupBy("id").agg(F.max("run_id").alias("run_id"))
+def newest_under_root(files: DataFrame, roots: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, run_id): the newest run of a file's topics ``groups`` (file_id, run_id); without any, for files of this machine, the newest run (root, run_id) whose root is a folder above the file.
+
+    Paths that are neither of the drive nor of this machine have none. Folders meet roots on equality.
+    """
+    known = files.where(F.col("path").startswith("local:") | F.col("path").startswith("disk:"))
+    told = groups.groupBy(F.col("file_id").alias("id")).agg(F.max("run_id").alias("run_id")).where("run_id IS NOT NULL")
+    first = known.select("id").join(told, "id")
+    rest = known.where(F.col("path").startswith("local:")).join(told, "id", "left_anti")
+    above = rest.select("id", F.explode(prefixes(F.col("path"))).alias("root"))
+    return first.unionByName(above.join(roots, "root").groupBy("id").agg(F.max("run_id").alias("run_id")))
 
 
 def merged(members: DataFrame, moves: DataFrame) -> DataFrame:

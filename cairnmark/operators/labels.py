@@ -24,6 +24,11 @@ def bindings(rects: DataFrame, clusters: DataFrame, file_persons: DataFrame) ->
     return faces.union(file_persons.select("file_id", "person_id")).where(F.col("person_id") != OUTSIDER).distinct()
 
 
+def labels_of_run(labels: DataFrame, run: int) -> DataFrame:
+    """The manual labels (run, file_id, ...) that were set in one run."""
+    return labels.where(F.col("run") == run).drop("run")
+
+
 def labelled(files: DataFrame, labels: DataFrame, bound: DataFrame) -> DataFrame:
     """Files not deleted with their manual labels and whether a person is bound."""
     m = labels.withColumnRenamed("file_id", "id")

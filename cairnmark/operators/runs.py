@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnmark.operators.routing import group_counts
+
 #: Heads of the content rules by kind, and the words of the older grammar.
 RULE_HEADS = {"only_one": "only_one_from_group", "multiple": "multiple_from_group", "contains": "contains_group"}
 OLD_RULES = ("только", "вместе", "содержит")
@@ -60,45 +62,64 @@ def new_trip_files(files: DataFrame, trips: DataFrame, trip_files: DataFrame) ->
     return live.join(own, "folder").select("trip_id", "file_id").distinct().join(trip_files.select("trip_id", "file_id"), ["trip_id", "file_id"], "left_anti")
 
 
+def _stripped(column) -> Column:
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def parsed_rules(folders: DataFrame) -> DataFrame:
     """(id, kind, group_id, group_name, person_id) of the rules (id, rule) that are well formed.
 
-    Kinds are animals, any_people, only_one, multiple and contains; a group is named by id or name, and only_one may name a
-    person. Heads are read in any case, white space around parts is left out; other texts, empty and null ones give no row.
+    A rule is its parts between colons, trimmed. Alone, animals and any_people are rules. The first part, in any case, names a
+    group's kind (``RULE_HEADS``), with ``_id`` if a number names the group. Only only_one may go on with a person's number;
+    the name in the other kinds is all that follows. Other texts, empty and null ones give no row.
     """
-    rule = F.regexp_replace("rule", r"^\s+|\s+$", "")
+    rule = _stripped(F.col("rule"))
+    cells = F.transform(F.split(rule, ":"), lambda c: _stripped(c))
+    head, second, third = (F.lower(F.get(cells, F.lit(0))), F.get(cells, F.lit(1)), F.get(cells, F.lit(2)))
+    rest = _stripped(F.regexp_replace(rule, "^[^:]*:", ""))
+    number = lambda c: c.rlike("^[0-9]+$")
+    count = F.size(cells)
     kind, group, name, person = F.when(rule.isin("animals", "any_people"), rule), F.lit(None), F.lit(None), F.lit(None)
-    for k, head in RULE_HEADS.items():
+    for k, start in RULE_HEADS.items():
         one = k == "only_one"
-        by_id = rf"(?i)^{head}_id\s*:\s*([0-9]+){r'(?:\s*:\s*([0-9]+))?' if one else ''}$"
-        by_name = rf"(?is)^{head}\s*:\s*{r'([^:]+?)(?:\s*:\s*([0-9]+))?' if one else '(.+)'}$"
-        kind = F.coalesce(kind, F.when(rule.rlike(by_id) | rule.rlike(by_name), k))
-        group = F.coalesce(group, F.nullif(F.regexp_extract(rule, by_id, 1), F.lit("")))
-        name = F.coalesce(name, F.nullif(F.trim(F.regexp_extract(rule, by_name, 1)), F.lit("")))
+        tail = (count == 2) | (count == 3) & number(third) if one else (count == 2)
+        by_id = (head == f"{start}_id") & tail & number(second)
+        by_name = (head == start) & (tail & (second != "") if one else (count >= 2) & (rest != ""))
+        kind = F.coalesce(kind, F.when(by_id | by_name, k))
+        group = F.coalesce(group, F.when(by_id, second))
+        name = F.coalesce(name, F.when(by_name, second if one else rest))
         if one:
-            person = F.coalesce(F.nullif(F.regexp_extract(rule, by_id, 2), F.lit("")), F.nullif(F.regexp_extract(rule, by_name, 2), F.lit("")))
+            person = F.when(by_id | by_name, third)
     read = folders.select("id", kind.alias("kind"), group.cast("long").alias("group_id"), name.cast("string").alias("group_name"), person.cast("long").alias("person_id"))
     return read.where("kind IS NOT NULL")
 
 
 def old_rules(folders: DataFrame) -> DataFrame:
-    """(id, position, kind, names) of the parts of rules in the older grammar, ``kind:[name, name]`` parted by semicolons; parts of other forms or without names are left out."""
-    form = rf"(?iu)^\s*({'|'.join(OLD_RULES)})\s*:\s*\[(.*)\]\s*$"
+    """(id, position, kind, names) of the older grammar: parts between semicolons, each a kind (``OLD_RULES``, in any case), a colon and names between square brackets, parted by commas.
+
+    Parts of other forms or without names are left out.
+    """
     parts = folders.select("id", F.posexplode(F.split("rule", ";")).alias("position", "part"))
-    names = F.filter(F.transform(F.split(F.regexp_extract("part", form, 2), ","), lambda n: F.trim(n)), lambda n: n != "")
-    return parts.where(F.col("part").rlike(form)).select("id", "position", F.lower(F.regexp_extract("part", form, 1)).alias("kind"), names.alias("names")).where(F.size("names") > 0)
+    kind, listed = F.lower(_stripped(F.substring_index("part", ":", 1))), _stripped(F.regexp_replace("part", "^[^:]*:", ""))
+    fits = F.col("part").contains(":") & kind.isin(*OLD_RULES) & listed.startswith("[") & listed.endswith("]") & (F.length(listed) >= 2)
+    names = F.filter(F.transform(F.split(F.substr(listed, F.lit(2), F.length(listed) - 2), ","), lambda n: F.trim(n)), lambda n: n != "")
+    return parts.where(fits).select("id", "position", kind.alias("kind"), names.alias("names")).where(F.size("names") > 0)
 
 
 def rule_files(pairs: DataFrame, persons: DataFrame, rules: DataFrame) -> DataFrame:
-    """(file_id, folder_id) of the files with persons ``pairs`` (file_id, person_id) that meet a parsed group rule; persons are (id, group_id, group_name)."""
-    own = persons.select(F.col("id").alias("person_id"), "group_id", F.trim("group_name").alias("group_name"))
-    on_file = pairs.select("file_id", "person_id").distinct().join(own, "person_id")
+    """(file_id, folder_id) of the files with persons ``pairs`` (file_id, person_id) that meet a parsed group rule; persons are (id, group_id, group_name, name).
+
+    By group id, ``multiple`` counts persons; by group name it counts distinct names, each in the group of the lowest person of that name on the file.
+    """
+    on_file = pairs.select("file_id", "person_id").distinct().join(persons.select(F.col("id").alias("person_id"), "group_id"), "person_id")
+    by_id = on_file.groupBy("file_id", "group_id").agg(F.count("*").alias("n"), F.count("*").alias("names"), F.max("person_id").alias("who"))
+    named = pairs.select("file_id", "person_id").distinct().join(persons.select(F.col("id").alias("person_id"), F.trim("group_name").alias("group_name")), "person_id")
+    by_name = group_counts(pairs, persons).join(named.groupBy("file_id", "group_name").agg(F.max("person_id").alias("who")), ["file_id", "group_name"])
     tests = rules.select(F.col("id").alias("folder_id"), "kind", "group_id", "group_name", F.col("person_id").alias("asked"))
     found = []
-    for key in ("group_id", "group_name"):
-        counts = on_file.groupBy("file_id", key).agg(F.count("*").alias("n"), F.max("person_id").alias("who"))
+    for key, counts in (("group_id", by_id), ("group_name", by_name)):
         one = (F.col("kind") == "only_one") & (F.col("n") == 1) & (F.col("asked").isNull() | (F.col("asked") == F.col("who")))
-        met = one | (F.col("kind") == "multiple") & (F.col("n") >= 2) | (F.col("kind") == "contains")
+        met = one | (F.col("kind") == "multiple") & (F.col("names") >= 2) | (F.col("kind") == "contains")
         found.append(counts.join(tests.where(F.col(key).isNotNull()).select("folder_id", "kind", "asked", key), key).where(met).select("file_id", "folder_id"))
     return found[0].unionByName(found[1])
 

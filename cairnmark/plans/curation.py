@@ -11,6 +11,7 @@ from cairnmark.operators import inventory as I
 from cairnmark.operators import metric as M
 from cairnmark.operators import naming as Y
 from cairnmark.operators import vectors as V
+from cairnmark.operators.ordering import places
 from cairnmark.plans.queries import _LINKS, _OWNED, _PERSON, _UNIT, EPS, _owned, query
 
 
@@ -59,9 +60,13 @@ def underscore_folders(c):
     return c.files.select("id", X.in_hidden_folder(path).cast("int").alias("hidden"))
 
 
-@query("SELECT id, row_number() OVER (ORDER BY sort_order NULLS LAST, name) AS position FROM folders")
+_TARGETS = "(SELECT id, CASE WHEN id % 5 <> 0 THEN id % 17 END AS sort_order, lang || '/' || folder AS name, hash_value AS code FROM files)"
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY sort_order NULLS LAST, name, code NULLS LAST, id) - 1 AS position FROM {_TARGETS}")
 def folder_list_order(c):
-    return c.folders.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_last("sort_order"), "name")).alias("position"))
+    rows = c.files.select("id", F.expr("CASE WHEN id % 5 <> 0 THEN id % 17 END AS sort_order"), F.concat("lang", F.lit("/"), "folder").alias("name"), F.col("hash_value").alias("code"))
+    return places(rows, [], [F.asc_nulls_last("sort_order"), "name", F.asc_nulls_last("code"), "id"], "position").select("id", "position")
 
 
 @query("SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 6 THEN 1 ELSE 0 END, coalesce(group_order, 999), name) AS position FROM persons")
@@ -98,10 +103,13 @@ def latest_in_group(c):
     return c.file_groups.groupBy("group_path").agg(F.max("created").alias("created"), F.max_by("file_id", "created").alias("file_id"))
 
 
-@query("SELECT f.id, max(r.run_id) AS run_id FROM files f JOIN (SELECT 'disk:/' || folder AS root, max(id) AS run_id FROM files GROUP BY folder UNION ALL SELECT 'local:', 1) r ON starts_with(f.path, r.root || '/') GROUP BY f.id")
+_ROOTS = "(SELECT 'local:/' || folder AS root, max(id) AS run_id FROM files WHERE folder <> 'src1' GROUP BY folder UNION ALL SELECT 'local:/src', 9999999 UNION ALL SELECT 'local:', 1)"
+
+
+@query(f"WITH g AS (SELECT file_id, max(CASE WHEN created % 2 = 0 THEN created % 7 END) AS run_id FROM file_groups GROUP BY file_id HAVING run_id IS NOT NULL) SELECT id, run_id FROM files JOIN g ON g.file_id = id UNION ALL SELECT f.id, max(r.run_id) FROM files f JOIN {_ROOTS} r ON starts_with(f.path, r.root || '/') WHERE starts_with(f.path, 'local:') AND f.id NOT IN (SELECT file_id FROM g) GROUP BY f.id")
 def run_for_path(c):
-    roots = c.files.groupBy(F.concat(F.lit("disk:/"), "folder").alias("root")).agg(F.max("id").alias("run_id")).union(c.spark.createDataFrame([("local:", 1)], "root string, run_id long"))
-    return C.newest_under_root(c.files, roots)
+    roots = c.files.where("folder <> 'src1'").groupBy(F.concat(F.lit("local:/"), "folder").alias("root")).agg(F.max("id").alias("run_id")).union(c.spark.createDataFrame([("local:/src", 9999999), ("local:", 1)], "root string, run_id long"))
+    return C.newest_under_root(c.files, roots, c.file_groups.select("file_id", F.expr("CASE WHEN created % 2 = 0 THEN created % 7 END AS run_id")))
 
 
 @query("SELECT file_id, string_agg(CAST(trip_id AS VARCHAR), ',' ORDER BY trip_id) AS trips FROM trip_files WHERE status = 'included' GROUP BY file_id")

@@ -479,8 +479,8 @@ def dbscan_ari(c):
 
 # Routing
 
-_GROUPS = f"(SELECT file_id, trim(group_name) AS group_name, count(DISTINCT person_id) AS n FROM {_PAIRS} JOIN persons ON persons.id = person_id GROUP BY 1, 2)"
-_MATCH = f"(SELECT g.file_id, o.id AS folder_id, o.sort_order, o.name FROM {_GROUPS} g JOIN folders o ON o.group_name = g.group_name WHERE o.kind = 'only_one' AND n = 1 OR o.kind = 'multiple' AND n >= 2 OR o.kind = 'contains')"
+_GROUPS = f"(SELECT file_id, trim(group_name) AS group_name, count(DISTINCT person_id) AS n, count(DISTINCT nullif(trim(name), '')) AS names FROM {_PAIRS} JOIN persons ON persons.id = person_id GROUP BY 1, 2)"
+_MATCH = f"(SELECT g.file_id, o.id AS folder_id, o.sort_order, o.name FROM {_GROUPS} g JOIN folders o ON o.group_name = g.group_name WHERE o.kind = 'only_one' AND n = 1 OR o.kind = 'multiple' AND names >= 2 OR o.kind = 'contains')"
 _TARGET = f"(SELECT r.id, r.path, CASE WHEN tab = 'faces' THEN coalesce(m.name, CASE WHEN bound THEN 'People' END, '_faces') WHEN tab = 'animals' THEN 'Animals' WHEN tab = 'quarantine' THEN NULL ELSE '_' || tab END AS target FROM (SELECT *, {_V3} AS tab FROM {_ROWS}) r LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY sort_order NULLS LAST, folder_id) AS k FROM {_MATCH}) WHERE k = 1) m ON m.file_id = r.id)"
 
 
@@ -549,9 +549,13 @@ def trip_date_range(c):
     return T.date_ranges(c.files, c.trip_files)
 
 
-@query("SELECT id, year, row_number() OVER (ORDER BY year DESC NULLS LAST, start_date DESC NULLS LAST, lower(name), id DESC) AS position FROM (SELECT *, try_cast(nullif(regexp_extract(trim(name), '^([0-9]{4})', 1), '') AS INT) AS year FROM trips)")
+_JOURNEYS = "(SELECT id, CASE id % 4 WHEN 0 THEN CAST(2000 + id % 25 AS VARCHAR) || ' ' || folder WHEN 1 THEN ' ' || CAST(1990 + id % 9 AS VARCHAR) || upper(lang) WHEN 2 THEN 'x' || CAST(2000 + id AS VARCHAR) ELSE upper(folder) END AS name, CASE WHEN id % 7 <> 0 THEN try_cast(substr(taken_at, 1, 10) AS DATE) END AS start_date FROM files)"
+
+
+@query(f"SELECT id, year, row_number() OVER (ORDER BY year DESC NULLS LAST, start_date DESC NULLS LAST, lower(name), id DESC) AS position FROM (SELECT *, try_cast(nullif(regexp_extract(trim(name), '^([0-9]{{4}})', 1), '') AS INT) AS year FROM {_JOURNEYS})")
 def trip_list_order(c):
-    return T.listed(c.trips)
+    name = F.expr("CASE id % 4 WHEN 0 THEN concat(CAST(2000 + id % 25 AS STRING), ' ', folder) WHEN 1 THEN concat(' ', CAST(1990 + id % 9 AS STRING), upper(lang)) WHEN 2 THEN concat('x', CAST(2000 + id AS STRING)) ELSE upper(folder) END AS name")
+    return T.listed(c.files.select("id", name, F.expr("CASE WHEN id % 7 <> 0 THEN try_cast(substring(taken_at, 1, 10) AS date) END AS start_date")))
 
 
 @query(f"SELECT trip_id, coalesce(CAST(day AS VARCHAR), '_no_date') AS bucket, count(*) AS n FROM trip_files t JOIN {_DATED} d ON d.id = t.file_id WHERE t.status = 'included' GROUP BY 1, 2")

@@ -7,13 +7,17 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnmark.functions import text as X
 from cairnmark.operators import crawl as W
+from cairnmark.operators import labels as L
+from cairnmark.operators import routing as R
 from cairnmark.operators import runs as N
-from cairnmark.plans.queries import _PAIRS, _pairs, query, unexpressed
+from cairnmark.plans.queries import _MATCH, _PAIRS, _ROWS, _UNSORTED, _V2, _V3, _pairs, query, unexpressed
 
 
 def _read(c, sql: str) -> DataFrame:
     """A fixture's SELECT, which Spark and the oracle read alike."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     names = set(re.findall(r"(?:FROM|JOIN) (\w+)", sql))
     for n in names:
         sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
@@ -73,35 +77,98 @@ def files_of_trip_folders(c):
     return N.new_trip_files(_read(c, _SPACED), _read(c, _HOMES), c.trip_files)
 
 
-_RULES = [" Only_One_From_Group : ASIA : 8 ", "only_one_from_group_id:2", "multiple_from_group_id: 1", "contains_group:EUROPE ", "animals", " any_people", "only_one_from_group:A:B", "", "contains_group_id:x", None, "MULTIPLE_FROM_GROUP:ASIA", "contains_group : a:b", "only_one_from_group_id:0:5"]
-_OLD = ["только:[Ann]; Вместе : [Ann, , Bob]", "содержит:[]", "contains:[Ann]", None, "x;содержит:[ Bob ];"]
+_RULES = [" Only_One_From_Group : ASIA : 8 ", "only_one_from_group_id:2", "multiple_from_group_id: 1", "contains_group:EUROPE ", "animals", " any_people", "only_one_from_group:A:B", "", "contains_group_id:x", None, "MULTIPLE_FROM_GROUP:ASIA", "contains_group : a:b", "only_one_from_group_id:0:5", "multiple_from_group:AMERICA"]
 
 
 def _texts(c, rules: list) -> DataFrame:
     return c.spark.createDataFrame(list(enumerate(rules, 1)), "id int, rule string")
 
 
-@query("""SELECT * FROM (VALUES (1, 'only_one', NULL, 'ASIA', 8), (2, 'only_one', 2, NULL, NULL), (3, 'multiple', 1, NULL, NULL), (4, 'contains', NULL, 'EUROPE', NULL), (5, 'animals', NULL, NULL, NULL), (6, 'any_people', NULL, NULL, NULL),
-    (11, 'multiple', NULL, 'ASIA', NULL), (12, 'contains', NULL, 'a:b', NULL), (13, 'only_one', 0, NULL, 5)) AS t(id, kind, group_id, group_name, person_id)""")
+#: A rule for every file, in every form, well and badly made.
+_WRITTEN = """SELECT id, CASE id % 14 WHEN 0 THEN concat(' Only_One_From_Group : ', folder, ' : ', id, ' ') WHEN 1 THEN concat('only_one_from_group_id:', id % 40) WHEN 2 THEN concat('multiple_from_group_id: ', id % 40) WHEN 3 THEN concat('contains_group:', folder, ' ') WHEN 4 THEN 'animals'
+    WHEN 5 THEN ' any_people' WHEN 6 THEN concat('only_one_from_group:', folder, ':', lang) WHEN 7 THEN '' WHEN 8 THEN concat('contains_group_id:', folder) WHEN 9 THEN NULL WHEN 10 THEN concat('MULTIPLE_FROM_GROUP:', upper(folder)) WHEN 11 THEN concat('contains_group : ', lang, ':', folder)
+    WHEN 12 THEN concat('only_one_from_group_id:', id % 40, ':', id) ELSE concat('contains group:', folder) END AS rule FROM files"""
+
+
+@query("""SELECT id, CASE WHEN id % 14 IN (0, 1, 12) THEN 'only_one' WHEN id % 14 IN (2, 10) THEN 'multiple' WHEN id % 14 IN (3, 11) THEN 'contains' WHEN id % 14 = 4 THEN 'animals' ELSE 'any_people' END AS kind, CASE WHEN id % 14 IN (1, 2, 12) THEN id % 40 END AS group_id,
+    CASE id % 14 WHEN 0 THEN folder WHEN 3 THEN folder WHEN 10 THEN upper(folder) WHEN 11 THEN lang || ':' || folder END AS group_name, CASE WHEN id % 14 IN (0, 12) THEN id END AS person_id FROM files WHERE id % 14 IN (0, 1, 2, 3, 4, 5, 10, 11, 12)""")
 def rules_from_text(c):
-    return N.parsed_rules(_texts(c, _RULES))
+    return N.parsed_rules(_read(c, _WRITTEN))
+
 
+_OLD = """SELECT id, CASE id % 6 WHEN 0 THEN concat('только:[', folder, ']; Вместе : [', lang, ', , ', folder, ']') WHEN 1 THEN 'содержит:[]' WHEN 2 THEN concat('contains:[', folder, ']') WHEN 3 THEN NULL
+    WHEN 4 THEN concat('x;содержит:[ ', folder, ' ];') ELSE concat('СОДЕРЖИТ:[', lang, ']x;только:', folder) END AS rule FROM files"""
 
-@query("SELECT * FROM (VALUES (1, 0, 'только', 'Ann'), (1, 1, 'вместе', 'Ann|Bob'), (5, 1, 'содержит', 'Bob')) AS t(id, position, kind, names)")
+
+@query("SELECT id, 0 AS position, 'только' AS kind, folder AS names FROM files WHERE id % 6 = 0 UNION ALL SELECT id, 1, 'вместе', lang || '|' || folder FROM files WHERE id % 6 = 0 UNION ALL SELECT id, 1, 'содержит', folder FROM files WHERE id % 6 = 4")
 def older_rules_from_text(c):
-    return N.old_rules(_texts(c, _OLD)).withColumn("names", F.array_join("names", "|"))
+    return N.old_rules(_read(c, _OLD)).withColumn("names", F.array_join("names", "|"))
 
 
-_ON = f"(SELECT x.file_id, p.group_name, p.group_order AS g, count(*) AS n, max(x.person_id) AS who FROM {_PAIRS} x JOIN persons p ON p.id = x.person_id GROUP BY ALL)"
+_NAMED = "(SELECT id, group_name, group_order, CASE WHEN id = 3 THEN (SELECT min(name) FROM persons WHERE id = 2) ELSE name END AS name FROM persons)"
+_ON = f"(SELECT x.file_id, p.group_name, p.group_order AS g, count(*) AS n, count(DISTINCT p.name) AS names, max(x.person_id) AS who FROM {_PAIRS} x JOIN {_NAMED} p ON p.id = x.person_id GROUP BY ALL)"
 
 
 @query(f"""SELECT file_id, 1 AS folder_id FROM {_ON} WHERE group_name = 'ASIA' AND n = 1 AND who = 8 UNION ALL SELECT file_id, 2 FROM {_ON} WHERE g = 2 AND n = 1 UNION ALL SELECT file_id, 3 FROM {_ON} WHERE g = 1 AND n > 1
-    UNION ALL SELECT file_id, 4 FROM {_ON} WHERE group_name = 'EUROPE' UNION ALL SELECT file_id, 11 FROM {_ON} WHERE group_name = 'ASIA' AND n > 1 UNION ALL SELECT file_id, 13 FROM {_ON} WHERE g = 0 AND n = 1 AND who = 5""")
+    UNION ALL SELECT file_id, 4 FROM {_ON} WHERE group_name = 'EUROPE' UNION ALL SELECT file_id, 11 FROM {_ON} WHERE group_name = 'ASIA' AND names > 1 UNION ALL SELECT file_id, 13 FROM {_ON} WHERE g = 0 AND n = 1 AND who = 5 UNION ALL SELECT file_id, 14 FROM {_ON} WHERE group_name = 'AMERICA' AND names > 1""")
 def files_of_text_rules(c):
-    persons = c.persons.select("id", F.col("group_order").cast("long").alias("group_id"), "group_name")
+    second = F.first(F.when(F.col("id") == 2, F.col("name")), ignorenulls=True)
+    one = c.persons.agg(second.alias("second"))
+    persons = c.persons.join(F.broadcast(one)).select("id", F.col("group_order").cast("long").alias("group_id"), "group_name", F.when(F.col("id") == 3, F.col("second")).otherwise(F.col("name")).alias("name"))
     return N.rule_files(_pairs(c), persons, N.parsed_rules(_texts(c, _RULES)))
 
 
+_PRECLEAN = "CASE id % 29 WHEN 3 THEN 'non_media' WHEN 4 THEN 'broken_media' WHEN 5 THEN 'odd' END"
+_TOPIC = "CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'Путешествия' WHEN 2 THEN ' Поездки ' WHEN 3 THEN 'Путешествия/ 2024/ /x' WHEN 4 THEN 'Поездки/aOslo' WHEN 5 THEN '2025 Oslo/day' WHEN 6 THEN '_no_faces/Чеки/дом ' WHEN 7 THEN '/ /' WHEN 8 THEN '_no_faces/' ELSE folder END"
+_ROOT = "CASE id % 3 WHEN 0 THEN 'disk:/Root/' WHEN 1 THEN 'local:/data/in' ELSE 'D:/in/' END"
+_BASE = "CASE id % 3 WHEN 0 THEN 'disk:/Root/' WHEN 1 THEN 'local:/data/in/' ELSE 'local:D:/in/' END"
+_LOCAL = "CASE id % 3 WHEN 0 THEN 'local:disk:/Root/' WHEN 1 THEN 'local:/data/in/' ELSE 'local:D:/in/' END"
+_TOPIC_PATH = f"CASE WHEN id % 11 IN (0, 7, 8) THEN NULL WHEN id % 11 IN (1, 2) THEN {_BASE} || 'Путешествия' WHEN id % 11 = 3 THEN {_BASE} || 'Путешествия/2024/x' WHEN id % 11 = 4 THEN {_BASE} || 'Путешествия/Oslo' WHEN id % 11 = 5 THEN {_BASE} || 'Путешествия/2025 Oslo/day' WHEN id % 11 = 6 THEN {_LOCAL} || 'Чеки/дом' ELSE {_LOCAL} || folder END"
+_ROUTED = f"""(SELECT r.id, CASE WHEN {_PRECLEAN} = 'non_media' THEN {_BASE} || '_non_media' WHEN {_PRECLEAN} = 'broken_media' THEN {_BASE} || '_broken_media' WHEN {_PRECLEAN} = 'odd' THEN NULL WHEN tab = 'faces' THEN CASE WHEN id % 3 = 0 AND coalesce(m.name, 'People') = 'Europe' THEN 'disk:/Фото/Europe' ELSE {_BASE} || coalesce(m.name, 'People') END
+    WHEN tab = 'animals' THEN {_BASE} || 'Animals' WHEN tab = 'people_no_face' THEN {_BASE} || '_people_no_face' WHEN tab = 'no_faces' THEN {_TOPIC_PATH} END AS target
+  FROM (SELECT *, {_V3} AS tab FROM {_ROWS}) r LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY sort_order NULLS LAST, folder_id) AS k FROM {_MATCH}) WHERE k = 1) m ON m.file_id = r.id)"""
+
+
+def _routed(c, files: DataFrame) -> DataFrame:
+    own = lambda df: df.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    pairs = own(_pairs(c))
+    rows = L.labelled(files, own(c.manual_labels), pairs)
+    rows = rows.select("id", L.tab_routing().alias("tab"), F.expr(_PRECLEAN).alias("set_aside"), F.expr(_TOPIC).alias("group_path"), F.expr(_ROOT).alias("root"))
+    folders = c.folders.withColumn("path", F.when(F.col("name") == "Europe", "disk:/Фото/Europe").when(F.col("name") == "Asia one", "local:/x"))
+    return R.target_path(rows, pairs, c.persons, folders)
+
+
+@query(f"SELECT id, target FROM {_ROUTED}")
+def target_paths(c):
+    return _routed(c, c.files)
+
+
+@query(f"SELECT id, target FROM {_ROUTED} WHERE id = 6")
+def rerouted_file(c):
+    return _routed(c, c.files.where("id = 6"))
+
+
+_LABELS_OF = "(SELECT * FROM (SELECT *, 1 + file_id % 2 AS run FROM manual_labels) WHERE run = 1)"
+_RUN_ROWS = f"""(SELECT f.*, m.faces_label, coalesce(m.people_no_face, 0) = 1 AS pnf, coalesce(m.animals, 0) = 1 OR f.animals_auto = 1 AS animal, coalesce(m.quarantine, 0) = 1 AS quar, b.file_id IS NOT NULL AS bound,
+    f.auto_quarantine = 1 AND f.faces_count > 0 AS autoq, f.auto_quarantine = 1 AND f.faces_count > 0 AND f.quarantine_reason <> 'many_small_faces' AS autoqx
+  FROM (SELECT *, CASE WHEN id % 10 = 3 THEN 'video/mp4' END AS mime_type, CASE WHEN id % 4 <> 3 THEN 1 + id % 3 END AS faces_run_id FROM files) f LEFT JOIN {_LABELS_OF} m ON m.file_id = f.id LEFT JOIN (SELECT DISTINCT file_id FROM {_PAIRS}) b ON b.file_id = f.id WHERE f.status <> 'deleted')"""
+
+
+def _run_rows(c, scope) -> DataFrame:
+    seen = c.files.withColumn("mime_type", F.expr("CASE WHEN id % 10 = 3 THEN 'video/mp4' END")).withColumn("faces_run_id", F.expr("CASE WHEN id % 4 <> 3 THEN 1 + id % 3 END"))
+    return L.labelled(seen.where(scope), L.labels_of_run(c.manual_labels.withColumn("run", F.expr("1 + file_id % 2")), 1), _pairs(c))
+
+
+@query(f"SELECT id, {_V2} AS tab, {_V3} AS routed FROM {_RUN_ROWS} WHERE {_RUN3} AND {_OWN}")
+def run_tabs(c):
+    return _run_rows(c, N.listed_in_run(3, "local:/src19/", 1)).select("id", L.tab_ui().alias("tab"), L.tab_routing().alias("routed"))
+
+
+@query(f"SELECT count(*) FILTER (tab = 'faces') AS faces, count(*) FILTER (tab = 'no_faces') AS no_faces, count(*) FILTER (tab = 'animals') AS animals, count(*) FILTER (faces_count >= 8) AS many_faces, count(*) FILTER ({_UNSORTED}) AS unsorted, count(*) FILTER ({_UNSORTED} AND media_type = 'image') AS unsorted_photos, count(*) FILTER ({_UNSORTED} AND media_type = 'video') AS unsorted_videos FROM (SELECT *, {_V2} AS tab FROM {_RUN_ROWS} WHERE {_OWN})")
+def run_tab_counts(c):
+    return L.tab_counts(_run_rows(c, N.counted_in_run(3, "local:/src19/", 1)))
+
+
 _RUNS = "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 7 = 3 THEN 'dedup' ELSE 'local_sort' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'completed' END AS status, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey % 5 END AS face_run_id FROM nation"
 _FACE_RUNS = "SELECT r_regionkey AS id, 100 + r_regionkey AS total_files, CASE WHEN r_regionkey <> 2 THEN 50 + r_regionkey END AS processed_files FROM region WHERE r_regionkey > 0"
 _SNAPS = "SELECT n_nationkey AS run_id, CASE WHEN n_nationkey % 4 <> 2 THEN n_nationkey END AS cats_total, 1 AS cats_mism, n_nationkey * 2 AS faces_total, 2 AS faces_mism, 7 AS no_faces_total, CASE WHEN n_nationkey > 12 THEN 3 END AS no_faces_mism, CASE WHEN n_nationkey % 3 = 1 THEN 900 END AS step2_total, 800 AS step2_processed FROM nation WHERE n_nationkey % 2 = 0"
@@ -118,13 +185,25 @@ def run_snapshots(c):
     return N.run_figures(_read(c, _RUNS), _read(c, _FACE_RUNS), _read(c, _SNAPS), 12)
 
 
-_HEAD = '{"response": {"GeoObjectCollection": {"featureMember": [{"GeoObject": {"metaDataProperty": {"GeocoderMetaData": {"Address": {"Components": ['
-_REPLIES = [_HEAD + x + "]}}}}}]}}}" for x in ('{"kind": "country", "name": " Peru "}, {"kind": "province", "name": "South"}, {"kind": "locality", "name": "Ica"}', '{"kind": "Locality", "name": ""}, {"kind": "LOCALITY", "name": "Oslo"}', '{"kind": "street", "name": "x"}, {"name": "y"}')] + ["{", "{}", '{"response": {"GeoObjectCollection": {"featureMember": []}}}', None]
+_OPEN = '{"response": {"GeoObjectCollection": {"featureMember": [{"GeoObject": {"metaDataProperty": {"GeocoderMetaData": {"Address": {"Components": ['
+_REPLIED = f"""SELECT id, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN '{{' WHEN 2 THEN '{{}}' WHEN 3 THEN '{{"response": {{"GeoObjectCollection": {{"featureMember": []}}}}}}' WHEN 4 THEN concat('{_OPEN}', '{{"kind": "street", "name": "', lang, '"}}, {{"name": "y"}}]}}}}}}}}}}]}}}}}}')
+    WHEN 5 THEN concat('{_OPEN}', '{{"kind": "Locality", "name": ""}}, {{"kind": "LOCALITY", "name": "', place_city, '"}}]}}}}}}}}}}]}}}}}}') ELSE concat('{_OPEN}', '{{"kind": "country", "name": " ', place_country, ' "}}, {{"kind": "province", "name": "', place_city, '"}}, {{"kind": "locality", "name": "Ica"}}]}}}}}}}}}}]}}}}}}') END AS reply FROM files"""
 
 
-@query("SELECT * FROM (VALUES (1, 'Peru', 'South'), (2, NULL, 'Oslo'), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL)) AS t(id, country, city)")
+@query("SELECT id, CASE WHEN id % 7 = 6 THEN nullif(place_country, '') END AS country, CASE WHEN id % 7 IN (5, 6) THEN place_city END AS city FROM files")
 def places_of_replies(c):
-    return c.spark.createDataFrame(list(enumerate(_REPLIES, 1)), "id int, reply string").select("id", N.place(F.col("reply")).alias("p")).select("id", "p.country", "p.city")
+    return _read(c, _REPLIED).select("id", N.place(F.col("reply")).alias("p")).select("id", "p.country", "p.city")
+
+
+_STORED = "SELECT id, CASE id % 9 WHEN 1 THEN '[1.0, 2' WHEN 2 THEN 'null' WHEN 3 THEN '[]' WHEN 4 THEN '[1, null]' WHEN 5 THEN '{}' WHEN 6 THEN NULL END AS broken FROM files"
+
+
+@query("SELECT id, CASE WHEN id % 9 IN (1, 2, 3, 4, 5, 6) THEN NULL ELSE 3 END AS n, CASE WHEN id % 9 IN (0, 7, 8) THEN id / 8.0 END AS first, '{\"eps\":0.4,\"min_samples\":' || (id % 5) || ',\"folder\":\"' || folder || '\"}' AS params, id % 5 AS min_samples FROM files")
+def stored_vectors(c):
+    vector = F.when(F.expr("id % 9 IN (0, 7, 8)"), X.to_json_array(F.array((F.col("id") / 8.0), F.lit(0.5), F.lit(-1e-7))))
+    rows = c.files.select("id", "folder").join(_read(c, _STORED), "id").select("id", "folder", F.coalesce("broken", vector).alias("raw"))
+    read = rows.select("id", X.vector_of_json(F.col("raw")).alias("v"), F.to_json(F.struct(F.lit(0.4).alias("eps"), (F.col("id") % 5).alias("min_samples"), "folder")).alias("params"))
+    return read.select("id", F.size("v").alias("n"), F.col("v")[0].alias("first"), "params", F.get_json_object("params", "$.min_samples").cast("long").alias("min_samples"))
 
 
 _SHOTS = "SELECT id, CASE WHEN id % 4 <> 0 THEN (id % 90) + 0.125 END AS lat, CASE WHEN id % 5 <> 0 THEN -(id % 180) - 0.5 END AS lon, CASE WHEN id % 3 <> 0 THEN taken_at END AS taken, CASE WHEN id % 2 = 0 THEN DATE '2019-12-31' END AS changed FROM files"

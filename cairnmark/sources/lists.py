@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,9 +39,29 @@ def read_trips(spark: SparkSession, path: str, headers: int = 2, encoding: str =
     return rows.where("place_country <> '' AND a IS NOT NULL").select("place_country", F.least("a", "b").alias("start_date"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("end_date"))
 
 
+#: Statements that list what there is, beside queries.
+LISTINGS = {"ShowTables", "ShowViews", "ShowColumns", "ShowFunctions", "ShowNamespaces", "DescribeRelation", "DescribeColumn", "DescribeQueryCommand"}
+
+
 def read_query(spark: SparkSession, text: str) -> DataFrame:
-    """The result of one SELECT or WITH statement over registered views; others are refused."""
-    bare = text.strip().rstrip(";")
-    if ";" in bare or bare.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
-        raise ValueError("one SELECT or WITH statement is wanted")
-    return spark.sql(bare)
+    """The result of one query, or of one listing (``LISTINGS``), over registered views.
+
+    What a statement is, its parsed plan tells: it may hold no command, no insertion and no script. Others, several
+    statements and empty texts are refused with a ValueError; nothing of them runs.
+    """
+    if not text.strip():
+        raise ValueError("the statement is empty")
+    session, jvm = spark._jsparkSession, spark._jvm
+    try:
+        todo = [session.sessionState().sqlParser().parsePlan(text)]
+    except ParseException as e:
+        raise ValueError(f"not one statement: {e}") from e
+    if todo[0].nodeName() not in LISTINGS:
+        kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement", "ScriptTransformation")]
+        while todo:
+            node = todo.pop()
+            if any(k.isInstance(node) for k in kinds):
+                raise ValueError(f"only queries and listings are read, not {node.nodeName()}")
+            inner = [node.children(), node.innerChildren()]
+            todo += [s.apply(i) for s in inner for i in range(s.size()) if jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(s.apply(i))]
+    return spark.sql(text)

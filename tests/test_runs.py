@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cairnmark.operators import routing as R
 from cairnmark.operators import runs as N
 from cairnmark.operators.vectors import numbered
 
@@ -41,3 +42,21 @@ def test_numbers_over_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {k: n for n, k in enumerate(sorted(r.root for r in keys.collect()))}
+
+
+def test_old_rules_and_rule_texts_part_by_part(spark):
+    rules = [(1, "only_one_from_group: a : 5"), (2, "only_one_from_group:a:5:6"), (3, "only_one_from_group::5"), (4, "contains_group: a : 5 "), (5, "multiple_from_group_id:7:8"), (6, "ONLY_ONE_FROM_GROUP_ID : 07 : 5"), (7, "Animals"), (8, "contains_group:"), (9, "only_one_from_group_id:x"), (10, "only_one_from_group:7:x")]
+    got = {r.id: (r.kind, r.group_id, r.group_name, r.person_id) for r in N.parsed_rules(spark.createDataFrame(rules, "id int, rule string")).collect()}
+    assert got == {1: ("only_one", None, "a", 5), 4: ("contains", None, "a : 5", None), 6: ("only_one", 7, None, 5)}
+    old = [(1, "только:[a, b];ВМЕСТЕ:[c]"), (2, "только:a"), (3, "содержит:[[x], y]"), (4, ":[a]"), (5, "только:]["), (6, None)]
+    got = {(r.id, r.position): (r.kind, r.names) for r in N.old_rules(spark.createDataFrame(old, "id int, rule string")).collect()}
+    assert got == {(1, 0): ("только", ["a", "b"]), (1, 1): ("вместе", ["c"]), (3, 0): ("содержит", ["[x]", "y"])}
+
+
+def test_names_count_once_and_in_one_group(spark):
+    persons = spark.createDataFrame([(1, "Ann", "G", 1), (2, " Ann", "G ", 1), (3, "Bob", "G", 1), (4, "Ann", "H", 2), (5, " ", "H", 2), (6, "Cid", "H", 2)], "id long, name string, group_name string, group_id long")
+    pairs = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (11, 3), (12, 1), (12, 4), (12, 6), (13, 5), (13, 6), (14, 4), (14, 6), (14, 6)], "file_id long, person_id long")
+    got = {(r.file_id, r.group_name): (r.n, r.names) for r in R.group_counts(pairs, persons).collect()}
+    assert got == {(10, "G"): (2, 1), (11, "G"): (2, 2), (12, "G"): (1, 1), (12, "H"): (2, 1), (13, "H"): (2, 1), (14, "H"): (2, 2)}
+    rules = spark.createDataFrame([(1, "multiple", None, "G", None), (2, "multiple", 1, None, None), (3, "multiple", None, "H", None)], "id long, kind string, group_id long, group_name string, person_id long")
+    assert {(r.file_id, r.folder_id) for r in N.rule_files(pairs, persons, rules).collect()} == {(11, 1), (10, 2), (11, 2), (14, 3)}

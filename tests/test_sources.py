@@ -65,7 +65,11 @@ def test_trips(spark, tmp_path):
 
 def test_read_query_refuses_other_statements(spark):
     assert lists.read_query(spark, "SELECT 1 AS x;").first().x == 1
-    for text in ("DROP TABLE x", "SELECT 1; SELECT 2"):
+    assert lists.read_query(spark, "SELECT ';' AS a").first().a == ";"
+    assert lists.read_query(spark, "WITH x AS (SELECT 7 AS a) SELECT a, (SELECT max(a) FROM x) AS b FROM x").first().b == 7
+    spark.range(3).createOrReplaceTempView("guarded")
+    assert "guarded" in {r.tableName for r in lists.read_query(spark, "SHOW TABLES").collect()} and lists.read_query(spark, "DESCRIBE guarded").count() == 1
+    for text in ("DROP TABLE x", "SELECT 1; SELECT 2", "", " \n", ";", "WITH x AS (SELECT 7 AS a) INSERT INTO guarded SELECT a FROM x", "FROM guarded INSERT INTO t SELECT id INSERT INTO u SELECT id", "EXPLAIN SELECT 1", "SET a = b", "CREATE TABLE y AS SELECT 1", "SELECT TRANSFORM(id) USING 'cat' AS x FROM guarded", "SELECT * FROM (SELECT TRANSFORM(id) USING 'cat' AS x FROM guarded)", "CACHE TABLE guarded"):
         with pytest.raises(ValueError):
             lists.read_query(spark, text)
 
