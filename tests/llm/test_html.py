@@ -116,3 +116,42 @@ def test_generated_pages_by_a_plain_extractor(spark, sf_dir):
         parts = re.split(r"</?(?:h1|p|ul|li|div)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
         want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts]
         assert got[page] == "\n".join(x for x in want if x), page
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "comment-thread", "comment-body", "ad-300x250", "google-ads", "adsbygoogle", "navbar-expand-lg", "breadcrumb-trail", "hidden-xs"])
+def test_noise_of_longer_names_goes(name):
+    assert text(article(f"<div class='{name}'><p>{LONG.format('noise')}</p></div>")) == text(article(""))
+
+
+@pytest.mark.parametrize("name", ["header", "banner", "page-header"])
+def test_titles_in_parts_named_like_noise_stay(name):
+    assert text(f"<body><article><div class='{name}'><h1>TITLE</h1></div><p>{LONG.format(1)}</p></article></body>") == f"TITLE\n{LONG.format(1)}"
+    assert text(f"<body><div class='{name}'><h1>The site</h1></div><p>{LONG.format(1)}</p></body>") == LONG.format(1)
+
+
+def test_a_name_or_a_form_does_not_hide_the_article():
+    assert text(f"<main><div class=hidden-content><p>{LONG.format(1)}</p></div></main><div>zz</div>") == LONG.format(1)
+    assert text(f"<body><form action=x><nav>Menu</nav><div class=content><p>{LONG.format(1)}</p></div><input></form></body>") == LONG.format(1)
+    assert text(article(f"<form><p>{LONG.format('asked')}</p></form>")) == text(article(""))
+    assert text(f"<body><article><p>Short story of the day.</p></article><section class=comments><p>{LONG.format('c') * 5}</p></section></body>") == "Short story of the day."
+
+
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "<p>x" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<li>" + "<b>" * n + "<li>x" * n, lambda n: "<h1><b>" * n + "<div>" * n + "</b>" * n, lambda n: "<div class=header>" * n + "x", lambda n: ("<div class=header><h1>t</h1>" + "</div>") * n])
+def test_tags_left_open_take_time_in_proportion(make):
+    import time
+
+    took = []
+    for n in (4000, 64_000):
+        began = time.process_time()
+        Page(make(n)).text(None)
+        took.append(time.process_time() - began)
+    assert took[1] < 64 * took[0] + 0.5 and took[0] < 0.5
+
+
+def test_winners_that_are_not_broadcast(spark, monkeypatch):
+    from cairnmark.llm import html_text
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/", article(f"<p>{i}</p>")) for i in range(12)] + [(99, None, None)], "page_id long, url string, html string")
+    want = sorted(tuple(r) for r in main_text(pages).select("page_id", "text").collect())
+    monkeypatch.setattr(html_text, "SMALL", 0)
+    assert sorted(tuple(r) for r in main_text(pages).select("page_id", "text").collect()) == want
