@@ -184,7 +184,7 @@ def near_components(prints: DataFrame, radius: int = 4, id_column: str = "doc_id
     nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
     roots = components(tile_links(nodes, radius))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = cut(linked.groupBy("root").agg(F.min("low").alias("component_id")))  # written, so that Spark can split the rows of a large component in the join
     of_print = cut(linked.join(named, "root").select("fp", "component_id"))
     return prints.join(of_print, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
