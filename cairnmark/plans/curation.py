@@ -10,6 +10,7 @@ from cairnmark.operators import curation as C
 from cairnmark.operators import inventory as I
 from cairnmark.operators import metric as M
 from cairnmark.operators import naming as Y
+from cairnmark.operators import search as S
 from cairnmark.operators import vectors as V
 from cairnmark.operators.ordering import places
 from cairnmark.plans.queries import _LINKS, _OWNED, _PERSON, _UNIT, EPS, _owned, query
@@ -237,3 +238,10 @@ def faces_alike_in_other_files(c):
     faces = V.unit(c.rects.where("ignore_flag = 0"))
     of = lambda k: faces.select(F.col("id").alias(k), F.col("file_id").alias(f"f_{k}"))
     return M.close_pairs(faces, None, EPS).join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select(F.col("a").alias("face_id"), F.col("b").alias("other_id"))
+
+
+@query("WITH items AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT DISTINCT path FROM gold)), m AS (SELECT * FROM items WHERE contains(lower(path), '/src1')) SELECT place, path, (SELECT count(*) FROM m) AS total, CAST((SELECT count(*) FROM m) > 40 AS INT) AS more FROM m ORDER BY place LIMIT 20 OFFSET 20")
+def gold_search_page(c):
+    index = S.Index.of(c.gold.select(F.col("path").alias("entry")).distinct(), ["entry"])
+    first = index.page("/SRC1", None, 20).orderBy(F.desc("place")).limit(1).first()
+    return index.page(" /Src1", first.entry if first else None, 20).select("place", F.col("entry").alias("path"), "total", F.col("more").cast("int").alias("more"))
