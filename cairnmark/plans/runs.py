@@ -13,6 +13,7 @@ from cairnmark.operators import labels as L
 from cairnmark.operators import routing as R
 from cairnmark.operators import runs as N
 from cairnmark.plans.queries import _MATCH, _PAIRS, _ROWS, _UNSORTED, _V2, _V3, _pairs, query, unexpressed
+from cairnmark.sources import exif as E
 
 
 def _read(c, sql: str) -> DataFrame:
@@ -220,3 +221,22 @@ _GROUPED = "SELECT f.id, f.path, coalesce(g.group_path, '') AS group_path FROM f
 @query(f"SELECT id, group_path FROM ({_GROUPED}) ORDER BY CASE WHEN group_path = '' THEN 1 ELSE 0 END, group_path, path, id LIMIT 30 OFFSET 10")
 def grouped_files_page(c):
     return _read(c, _GROUPED).orderBy(F.col("group_path") == "", "group_path", "path", "id").offset(10).limit(30).select("id", "group_path")
+
+
+#: A JPEG's first bytes for every file: orientation, date and place by its id, one in ten cut off in the place.
+_BYTE = "lpad(hex({0}), 2, '0')"
+_PART = "concat(lpad(hex({0}), 2, '0'), '000000', '{1}000000')"
+_PLACE = "concat({0}, {1}, {2})"
+_IMAGES = f"""SELECT id, path, media_type, taken_at, unhex(CASE WHEN id % 10 = 3 THEN substring(body, 1, 200) ELSE body END) AS content FROM (SELECT *, concat('FFD8FFE100B4', '457869660000', '49492A0008000000',
+    '0300', '1201030001000000', {_BYTE.format("id % 8 + 1")}, '000000', '320102001400000032000000', '258804000100000046000000', '00000000', hex(concat(translate(coalesce(taken_at, '2020-01-01'), '-', ':'), ' 08:09:10')), '00',
+    '0400', '0100020002000000', CASE WHEN id % 2 = 0 THEN '4E000000' ELSE '73000000' END, '02000500030000007C000000', '0300020002000000', CASE WHEN id % 3 = 0 THEN '57000000' ELSE '45000000' END, '040005000300000094000000', '00000000',
+    {_PLACE.format(_PART.format("id % 90", "01"), _PART.format("id % 60", "01"), _PART.format("id % 250", "64"))}, {_PLACE.format(_PART.format("id % 180", "01"), _PART.format("id % 59", "01"), _PART.format("id % 251", "64"))}) AS body FROM files)"""
+
+
+@query("""SELECT id, coalesce(CASE WHEN media_type = 'image' THEN coalesce(taken_at, '2020-01-01') || 'T08:09:10Z' END, '2019-01-01') AS taken, id % 8 + 1 AS orientation,
+    CASE WHEN id % 10 <> 3 THEN round(CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END * (id % 90 + (id % 60) / 60.0 + (id % 250) / 360000.0), 6) END AS lat, CASE WHEN id % 10 <> 3 THEN round(CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END * (id % 180 + (id % 59) / 60.0 + (id % 251) / 360000.0), 6) END AS lon FROM files""")
+def camera_notes(c):
+    files = _read(c, _IMAGES)
+    found = files.join(E.read_exif(files.select(F.col("id").cast("string").alias("path"), "content")).withColumnRenamed("path", "key"), F.col("id").cast("string") == F.col("key"))
+    taken = E.taken_at(F.col("media_type"), F.col("date"), F.lit("x.jpg"), F.lit(None).cast("string"), F.lit("2019-01-01"))
+    return found.select("id", taken.alias("taken"), "orientation", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
