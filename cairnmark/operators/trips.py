@@ -102,3 +102,19 @@ def listed(trips: DataFrame) -> DataFrame:
 def by_date(files: DataFrame, trip_files: DataFrame) -> DataFrame:
     own = dated(files).select(F.col("id").alias("file_id"), F.coalesce(F.col("day").cast("string"), F.lit("_no_date")).alias("bucket"))
     return trip_files.where("status = 'included'").join(own, "file_id").groupBy("trip_id", "bucket").agg(F.count("*").alias("n"))
+
+
+def imported(trips: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``trips`` (id, name, start_date, end_date, place_country) after the import of ``rows`` (line, name, place_country, start_date, end_date).
+
+    Of rows of one name the last line counts. A trip of that name (white space around it aside) takes its dates and country;
+    without one it is a new trip with a null id, but only if a file was taken on a day of one of the rows of that name.
+    """
+    days = dated(files).where("day IS NOT NULL").select("day").distinct()
+    named = rows.withColumn("name", F.trim("name"))
+    within = named.select("name", F.explode(F.sequence("start_date", "end_date")).alias("day")).join(days, "day", "left_semi").select("name").distinct()
+    last = named.groupBy("name").agg(F.max_by(F.struct("place_country", "start_date", "end_date"), "line").alias("now"))
+    known = trips.withColumn("key", F.trim("name"))
+    kept_trips = known.join(last.withColumnRenamed("name", "key"), "key", "left").select("id", "name", *(F.when(F.col("now").isNotNull(), F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) for c in ("start_date", "end_date", "place_country")))
+    new = last.join(known.select(F.col("key").alias("name")), "name", "left_anti").join(within, "name", "left_semi")
+    return kept_trips.unionByName(new.select(F.lit(None).cast(trips.schema["id"].dataType).alias("id"), "name", "now.start_date", "now.end_date", "now.place_country"))

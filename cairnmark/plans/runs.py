@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from cairnmark.functions import text as X
 from cairnmark.operators import crawl as W
+from cairnmark.operators import keyed as K
 from cairnmark.operators import labels as L
 from cairnmark.operators import routing as R
 from cairnmark.operators import runs as N
+from cairnmark.operators import trips as T
 from cairnmark.plans.queries import _MATCH, _PAIRS, _ROWS, _UNSORTED, _V2, _V3, _pairs, query, unexpressed
 from cairnmark.sources import exif as E
 
@@ -240,3 +242,30 @@ def camera_notes(c):
     found = files.join(E.read_exif(files.select(F.col("id").cast("string").alias("path"), "content")).withColumnRenamed("path", "key"), F.col("id").cast("string") == F.col("key"))
     taken = E.taken_at(F.col("media_type"), F.col("date"), F.lit("x.jpg"), F.lit(None).cast("string"), F.lit("2019-01-01"))
     return found.select("id", taken.alias("taken"), "orientation", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+_CACHED = "SELECT concat(place_country, '/', place_city, '/', id % 40) AS key, id AS stamp, CAST(id % 90 AS DOUBLE) AS lat, nullif(trim(place_country), '') AS country, CASE WHEN id % 3 <> 0 THEN concat('{\"id\":', id, '}') END AS raw_json, lang AS source FROM files"
+_BEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY stamp DESC) AS k FROM ({0}) WHERE {1}) WHERE k = 1)"
+
+
+@query(f"""SELECT key, coalesce(n.stamp, o.stamp) AS stamp, CASE WHEN n.key IS NULL THEN o.lat ELSE n.lat END AS lat, CASE WHEN n.key IS NULL THEN o.country ELSE n.country END AS country, coalesce(n.raw_json, o.raw_json) AS raw_json, CASE WHEN o.key IS NULL THEN n.source ELSE o.source END AS source
+  FROM {_BEST.format(_CACHED.replace('{', '{{').replace('}', '}}'), "stamp % 2 = 0")} o FULL JOIN {_BEST.format(_CACHED.replace('{', '{{').replace('}', '}}'), "stamp % 2 = 1")} n USING (key)""".replace('{{', '{').replace('}}', '}'))
+def places_upserted(c):
+    rows = _read(c, _CACHED)
+    empty = c.spark.createDataFrame([], rows.schema)
+    old = K.merged(empty, rows.where("stamp % 2 = 0"), ["key"], {}, ["stamp"]).drop("changed")
+    return K.merged(old, rows.where("stamp % 2 = 1"), ["key"], {"raw_json": K.FILLED, "source": K.OLD}, ["stamp"]).drop("changed")
+
+
+_JOURNEYED = "SELECT id AS line, concat('2024 ', folder, id % 3) AS name, folder AS place_country, date_add(DATE'2024-01-01', CAST(id % 90 AS INT)) AS start_date, date_add(DATE'2024-01-01', CAST(id % 90 + id % 4 AS INT)) AS end_date FROM files WHERE id % 3 = 1"
+_JOURNEYED_SQL = _JOURNEYED.replace("date_add(DATE'2024-01-01', CAST(id % 90 AS INT))", "CAST(DATE '2024-01-01' + CAST(id % 90 AS INT) AS DATE)").replace("date_add(DATE'2024-01-01', CAST(id % 90 + id % 4 AS INT))", "CAST(DATE '2024-01-01' + CAST(id % 90 + id % 4 AS INT) AS DATE)")
+_TAKEN = "(SELECT DISTINCT try_cast(substr(taken_at, 1, 10) AS DATE) AS day FROM files WHERE id % 5 = 0)"
+
+
+@query(f"""WITH r AS ({_JOURNEYED_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY line DESC) AS k FROM r) WHERE k = 1), old AS (SELECT min(id) AS id, ' 2024 ' || folder || '1' AS name, CAST(NULL AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date, lang AS place_country FROM files WHERE id % 7 = 2 GROUP BY folder, lang)
+  SELECT o.id, o.name, coalesce(l.start_date, o.start_date) AS start_date, l.end_date, coalesce(l.place_country, o.place_country) AS place_country FROM old o LEFT JOIN last l ON l.name = trim(o.name)
+  UNION ALL SELECT NULL, name, start_date, end_date, place_country FROM last WHERE name NOT IN (SELECT trim(name) FROM old) AND name IN (SELECT r.name FROM r JOIN {_TAKEN} d ON d.day BETWEEN r.start_date AND r.end_date)""")
+def trips_after_import(c):
+    old = c.files.where("id % 7 = 2").groupBy("folder", "lang").agg(F.min("id").alias("id"))
+    old = old.select("id", F.concat(F.lit(" 2024 "), "folder", F.lit("1")).alias("name"), *(F.lit(None).cast("date").alias(d) for d in ("start_date", "end_date")), F.col("lang").alias("place_country"))
+    return T.imported(old, _read(c, _JOURNEYED), c.files.where("id % 5 = 0"))

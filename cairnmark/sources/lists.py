@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +43,34 @@ def read_trips(spark: SparkSession, path: str, headers: int = 2, encoding: str =
     return rows.where("place_country <> '' AND a IS NOT NULL").select("place_country", F.least("a", "b").alias("start_date"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("end_date"))
 
 
+def trip_rows(files: DataFrame) -> DataFrame:
+    """(line, name, place_country, start_date, end_date) of trip tables (path, content): semicolons, two lines of heads, country, ., entry, exit.
+
+    A file that is UTF-8 as a whole, with or without a mark, is read so, any other as cp1251. A trip without an exit lasts a
+    day, swapped dates are put in order, and rows without a country or an entry date are left out. A trip is named by its
+    year and country. Lines count through the files in the order of their paths.
+    """
+
+    def read(frames):
+        for pdf in frames:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                raw = bytes(content)
+                try:
+                    text = raw.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = raw.decode("cp1251", "replace")
+                for n, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=";")):
+                    if n > 1 and len(row) > 3:
+                        out.append((path, n, row[0].strip(), row[2], row[3]))
+            yield pd.DataFrame(out, columns=["path", "n", "place_country", "entry", "exit"])
+
+    rows = files.select("path", "content").mapInPandas(read, "path string, n long, place_country string, entry string, exit string")
+    dated = rows.select(F.struct("path", "n").alias("line"), "place_country", repaired_date(F.col("entry")).alias("a"), repaired_date(F.col("exit")).alias("b")).where("place_country <> '' AND a IS NOT NULL").withColumn("b", F.coalesce("b", "a"))
+    start = F.least("a", "b")
+    return dated.select("line", F.concat(F.year(start).cast("string"), F.lit(" "), "place_country").alias("name"), "place_country", start.alias("start_date"), F.greatest("a", "b").alias("end_date"))
+
+
 #: Statements that list what there is, beside queries.
 LISTINGS = {"ShowTables", "ShowViews", "ShowColumns", "ShowFunctions", "ShowNamespaces", "DescribeRelation", "DescribeColumn", "DescribeQueryCommand"}
 
