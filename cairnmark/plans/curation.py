@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnmark.functions import text as X
@@ -72,8 +71,8 @@ def folder_list_order(c):
 
 @query("SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 6 THEN 1 ELSE 0 END, coalesce(group_order, 999), name) AS position FROM persons")
 def person_list_order(c):
-    w = Window.orderBy((F.col("id") == 6).cast("int"), F.coalesce("group_order", F.lit(999)), "name")
-    return c.persons.select("id", F.row_number().over(w).alias("position"))
+    order = [(F.col("id") == 6).cast("int"), F.coalesce("group_order", F.lit(999)), "name"]
+    return places(c.persons, [], order, "before").select("id", (F.col("before") + 1).alias("position"))
 
 
 @query("SELECT id FROM files WHERE animals_auto = 1 UNION SELECT file_id FROM manual_labels WHERE animals = 1")
@@ -230,7 +229,7 @@ def exclusive_labels(c):
 @query("SELECT trip_id, first_day, row_number() OVER (ORDER BY first_day NULLS FIRST, trip_id) AS position FROM (SELECT trip_id, min(CAST(taken_at AS DATE)) AS first_day FROM trip_files LEFT JOIN files ON id = file_id GROUP BY trip_id)")
 def trip_first_dates(c):
     first = c.trip_files.join(c.files.select(F.col("id").alias("file_id"), F.col("taken_at").cast("date").alias("day")), "file_id", "left").groupBy("trip_id").agg(F.min("day").alias("first_day"))
-    return first.withColumn("position", F.row_number().over(Window.orderBy(F.asc_nulls_first("first_day"), "trip_id")))  # trips are few
+    return places(first, [], [F.asc_nulls_first("first_day"), "trip_id"], "before").select("trip_id", "first_day", (F.col("before") + 1).alias("position"))
 
 
 @query(f"SELECT a.id AS face_id, b.id AS other_id FROM {_UNIT} a JOIN {_UNIT} b ON a.id < b.id AND 1 - list_dot_product(a.u, b.u) <= {EPS} WHERE a.file_id <> b.file_id")

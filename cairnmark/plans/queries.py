@@ -17,6 +17,7 @@ from cairnmark.operators import persons as P
 from cairnmark.operators import routing as R
 from cairnmark.operators import trips as T
 from cairnmark.operators import vectors as V
+from cairnmark.operators.ordering import places
 from cairnmark.plans.fixtures import Catalogue, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,9 +140,7 @@ _ORDER = "(SELECT folder, CAST(row_number() OVER (ORDER BY folder) AS BIGINT) AS
 
 @query(f"SELECT hash_value, id, CASE WHEN row_number() OVER (PARTITION BY hash_value ORDER BY size DESC, coalesce(sort_order, 999999), path) = 1 THEN 1 ELSE 0 END AS is_keep FROM files JOIN (SELECT hash_value FROM files WHERE hash_value IS NOT NULL GROUP BY hash_value HAVING count(*) > 1) g USING (hash_value) LEFT JOIN {_ORDER} o USING (folder)")
 def keep_selection(c):
-    from pyspark.sql import Window
-
-    order = c.files.where("folder < 'src15'").select("folder").distinct().withColumn("sort_order", F.row_number().over(Window.orderBy("folder")))
+    order = places(c.files.where("folder < 'src15'").select("folder").distinct(), [], ["folder"], "before").select("folder", (F.col("before") + 1).alias("sort_order"))
     return I.keep_selection(c.files, order)
 
 
