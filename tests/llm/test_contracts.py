@@ -130,11 +130,18 @@ def test_licence_templates_add_labels(spark):
     assert found[99].labels == "" and found[99].score == 0
 
 
-def test_language_model_beats_uniform_and_is_a_log_probability(spark, sf_dir):
+def test_language_model_is_a_log_probability_that_training_improves(spark, sf_dir):
     found = Q.op10_language_model(spark, sf_dir).collect()
     assert all(r.score < 0 and math.isfinite(r.score) for r in found)
     again = {r.doc_id: r.score for r in Q.op10_language_model(spark, sf_dir).collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 * abs(r.score) + 1e-6 for r in found)
+    untrained = {r.doc_id: r.score for r in score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), BYTE, 0).collect()}
+    held = [r for r in found if r.held_out]
+    trained, begun, base = sum(r.score for r in held), sum(untrained[r.doc_id] for r in held), sum(r.base_score for r in held)
+    assert held and trained > begun and trained > 1.25 * base
+    texts = dict(zip(*(pq.read_table(f"{sf_dir}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    subwords = sum(r[1] for r in brute.byte_bpe([(r.doc_id, texts[r.doc_id]) for r in held]))
+    assert trained > 0.6 * subwords * math.log10(1 / 50257)
 
 
 def test_quality_rejects_texts_of_mostly_noise(spark):
