@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from cairnmark.plans import curation, density, queries as plans, runs, upkeep  # noqa: F401
+from cairnmark.plans import curation, density, pages, queries as plans, runs, upkeep  # noqa: F401
 
 from compare import differences, oracle
 
