@@ -213,7 +213,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id",
     spark = docs.sparkSession
     picked = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    coded = in_buckets(picked.mapInArrow(_coded(pattern, exchange.count(spark)), f"block long, bucket int, words binary, of binary, id array<{kind}>, n binary, codes binary"), "words", min(exchange.count(spark) // 2, 100_000), "block")
+    coded = in_buckets(picked.mapInArrow(_coded(pattern, exchange.count(spark, docs)), f"block long, bucket int, words binary, of binary, id array<{kind}>, n binary, codes binary"), "words", min(exchange.count(spark) // 2, 100_000), "block")
     words = exchange.by_bucket(coded.where("bucket >= 0"), _encode_words(ranks), "block long, bucket int, ids binary")
     texts = coded.where("bucket < 0").select("block", "of", "id", "n", "codes")
     narrow = "<u2" if len(merges_of(ranks).token_offs) <= 1 << 16 else "<u4"

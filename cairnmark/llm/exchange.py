@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from cairnmark.llm import ragged
 
 
+#: Bytes of words in a bucket, bytes of text for a byte of files, and sizes that are Spark's word for an unknown one.
+BUCKET, UNPACKED, UNKNOWN = 256 << 20, 4, 1 << 60
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
 
@@ -28,9 +32,11 @@ def swell(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def count(spark: SparkSession) -> int:
-    """Buckets of a session: two for each shuffle partition."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def count(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Buckets of a session: two for each shuffle partition, or as many as hold the words of ``docs`` at ``BUCKET`` bytes each, if that is more and Spark knows the size of its files."""
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if docs is not None else 0
+    return max(least, UNPACKED * size // BUCKET) if size < UNKNOWN else least
 
 
 def deal(data: np.ndarray, offs: np.ndarray, buckets: int, *others: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
