@@ -35,7 +35,7 @@ def swell(raw: bytes) -> bytes:
 def count(spark: SparkSession, docs: DataFrame | None = None) -> int:
     """Buckets of a session: two for each shuffle partition, or as many as hold the words of ``docs`` at ``BUCKET`` bytes each, if that is more and Spark knows the size of its files."""
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if docs is not None else 0
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if docs is not None else 0
     return max(least, UNPACKED * size // BUCKET) if size < UNKNOWN else least
 
 
