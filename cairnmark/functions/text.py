@@ -116,3 +116,16 @@ def vector_of_json(text: Column) -> Column:
     found = F.from_json(text, "array<double>")
     sound = (F.size(found) > 0) & ~F.exists(found, lambda x: x.isNull() | F.isnan(x))
     return F.when(sound, found)
+
+
+def scaled_back(x: Column, y: Column, w: Column, h: Column, scale: Column, width: Column, height: Column) -> Column:
+    """A box (x, y, w, h) found at ``scale``, in the whole image and cut at its edges; null where nothing over a pixel wide and high is left.
+
+    Halves are rounded to the even pixel. A scale of 1, or that is no scale, leaves the box as it is.
+    """
+    at = [F.greatest(F.lit(0), F.rint(v / scale).cast("long")) for v in (x, y, w, h)]
+    wide, high = F.least(at[2], F.greatest(F.lit(0), width - at[0])), F.least(at[3], F.greatest(F.lit(0), height - at[1]))
+    inside = (at[0] < width) & (at[1] < height) & (wide > 1) & (high > 1)
+    same = (scale == 1) | (scale <= 0)
+    box = lambda a, b, c, d: F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"), c.cast("long").alias("w"), d.cast("long").alias("h"))
+    return F.when(same, box(x, y, w, h)).when(inside, box(at[0], at[1], wide, high))

@@ -59,3 +59,24 @@ def exclusive_labels(labels: DataFrame, chosen: DataFrame) -> DataFrame:
 def percent(done: Column, total: Column) -> Column:
     """Whole per cent, 0 to 100; null without a total."""
     return F.when(total > 0, F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 * done / total).cast("int"))))
+
+
+def save_snapshot(faces: DataFrame, path: str) -> None:
+    """Writes the faces of persons (person_id, face_id, cluster_id) as JSON lines in order of person and face."""
+    faces.select("person_id", "face_id", "cluster_id").orderBy("person_id", "face_id").write.mode("overwrite").json(path)
+
+
+def read_snapshot(spark, path: str) -> DataFrame:
+    return spark.read.schema("person_id long, face_id long, cluster_id long").json(path)
+
+
+def restored(labels: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """``labels`` (person_id, face_id, cluster_id, source, confidence) with those of ``snapshot`` that are gone: same face, person and cluster."""
+    keys = ["person_id", "face_id", "cluster_id"]
+    same = labels.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    gone = snapshot.select(*keys).distinct()
+    match = F.lit(True)
+    for k in keys:
+        match = match & gone[k].eqNullSafe(same[f"_{k}"])
+    back = gone.join(same, match, "left_anti").select(*keys, F.lit("restored_from_snapshot").alias("source"), F.lit(0.9).alias("confidence"))
+    return labels.select(*keys, "source", "confidence").unionByName(back)

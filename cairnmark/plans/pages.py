@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnmark.functions import text as X
+from cairnmark.operators import curation as C
 from cairnmark.operators import labels as L
+from cairnmark.operators import metric as M
 from cairnmark.operators import pages as G
 from cairnmark.operators import vectors as V
-from cairnmark.plans.queries import _DIST, _ROWS, _V2, _faces, _rounded, _rows, query
+from cairnmark.plans.queries import _CENTRE, _DIST, _ROWS, _SINGLE, _V2, EPS, _centres, _faces, _rounded, _rows, _singles, query
 
 _RECTS = "(SELECT r.*, CASE WHEN r.id % 13 = 5 THEN 0 ELSE 1 END AS is_face, CASE WHEN r.id % 21 = 0 THEN c.person_id ELSE r.manual_person_id END AS hand, c.person_id AS owner FROM rects r LEFT JOIN clusters c ON c.id = r.cluster_id)"
 
@@ -126,3 +129,35 @@ def _moved(c):
 @query("SELECT f.id AS file_id, f.path, g.run_id, row_number() OVER (ORDER BY f.taken_at NULLS LAST, f.path, f.id) - 1 AS position FROM trip_files t JOIN files f ON f.id = t.file_id LEFT JOIN (SELECT file_id, min(created % 5) AS run_id FROM file_groups GROUP BY file_id) g ON g.file_id = f.id WHERE t.trip_id = 3 AND t.status = 'included' AND coalesce(f.status, '') <> 'deleted'")
 def trip_files_with_run(c):
     return G.included_files(c.trip_files, c.files, c.file_groups.withColumn("run_id", F.col("created") % 5), 3)
+
+
+_DETECTED = "(SELECT id, bbox_x * 3 + id % 5 AS x, bbox_y * 4 AS y, bbox_w + 0.5 AS w, bbox_h AS h, CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 0.0 END AS scale, 200 AS width, 150 AS height FROM rects)"
+_SCALED = f"(SELECT *, greatest(0, CAST(round_even(x / scale, 0) AS BIGINT)) AS xi, greatest(0, CAST(round_even(y / scale, 0) AS BIGINT)) AS yi, greatest(0, CAST(round_even(w / scale, 0) AS BIGINT)) AS wi, greatest(0, CAST(round_even(h / scale, 0) AS BIGINT)) AS hi FROM {_DETECTED} WHERE scale > 0 AND scale <> 1)"
+
+
+@query(f"""SELECT id, xi AS x, yi AS y, least(wi, width - xi) AS w, least(hi, height - yi) AS h FROM {_SCALED} WHERE xi < width AND yi < height AND least(wi, width - xi) > 1 AND least(hi, height - yi) > 1
+  UNION ALL SELECT id, CAST(x AS BIGINT), CAST(y AS BIGINT), CAST(trunc(w) AS BIGINT), CAST(h AS BIGINT) FROM {_DETECTED} WHERE scale <= 0 OR scale = 1""")
+def boxes_scaled_back(c):
+    found = c.rects.select("id", (F.col("bbox_x") * 3 + F.col("id") % 5).alias("x"), (F.col("bbox_y") * 4).alias("y"), (F.col("bbox_w") + 0.5).alias("w"), F.col("bbox_h").alias("h"), F.expr("CASE id % 4 WHEN 0 THEN 1.0D WHEN 1 THEN 0.5D WHEN 2 THEN 0.25D ELSE 0.0D END AS scale"))
+    box = X.scaled_back(*(F.col(k) for k in ("x", "y", "w", "h", "scale")), F.lit(200), F.lit(150))
+    return found.select("id", box.alias("box")).where("box IS NOT NULL").select("id", "box.*")
+
+
+_BOUND = "(SELECT r.id AS face_id, r.cluster_id, c.person_id FROM rects r JOIN clusters c ON c.id = r.cluster_id WHERE c.person_id IS NOT NULL)"
+
+
+@query(f"SELECT person_id, face_id, cluster_id, CASE WHEN face_id % 4 <> 1 THEN 'cluster' ELSE 'restored_from_snapshot' END AS source, CASE WHEN face_id % 4 <> 1 THEN 0.5 ELSE 0.9 END AS confidence FROM {_BOUND} WHERE face_id % 4 <> 1 OR face_id % 3 = 0")
+def restored_faces(c):
+    owned = c.clusters.where("person_id IS NOT NULL").select(F.col("id").alias("cluster_id"), "person_id")
+    faces = c.rects.select(F.col("id").alias("face_id"), "cluster_id").join(owned, "cluster_id")
+    labels = faces.where("face_id % 4 <> 1").select("person_id", "face_id", "cluster_id", F.lit("cluster").alias("source"), F.lit(0.5).alias("confidence"))
+    return C.restored(labels, faces.where("face_id % 3 = 0"))
+
+
+@query(f"SELECT face_id, cluster_id, p.name, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY distance, cluster_id) AS n FROM (SELECT a.id AS face_id, b.cluster_id, {_DIST} AS distance FROM {_SINGLE} a JOIN {_CENTRE} b ON {_DIST} <= {EPS} WHERE b.cluster_id IN (SELECT id FROM clusters WHERE person_id <> 6))) x JOIN clusters k ON k.id = x.cluster_id LEFT JOIN persons p ON p.id = k.person_id WHERE n = 1")
+def closest_person_cluster(c):
+    owned = c.clusters.where(F.col("person_id") != L.OUTSIDER).select("id", "person_id")
+    centres = _centres(c).join(owned.select("id"), "id", "left_semi")
+    found = M.nearest_within(_singles(c), centres, EPS).withColumnRenamed("b", "cluster_id")
+    named = owned.join(c.persons.select(F.col("id").alias("person_id"), "name"), "person_id", "left").select(F.col("id").alias("cluster_id"), "name")
+    return _rounded(found.join(named, "cluster_id")).select(F.col("a").alias("face_id"), "cluster_id", "name", "distance")
