@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[str, str | None]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, a folder that all executors share; where it is unset in a local session (tests), a folder of our own."""
@@ -32,6 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """As ``cut`` for large tables: a compressed Parquet table in the shared folder, read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cairnmark-{name}-{uuid.uuid4().hex}"
+    _written.append((path, None))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,5 +43,19 @@ def in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame
     """As ``written``, in buckets by ``column``: a later join or cogroup on it needs no shuffle of the table."""
     spark = df.sparkSession
     table = f"cairnmark_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(spark).rstrip('/')}/{table}").saveAsTable(table)
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    _written.append((path, table))
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
     return spark.table(table)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Ends the tables that this process has written or registered, once what was made of them is written elsewhere; how many there were. A token store is among them."""
+    found = len(_written)
+    while _written:
+        path, table = _written.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return found

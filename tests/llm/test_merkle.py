@@ -49,3 +49,15 @@ def test_only_a_changed_copy_fails(spark):
 
     got = {r.doc_id: r.verified for r in manifest(fixtures.frame(spark, rows), other_text=every_fifth_lowered()).collect()}
     assert got == {i: bool(i % 2) or zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200)}
+
+
+def test_written_tables_end_when_asked(spark):
+    import os
+
+    from cairnmark.llm import shared
+
+    shared.release_tables(spark)
+    one, two = shared.written(spark.range(3).toDF("a"), "some"), shared.in_buckets(spark.range(3).toDF("a"), "other", 2, "a")
+    paths = [p.removeprefix("file://") for p, _ in shared._written]
+    assert one.count() == two.count() == 3 and all(map(os.path.isdir, paths))
+    assert shared.release_tables(spark) == 2 and not any(map(os.path.exists, paths)) and not [t for t in spark.catalog.listTables() if t.name.startswith("cairnmark_other")]
