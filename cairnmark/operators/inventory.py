@@ -117,3 +117,38 @@ def folder_counts(files: DataFrame, depth: int = 2) -> DataFrame:
     parts = F.split("path", "/")
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
     return files.select(prefixes.alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+def similar_image_members(files: DataFrame, phashes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(algorithm, value, id, path, n): the files of each of ``groups`` (algorithm, value, n)."""
+    shown = phashes.join(groups.select("algorithm", "value", "n"), ["algorithm", "value"])
+    return files.select("id", "path").join(shown, F.col("id") == shown["file_id"]).select("algorithm", "value", "id", "path", "n")
+
+
+def similar_video_members(files: DataFrame, frames: DataFrame, groups: DataFrame) -> DataFrame:
+    """(duration, key, id, path, n): the files of each of ``groups`` (duration, key, n)."""
+    keyed = video_keys(frames).join(groups.select("duration", "key", "n"), ["duration", "key"])
+    return files.select("id", "path").join(keyed, F.col("id") == keyed["file_id"]).select("duration", "key", "id", "path", "n")
+
+
+def listed_folders(folders: DataFrame, location: str | None = None, role: str | None = None) -> DataFrame:
+    """Folders (location, role, ...) of a location and a role, where these are asked for."""
+    for column, wanted in (("location", location), ("role", role)):
+        if wanted is not None:
+            folders = folders.where(F.col(column) == wanted)
+    return folders
+
+
+def is_media(media_type: Column) -> Column:
+    """Whether a file is a photo or a video by its type, in any case, white space aside."""
+    return F.coalesce(F.lower(F.trim(media_type)).isin("image", "video"), F.lit(False))
+
+
+def local_path(path: Column) -> Column:
+    """A path of this machine with its mark; paths with a mark stay."""
+    return F.when(path.startswith("local:") | path.startswith("disk:"), path).otherwise(F.concat(F.lit("local:"), path))
+
+
+def bare_path(path: Column) -> Column:
+    """A path of this machine without its mark."""
+    return F.when(path.startswith("local:"), F.substr(path, F.lit(7))).otherwise(path)

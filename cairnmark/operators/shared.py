@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_kept: list[str] = []
+
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset in a local session (tests), a folder of our own."""
@@ -27,5 +29,15 @@ def kept(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/cairnmark-kept-{uuid.uuid4().hex}"
+    _kept.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has kept, once what was made of them is written elsewhere; how many there were."""
+    found = len(_kept)
+    while _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found

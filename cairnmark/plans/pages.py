@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from cairnmark.functions import text as X
 from cairnmark.operators import curation as C
+from cairnmark.operators import inventory as I
 from cairnmark.operators import labels as L
 from cairnmark.operators import metric as M
 from cairnmark.operators import pages as G
 from cairnmark.operators import vectors as V
-from cairnmark.plans.queries import _CENTRE, _DIST, _ROWS, _SINGLE, _V2, EPS, _centres, _faces, _rounded, _rows, _singles, query
+from cairnmark.plans.queries import _CENTRE, _DIST, _KEYS, _LIVE, _ROWS, _SHOWN, _SINGLE, _V2, _VIDEOS, EPS, _centres, _faces, _rounded, _rows, _singles, _videos, query
 
 _RECTS = "(SELECT r.*, CASE WHEN r.id % 13 = 5 THEN 0 ELSE 1 END AS is_face, CASE WHEN r.id % 21 = 0 THEN c.person_id ELSE r.manual_person_id END AS hand, c.person_id AS owner FROM rects r LEFT JOIN clusters c ON c.id = r.cluster_id)"
 
@@ -161,3 +162,32 @@ def closest_person_cluster(c):
     found = M.nearest_within(_singles(c), centres, EPS).withColumnRenamed("b", "cluster_id")
     named = owned.join(c.persons.select(F.col("id").alias("person_id"), "name"), "person_id", "left").select(F.col("id").alias("cluster_id"), "name")
     return _rounded(found.join(named, "cluster_id")).select(F.col("a").alias("face_id"), "cluster_id", "name", "distance")
+
+
+@query(f"SELECT p.algorithm, p.value, f.id, f.path, g.n FROM (SELECT algorithm, value, count(*) AS n FROM files JOIN {_SHOWN} ON file_id = id WHERE {_LIVE} GROUP BY algorithm, value HAVING count(*) > 1) g JOIN phashes p ON p.algorithm = g.algorithm AND p.value = g.value JOIN files f ON f.id = p.file_id WHERE {_LIVE}")
+def similar_image_members(c):
+    live = I.live_archive(c.files)
+    return I.similar_image_members(live, c.phashes, I.similar_images(live, c.phashes, "phash", c.hidden_similar))
+
+
+@query(f"SELECT g.duration, g.key, f.id, f.path, g.n FROM {_VIDEOS} g JOIN {_KEYS} k ON k.duration = g.duration AND k.key = g.key JOIN files f ON f.id = k.file_id WHERE {_LIVE}")
+def similar_video_members(c):
+    return I.similar_video_members(I.live_archive(c.files), c.frame_hashes, _videos(c))
+
+
+@query(f"SELECT r.id, coalesce(s.cluster_id, r.cluster_id) AS cluster_id FROM rects r LEFT JOIN (SELECT face_id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY distance, cluster_id) AS n FROM (SELECT a.id AS face_id, b.cluster_id, {_DIST} AS distance FROM {_SINGLE} a JOIN {_CENTRE} b ON {_DIST} <= {EPS})) WHERE n = 1) s ON s.face_id = r.id")
+def assigned_memberships(c):
+    near = M.nearest_within(_singles(c), _centres(c), EPS).select(F.col("a").alias("id"), F.col("b").alias("to"))
+    return c.rects.select("id", "cluster_id").join(near, "id", "left").select("id", F.coalesce("to", "cluster_id").alias("cluster_id"))
+
+
+@query("SELECT id, name FROM (SELECT id, folder AS name, CASE WHEN id % 2 = 0 THEN 'disk' ELSE 'local' END AS location, CASE id % 3 WHEN 0 THEN 'target' WHEN 1 THEN 'source' END AS role, CASE id % 5 WHEN 0 THEN ' Image' WHEN 1 THEN 'VIDEO ' WHEN 2 THEN 'text' WHEN 3 THEN NULL ELSE media_type END AS kind FROM files) WHERE location = 'disk' AND role = 'target' AND lower(trim(kind)) IN ('image', 'video')")
+def target_folders_listed(c):
+    rows = c.files.select("id", F.col("folder").alias("name"), F.expr("CASE WHEN id % 2 = 0 THEN 'disk' ELSE 'local' END AS location"), F.expr("CASE id % 3 WHEN 0 THEN 'target' WHEN 1 THEN 'source' END AS role"), F.expr("CASE id % 5 WHEN 0 THEN ' Image' WHEN 1 THEN 'VIDEO ' WHEN 2 THEN 'text' WHEN 3 THEN NULL ELSE media_type END AS kind"))
+    return I.listed_folders(rows, "disk", "target").where(I.is_media(F.col("kind"))).select("id", "name")
+
+
+@query("SELECT id, CASE WHEN starts_with(path, 'local:') THEN substr(path, 7) ELSE path END AS bare, CASE WHEN starts_with(path, 'disk:') THEN path ELSE CASE WHEN starts_with(path, 'local:') THEN path ELSE 'local:' || path END END AS marked FROM (SELECT id, CASE WHEN id % 3 = 0 THEN replace(path, 'local:', '') ELSE path END AS path FROM files)")
+def marked_paths(c):
+    path = F.when(F.col("id") % 3 == 0, F.regexp_replace("path", "local:", "")).otherwise(F.col("path"))
+    return c.files.select("id", I.bare_path(path).alias("bare"), I.local_path(path).alias("marked"))
