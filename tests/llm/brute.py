@@ -127,6 +127,25 @@ def removed(docs, length=100):
     return out
 
 
+def without_repeats(docs, length=100):
+    """(doc_id, text) without the characters that ``removed`` covers in whole."""
+    seen, out = set(), []
+    for d, text in sorted(docs):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if (s := raw[i : i + length]) in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(s)
+        at, kept = 0, []
+        for c in text or "":
+            size = len(c.encode())
+            kept.append("" if all(gone[at : at + size]) else c)
+            at += size
+        out.append((d, "".join(kept)))
+    return out
+
+
 def rules(docs, window=8):
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     out = []

@@ -72,9 +72,23 @@ def test_empty(spark, sf_dir, stage):
     assert stage(spark, fixtures.frame(spark, []), sf_dir).collect() == []
 
 
-def test_run(spark, sf_dir):
-    got = P.run(spark, sf_dir)
-    assert got.columns[0] == "doc_id" and 0 < got.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+def test_run_is_its_stages_one_after_the_other(spark, sf_dir):
+    """The quality verdicts are the operator's own; everything behind them is plain Python."""
+    import pyarrow.parquet as pq
+
+    from cairnmark.llm.quality import quality
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    kept = {r.doc_id for r in quality(table).where("kept").collect()}
+    docs = [d for d in docs if d[0] in kept]
+    first = {r[-1] for r in brute.components(docs)}
+    docs = brute.without_repeats([d for d in docs if d[0] in first])
+    items = list(zip(*pq.read_table(f"{sf_dir}/benchmark.parquet").select(["item_id", "text"]).to_pydict().values(), strict=True))
+    bad = {r[0] for r in brute.contamination(docs, items) if r[-1]}
+    want = brute.byte_bpe([d for d in docs if d[0] not in bad])
+    got = P.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert plain(tuple(r) for r in got) == plain(want) and 0 < len(want) < table.count()
 
 
 @pytest.mark.parametrize("one", [7, None])
