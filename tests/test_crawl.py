@@ -69,7 +69,7 @@ def test_crawls(spark, name):
     assert after(spark, *CASES[name]) == plain(*CASES[name], "disk:/a")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_crawls(spark, seed):
     rng = random.Random(seed)
     paths = [f"disk:/{'ab'[i % 2]}/{i}" for i in range(60)]
