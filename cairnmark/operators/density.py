@@ -123,7 +123,7 @@ def dbscan(vectors: DataFrame, eps: float, least: int, checkpoint: Callable = ke
         return pd.concat(found)
 
     links = checkpoint(compared(tile_pairs(made, None, eps), made, made, work, "border boolean, a long, b long", _flagged(made, core, checkpoint)))
-    roots = connected(links.where("not border"), checkpoint)
+    roots = components(links.where("not border"), checkpoint)
     cored = roots.select(F.col("node").alias("id"), "root").union(core.join(roots, core["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("root")))
     border = links.where("border").join(cored.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "id")
     found = cored.unionByName(border)
@@ -131,10 +131,10 @@ def dbscan(vectors: DataFrame, eps: float, least: int, checkpoint: Callable = ke
     return vectors.select("id").join(found.join(numbers, "root"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def core_distances(made: DataFrame, k: int) -> DataFrame:
+def core_distances(made: DataFrame, k: int, several: bool = True) -> DataFrame:
     """(id, core): the distance to the ``k``-th nearest point, itself counted; of fewer points, to the farthest.
 
-    A point's own tile bounds it: only tiles that may come nearer are met.
+    A point's own tile bounds it: only tiles that may come nearer are met, none without ``several`` tiles.
     """
     others = max(k - 1, 1)
 
@@ -148,7 +148,11 @@ def core_distances(made: DataFrame, k: int) -> DataFrame:
         out = nearest(d, p, np.full(len(p), 3.0))
         return out.assign(tile=i, pos=np.arange(len(p)), bound=[row[others - 1] if len(row) >= others else 3.0 for row in out["near"]])
 
-    first = kept(compared(made.select(F.col("tile").alias("i"), F.col("tile").alias("j")), made, made, own, "id long, near array<double>, tile long, pos int, bound double"))
+    core = F.lit(0.0) if k <= 1 else F.coalesce(F.try_element_at("near", F.lit(-1)), F.lit(0.0))
+    first = compared(made.select(F.col("tile").alias("i"), F.col("tile").alias("j")), made, made, own, "id long, near array<double>, tile long, pos int, bound double")
+    if not several:
+        return first.select("id", core.alias("core"))
+    first = kept(first)
     bounds = first.groupBy("tile").agg(F.max("bound").alias("most"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "bound"))), lambda s: s["bound"]).alias("bound"))
     bounds = kept(bounds)
     of = lambda key: bounds.select(F.col("tile").alias(key), F.col("most").alias(f"{key}_most"))
@@ -161,10 +165,33 @@ def core_distances(made: DataFrame, k: int) -> DataFrame:
     second = compared(pairs, made, made, far, "id long, near array<double>", bounds.select("tile", "bound")).where(F.size("near") > 0)
     best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, others)
     found = first.select("id", "near").unionByName(second).groupBy("id").agg(best.alias("near"))
-    core = F.lit(0.0) if k <= 1 else F.coalesce(F.try_element_at("near", F.lit(-1)), F.lit(0.0))
     return found.select("id", core.alias("core"))
 
 
+def _whole_tree(k: int):
+    """The tree of a single tile: from one point, the least edge to a point that is not in it, again and again."""
+
+    def run(i, j, p, x, *_):
+        n, d = len(p), distances(x, x)
+        d = np.minimum(d, d.T)
+        np.fill_diagonal(d, -1)
+        core = np.clip(np.sort(d, axis=1)[:, min(k, n) - 1], 0, None)
+        weight, low, high = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        out, inside, v = [], np.zeros(n, bool), 0
+        for _ in range(n - 1):
+            inside[v] = True
+            w, a, b = np.maximum(np.maximum(d[v], core[v]), core), np.minimum(p[v], p), np.maximum(p[v], p)
+            less = (w < weight) | (w == weight) & ((a < low) | (a == low) & (b < high))
+            weight, low, high = np.where(less, w, weight), np.where(less, a, low), np.where(less, b, high)
+            rest = np.flatnonzero(~inside)
+            rest = rest[weight[rest] == weight[rest].min()]
+            v = int(rest[np.lexsort([high[rest], low[rest]])[0]])
+            out.append((low[v], high[v], weight[v]))
+        return pd.DataFrame(out, columns=["a", "b", "weight"])
+
+    return run
+
+
 def reach_tree(vectors: DataFrame, k: int, tile: int = metric.TILE, checkpoint: Callable = kept, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """The tree (a, b, weight) over point numbers, a < b, and the points (v, id, core): numbers count from 0 in the order of the ids."""
     n = vectors.count()
@@ -172,7 +199,10 @@ def reach_tree(vectors: DataFrame, k: int, tile: int = metric.TILE, checkpoint:
     points = vectors.join(numbers, "id").select(F.col("number").alias("id"), "embedding")
     made = tiles(points, pivots(points, n, tile), n, tile, checkpoint)
     several = made.limit(2).count() > 1
-    core = checkpoint(core_distances(made, k).withColumnRenamed("id", "v"))
+    core = checkpoint(core_distances(made, k, several).withColumnRenamed("id", "v"))
+    named = numbers.select(F.col("number").alias("v"), "id").join(core, "v")
+    if not several:
+        return checkpoint(compared(made.select(F.col("tile").alias("i"), F.col("tile").alias("j")), made, made, _whole_tree(k), "a long, b long, weight double")), named
     state = checkpoint(made.mapInPandas(_points, "tile long, pos int, id long").withColumnRenamed("id", "v").join(core, "v").withColumn("comp", F.col("v")))
     tree, left = None, n
 
@@ -194,34 +224,36 @@ def reach_tree(vectors: DataFrame, k: int, tile: int = metric.TILE, checkpoint:
     schema, best = "comp long, weight double, a long, b long", F.min(F.struct("weight", "a", "b")).alias("best")
     while left > 1:
         aligned = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda s: s[c]).alias(c)
-        packed = checkpoint(state.groupBy("tile").agg(aligned("comp"), aligned("core"), F.min("comp").alias("low"), F.max("comp").alias("high")))
+        packed = state.groupBy("tile").agg(aligned("comp"), aligned("core"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        packed = checkpoint(packed)
         inside = made.join(packed.where("low < high").select("tile"), "tile", "left_semi").select(F.col("tile").alias("i"), F.col("tile").alias("j"))
         beside = packed.select("tile", "comp", "core")
         found = checkpoint(compared(inside, made, made, edges, schema, beside).groupBy("comp").agg(best))
-        if several:
-            need = state.join(found.select("comp", F.col("best.weight").alias("bound")), "comp", "left").groupBy("tile").agg(F.max(F.coalesce("bound", F.lit(2.0))).alias("need"))
-            of = lambda key: need.join(packed.select("tile", "low", "high"), "tile").select(F.col("tile").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("need", "low", "high")))
-            pairs = tile_pairs(made, None, 2.0).where("i < j").join(of("i"), "i").join(of("j"), "j")
-            pairs = pairs.where((F.col("gap") <= F.sqrt(2 * F.greatest("i_need", "j_need")) + F.lit(1e-7)) & ~((F.col("i_low") == F.col("i_high")) & (F.col("j_low") == F.col("j_high")) & (F.col("i_low") == F.col("j_low"))))
-            more = compared(pairs, made, made, edges, schema, beside).groupBy("comp").agg(best)
-            found = checkpoint(found.unionByName(more).groupBy("comp").agg(F.min("best").alias("best")))
+        need = state.join(found.select("comp", F.col("best.weight").alias("bound")), "comp", "left").groupBy("tile").agg(F.max(F.coalesce("bound", F.lit(2.0))).alias("need"))
+        of = lambda key: need.join(packed.select("tile", "low", "high"), "tile").select(F.col("tile").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("need", "low", "high")))
+        pairs = tile_pairs(made, None, 2.0).where("i < j").join(of("i"), "i").join(of("j"), "j")
+        pairs = pairs.where((F.col("gap") <= F.sqrt(2 * F.greatest("i_need", "j_need")) + F.lit(1e-7)) & ~((F.col("i_low") == F.col("i_high")) & (F.col("j_low") == F.col("j_high")) & (F.col("i_low") == F.col("j_low"))))
+        more = compared(pairs, made, made, edges, schema, beside).groupBy("comp").agg(best)
+        found = checkpoint(found.unionByName(more).groupBy("comp").agg(F.min("best").alias("best")))
         chosen = checkpoint(found.select("best.*").distinct())
-        tree = chosen if tree is None else checkpoint(tree.unionByName(chosen))
+        tree = chosen if tree is None else tree.unionByName(chosen)
         comp = lambda c: state.select(F.col("v").alias(c), F.col("comp").alias(f"c{c}"))
         links = chosen.join(comp("a"), "a").join(comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        roots = _joined(links, left <= piece, checkpoint)
+        roots = _joined(links, checkpoint) if left <= piece else connected(links, checkpoint)
         state = checkpoint(state.join(roots, state["comp"] == roots["node"], "left").select("tile", "pos", "v", "core", F.coalesce("root", "comp").alias("comp")))
         left = state.select("comp").distinct().count()
     if tree is None:
         tree = vectors.sparkSession.createDataFrame([], "weight double, a long, b long")
-    return tree.select("a", "b", "weight"), state.join(numbers.select(F.col("number").alias("v"), "id"), "v").select("v", "id", "core")
+    return tree.select("a", "b", "weight"), named
+
 
+def components(links: DataFrame, checkpoint: Callable = kept, piece: int = PIECE) -> DataFrame:
+    """(node, root) of ``links`` (a, b): by rounds, or in one task if there are at most ``piece``."""
+    links = links.select("a", "b")
+    return _joined(links, checkpoint) if links.limit(piece + 1).count() <= piece else connected(links, checkpoint)
 
-def _joined(links: DataFrame, few: bool, checkpoint: Callable) -> DataFrame:
-    """(node, root) of links (a, b); ``few`` links are joined in one task."""
-    if not few:
-        return connected(links, checkpoint)
 
+def _joined(links: DataFrame, checkpoint: Callable) -> DataFrame:
     def run(pdf):
         root: dict[int, int] = {}
 
@@ -398,8 +430,8 @@ def labels_of_tree(tree: DataFrame, points: DataFrame, n: int, least: int, epsil
 def flat_of_tree(vectors: DataFrame, tree: DataFrame, points: DataFrame, eps: float, checkpoint: Callable = kept, tile: int = metric.TILE) -> DataFrame:
     """(id, label) of the flat clusters at ``eps`` with the tree's count, as ``dbscan`` has them but named by their lowest core id, null for noise."""
     core = points.where(F.col("core") <= eps)
-    roots = connected(tree.where(F.col("weight") <= eps), checkpoint)
-    cored = checkpoint(core.join(roots, core["v"] == roots["node"], "left").select("id", F.coalesce("root", "v").alias("root")))
+    roots = components(tree.where(F.col("weight") <= eps), checkpoint)
+    cored = core.join(roots, core["v"] == roots["node"], "left").select("id", F.coalesce("root", "v").alias("root"))
     named = cored.groupBy("root").agg(F.min("id").alias("label"))
     cored = checkpoint(cored.join(named, "root").select("id", "label"))
     rest = vectors.join(cored, "id", "left_anti")
