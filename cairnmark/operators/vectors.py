@@ -21,7 +21,9 @@ def unit(vectors: DataFrame) -> DataFrame:
     """Vectors scaled to length 1; empty ones, zeros and those with NaN are left out."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     usable = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).withColumn("_norm", norm).where("_norm > 0 AND NOT isnan(_norm)")
-    return usable.withColumn("embedding", F.transform("embedding", lambda x: x / F.col("_norm"))).drop("_norm")
+    # the norm is bound before the inner loop: as a column it would be taken again for each entry
+    scaled = F.transform(F.array("_norm"), lambda n: F.transform("embedding", lambda x: x / n))
+    return usable.withColumn("embedding", F.element_at(scaled, 1)).drop("_norm")
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -235,8 +235,7 @@ def trip_first_dates(c):
 @query(f"SELECT a.id AS face_id, b.id AS other_id FROM {_UNIT} a JOIN {_UNIT} b ON a.id < b.id AND 1 - list_dot_product(a.u, b.u) <= {EPS} WHERE a.file_id <> b.file_id")
 def faces_alike_in_other_files(c):
     faces = V.unit(c.rects.where("ignore_flag = 0"))
-    of = lambda k: faces.select(F.col("id").alias(k), F.col("file_id").alias(f"f_{k}"))
-    return M.close_pairs(faces, None, EPS).join(of("a"), "a").join(of("b"), "b").where("f_a <> f_b").select(F.col("a").alias("face_id"), F.col("b").alias("other_id"))
+    return M.close_pairs(faces, None, EPS, unlike="file_id").select(F.col("a").alias("face_id"), F.col("b").alias("other_id"))
 
 
 @query("WITH items AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT DISTINCT path FROM gold)), m AS (SELECT * FROM items WHERE contains(lower(path), '/src1')) SELECT place, path, (SELECT count(*) FROM m) AS total, CAST((SELECT count(*) FROM m) > 40 AS INT) AS more FROM m ORDER BY place LIMIT 20 OFFSET 20")
