@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnmark.operators import density as D
-from cairnmark.operators.shared import kept
 from cairnmark.plans.queries import _DIST, _UNIT, _faces, query, unexpressed
 
 GRID_EPS, GRID_LEAST = (0.55, 0.65), (2, 3)
@@ -35,13 +34,9 @@ _RAND = """SELECT eps, least, CASE WHEN (t + l) / 2 = t * l / pairs THEN 1.0 ELS
     FROM cells c JOIN ({_RAND.format(cells="cells")}) a ON a.eps = c.eps AND a.least = c.least LEFT JOIN ({_RAND.format(cells="inner_cells")}) i ON i.eps = c.eps AND i.least = c.least GROUP BY c.eps, c.least, a.ari, i.ari""".replace("label, e.label AS truth", "m.label, e.label AS truth")
 )
 def flat_grid(c):
-    faces = kept(_faces(c).select("id", "embedding"))
-    found = []
-    for least in GRID_LEAST:
-        tree, points = D.reach_tree(faces, least)
-        for eps in GRID_EPS:
-            found.append(D.flat_of_tree(faces, tree, points, eps).withColumns({"eps": F.lit(eps), "least": F.lit(least)}))
-    return D.agreement(reduce(DataFrame.unionByName, found), _truth(c), "eps", "least")
+    found = D.flat_clusters(_faces(c).select("id", "embedding"), _SETTINGS)
+    named = reduce(lambda at, k: at.when(F.col("setting") == k, F.struct(F.lit(_SETTINGS[k][0]).alias("eps"), F.lit(_SETTINGS[k][1]).alias("least"))), range(len(_SETTINGS)), F)
+    return D.agreement(found.withColumn("of", named).select("of.eps", "of.least", "id", "label"), _truth(c), "eps", "least")
 
 
 def _truth(c) -> DataFrame:
@@ -55,6 +50,4 @@ def hierarchy_labels(c):
 
 @unexpressed
 def hierarchy_grid(c):
-    faces = kept(_faces(c).select("id", "embedding"))
-    found = [D.hierarchy(faces, size, list(EPSILONS)).withColumn("least", F.lit(size)) for size in SIZES]
-    return D.agreement(reduce(DataFrame.unionByName, found), _truth(c), "epsilon", "least")
+    return D.agreement(D.hierarchies(_faces(c).select("id", "embedding"), list(SIZES), list(EPSILONS)), _truth(c), "epsilon", "least")
