@@ -32,6 +32,7 @@ import itertools
 import json
 import os
 import re
+import string
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,6 +48,8 @@ from cairnmark.llm import ragged
 from cairnmark.llm.shared import in_buckets, written
 
 SHARD, BUCKET, CACHE, TOGETHER = 1 << 20, 4096, 100_000, 500
+#: Words of letters alone in a text; texts that the library holds at a time, for what it keeps of a token is many times the size of its id.
+SPACED, AT_ONCE = 100, 16
 #: Bytes of text in a range of ids, where the shuffle partitions would make them larger.
 RANGE = 64 << 20
 _WHITE = np.zeros(256, bool)
@@ -74,6 +77,7 @@ class _Ids:
         between = [t for t in rules["added_tokens"] if t["special"] and not t["normalized"]]
         self.between, self.mark = (between[0]["content"], between[0]["id"]) if between else ("", -1)
         self.size = self.tokenizer.get_vocab_size()
+        self.ending = self._ending(rules)
         self.kind = np.zeros(256, np.int8)
         if "Lowercase" in json.dumps(rules["normalizer"]):  # between ASCII letters and marks a pre-token always ends, but for apostrophes
             self.kind[0x21:0x7F] = _MARK
@@ -83,32 +87,61 @@ class _Ids:
         self.place: dict[bytes, int] = {}
         self.flat, self.offs = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _ending(self, rules: dict) -> np.ndarray | None:
+        """Of each id whether it ends a word, where the model marks that and has such a token for every ASCII letter."""
+        suffix = rules["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        letters = string.ascii_lowercase if "Lowercase" in json.dumps(rules["normalizer"]) else string.ascii_letters
+        if not suffix or any(c + suffix not in vocabulary for c in letters) or any(t.isalpha() for t in self.special):
+            return None
+        ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        ending[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return ending
+
     def runs(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the runs without white space; those of ASCII letters and marks alone are cut between these."""
         starts, ends, _ = ragged.words(data, offs, ~_WHITE)
         kind = self.kind[data]
-        others = np.concatenate([[0], np.cumsum((kind == 0) & ~_WHITE[data])])
+        others = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum((kind == 0) & ~_WHITE[data], out=others[1:])
         cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
         run = np.searchsorted(starts, cut, side="right") - 1
         cut = cut[(others[ends[run]] == others[starts[run]]) & (cut > starts[run])] if len(starts) else cut[:0]
         return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
+    def _held(self, texts: list[str]) -> list[np.ndarray]:
+        coded = []
+        for i in range(0, len(texts), AT_ONCE):
+            coded += [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return coded
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words of ASCII letters, parted where a token ends a word; None if the library does not end one for each."""
+        coded = self._held([" ".join(words[i : i + SPACED]) for i in range(0, len(words), SPACED)])
+        flat = np.concatenate([np.zeros(0, np.int64), *coded])
+        last = self.ending[flat]
+        n = np.diff(np.flatnonzero(last), prepend=-1)
+        return (flat, n) if len(n) == len(words) and (not len(flat) or last[-1]) else None
+
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of words back to back, and how many each has; a special token between words parts their ids."""
+        """The library's ids of words back to back, and how many each has; a special token between words parts their ids, or white space where a token ends every word."""
         odd = re.compile("|".join(map(re.escape, self.special)) if self.between else "").search
-        plain = [odd(w) is None for w in words]
-        joined = [w for w, p in zip(words, plain, strict=True) if p]
-        texts = [self.between.join(joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)]
-        texts += [w for w, p in zip(words, plain, strict=True) if not p]
-        coded = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        several = -(-len(joined) // TOGETHER)
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.append(x, self.mark) for x in coded[:several])])
+        kind = np.array([0 if w.isascii() and w.isalpha() else 1 if odd(w) is None else 2 for w in words], np.int8)
+        of = lambda k: [words[i] for i in np.flatnonzero(kind == k)]
+        spaced = self._spaced(of(0)) if self.ending is not None else None
+        if spaced is None:
+            kind[kind == 0] = [1 if odd(w) is None else 2 for w in of(0)]
+            spaced = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        joined = of(1)
+        coded = self._held([self.between.join(joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)])
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.append(x, self.mark) for x in coded)])
         n = np.diff(np.flatnonzero(flat == self.mark), prepend=-1) - 1
         if len(n) != len(joined):
             raise RuntimeError("the library gave other words than it got")
-        ids = np.concatenate([flat[flat != self.mark], *coded[several:]])
-        n = np.concatenate([n, np.array([len(x) for x in coded[several:]], np.int64)])
-        order = np.argsort(~np.array(plain, bool), kind="stable")
+        alone = self._held(of(2))
+        ids = np.concatenate([spaced[0], flat[flat != self.mark], *alone])
+        n = np.concatenate([spaced[1], n, np.array([len(x) for x in alone], np.int64)])
+        order = np.argsort(kind, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return ragged.gather(ids, np.concatenate([[0], np.cumsum(n)]), back)
